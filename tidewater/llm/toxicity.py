@@ -1,8 +1,10 @@
 """Toxicity: voters, a generative label model of their accuracies and correlations, a linear classifier on its posteriors."""
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +48,34 @@ def words_of(text: bytes) -> frozenset[bytes]:
     return frozenset(text.lower().translate(_SPACES).split())
 
 
-def features_of(words: frozenset[bytes]) -> set[bytes]:
-    """Words, and stems marked with a dash."""
-    return set(words).union(*({w[:n] + b"-" for w in words if len(w) >= n} for n in STEM_LENGTHS))
+_HEADS = {n: itemgetter(slice(n)) for n in STEM_LENGTHS}
+
+
+class Wanted:
+    """The words and stems among some features, so that others needn't be made."""
+
+    def __init__(self, features: Iterable[bytes]) -> None:
+        self.features = frozenset(features)
+        stems = {f[:-1] for f in self.features if f[-1:] in (b"-", b"=", b"#")}
+        self.stems = {n: frozenset(x for x in stems if len(x) == n) for n in STEM_LENGTHS}
+
+
+def features_of(words: frozenset[bytes], wanted: Wanted | None = None) -> set[bytes]:
+    """Words, and stems: marked - where a word has it, = where two different words do, # where three or more do.
+
+    With wanted, only those among its features.
+    """
+    found = set(words if wanted is None else words & wanted.features)
+    for n, head in _HEADS.items():
+        heads = map(head, words)
+        heads = (x for x in heads if len(x) == n) if wanted is None else filter(wanted.stems[n].__contains__, heads)
+        for stem, count in Counter(heads).items():
+            found.add(stem + b"-")
+            if count > 1:
+                found.add(stem + b"=")
+                if count > 2:
+                    found.add(stem + b"#")
+    return found if wanted is None else found & wanted.features
 
 
 def votes_of(text: bytes, words: frozenset[bytes], stems: set[bytes], mined: list[frozenset[bytes]]) -> int:
@@ -132,30 +159,34 @@ class ToxicityModel:
     label_model: LabelModel
     weights: dict[bytes, float]
     intercept: float
+    wanted: Wanted = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.wanted = Wanted(self.weights)
 
     def score(self, text: bytes) -> float:
         get = self.weights.get
-        z = self.intercept + sum(get(f, 0.0) for f in features_of(words_of(text)))
+        z = self.intercept + sum(map(get, features_of(words_of(text), self.wanted)))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _vote_frame(texts: DataFrame, mined: list[frozenset[bytes]], vocabulary: frozenset[bytes] | None, keep: str) -> DataFrame:
-    """pattern, and where a vocabulary is given the features of it, beside the columns doc_id and those in keep."""
+def _vote_frame(texts: DataFrame, mined: list[frozenset[bytes]], vocabulary: frozenset[bytes], keep: str) -> DataFrame:
+    """doc_id, the columns in keep, the pattern of the votes, and which features of the vocabulary a text has."""
     names = [x.split()[0] for x in keep.split(", ") if x]
+    wanted = Wanted(vocabulary.union(*mined))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, bodies in rows_of(batches):
             patterns, found = [], []
             for t in bodies:
                 words = words_of(t)
-                stems = features_of(words)
+                stems = features_of(words, wanted)
                 patterns.append(votes_of(t, words, stems, mined))
-                if vocabulary is not None:
-                    found.append([x.decode("utf-8", "replace") for x in stems & vocabulary])
+                found.append([x.decode("utf-8", "replace") for x in stems & vocabulary])
             out = {"doc_id": batch.column("doc_id")} | {n: batch.column(n) for n in names} | {"pattern": pa.array(patterns, pa.int64())}
-            yield pa.RecordBatch.from_pydict(out | ({"features": pa.array(found, pa.list_(pa.string()))} if vocabulary is not None else {}))
+            yield pa.RecordBatch.from_pydict(out | {"features": pa.array(found, pa.list_(pa.string()))})
 
-    return texts.mapInArrow(vote, "doc_id long, " + (keep + ", " if keep else "") + "pattern long" + (", features array<string>" if vocabulary is not None else ""))
+    return texts.mapInArrow(vote, "doc_id long, " + (keep + ", " if keep else "") + "pattern long, features array<string>")
 
 
 def _mine(sample: DataFrame) -> list[tuple[bytes, float]]:
@@ -192,7 +223,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, unla
     mined = [frozenset(toxic[i::MINED]) for i in range(MINED)]
     vocabulary = frozenset(f for f, _ in telling) | ANY_INSULT
     n = len(LEXICONS) + len(PATTERNS) + MINED
-    votes = _vote_frame(texts, mined, None, "").groupBy("pattern").count().collect()  # 2 ** n patterns at most
+    votes = _vote_frame(texts, mined, frozenset(), "").groupBy("pattern").count().collect()  # 2 ** n patterns at most
     seen = _vote_frame(sample.select("doc_id", "label", "text"), mined, vocabulary, "label int")
     seen = stored(seen)
     known = seen.groupBy("pattern", "label").count().collect()
