@@ -53,6 +53,13 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def among(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which numbers are among sorted keys; the keys, far more than the numbers, aren't touched as a whole."""
+    if not len(keys):
+        return np.zeros(len(h), bool)
+    return keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
+
+
 def anchors_of(h: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
     """The anchor (least hash of the word groups inside) of each window of length words, and the hashes of all groups."""
     groups = run_hashes(h, anchor, 1)
@@ -110,7 +117,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
                         continue
                     least, groups = anchors_of(word_hashes(words), length, anchor)
                     chosen = np.unique(least)
-                    found.append(groups[np.isin(groups, chosen, kind="sort")])
+                    found.append(groups[among(groups, chosen)])
                 keys, n = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
                 yield rows(chunk, keys.view(np.int64), np.zeros(len(keys), np.int64), n, np.zeros(len(keys), np.int64), False)
                 k = np.array(list(copies), np.int64).reshape(-1, 2)
@@ -139,7 +146,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
                 if len(words) < length or copies.get(_digest(words), place) < place:
                     continue
                 h = word_hashes(words)
-                at = np.flatnonzero(np.isin(anchors_of(h, length, anchor)[0], anchors, kind="sort"))
+                at = np.flatnonzero(among(anchors_of(h, length, anchor)[0], anchors))
                 if len(at):
                     a, b = (x[at] for x in windows_of(h, length))
                     out.append((a, b, np.full(len(at), place, np.int64), at.astype(np.int64)))
