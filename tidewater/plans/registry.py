@@ -1,4 +1,399 @@
-"""Registered queries and their SQL."""
+"""Registered queries, named after the inventory lines they cover, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.functions import media as M
+from tidewater.functions.text import epoch_to_iso
+from tidewater.operators import articles, dedup, enrich, market, media_items, posts, timeseries, verify
+from tidewater.plans import standins as S
+from tidewater.sources import envelope, files, sinks
+from tidewater.sources.scratch import shared_dir, stored
+from tidewater.streaming import market_stream
+
+E, N, P = S.EVENTS_SQL, S.NEWS_SQL, S.POSTS_SQL
+
+
+def ms(c: str):
+    return F.unix_millis(F.col(c).cast("timestamp")).alias(c)
+
+
+# Market
+
+
+def a3_vwap(spark: SparkSession, d: str) -> DataFrame:
+    return market.tick_bar_vwap(S.ticks(spark, d), S.bars(spark, d), S.WIDTH_MS, S.DAY_MS, ("timestamp", "event_id"))
+
+
+def t4_volume(spark: SparkSession, d: str) -> DataFrame:
+    return market.per_tick_volume(S.bars(spark, d), ["timestamp", "event_id"]).select("event_id", "symbol", "timestamp", "per_tick_volume")
+
+
+def j2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    right = S.bars(spark, d).select("symbol", "timestamp", F.col("event_id").alias("bar_id"))
+    return market.interval_join(S.ticks(spark, d), right, S.WIDTH_MS).select("event_id", "bar_id", "symbol", F.greatest("timestamp", "right_timestamp").alias("ts"))
+
+
+def bar_messages(spark: SparkSession, d: str) -> DataFrame:
+    rows = S.events(spark, d)
+    text = (
+        "concat('{\"s\":\"', symbol, '\",\"t\":', timestamp, ',\"o\":', value, ',\"c\":', value + 1, ',\"h\":', value + 2, ',\"l\":1', CASE WHEN event_id % 7 = 0 THEN '' WHEN event_id % 7 = 1 THEN ',\"v\":null' ELSE concat(',\"v\":', event_id) END, '}')"
+    )
+    return rows.selectExpr("event_id", f"{text} AS value")
+
+
+def p12_bars(spark: SparkSession, d: str) -> DataFrame:
+    return market.parse_bars(bar_messages(spark, d)).select("event_id", "symbol", "timestamp", F.round("open_price", 4).alias("open_price"), "volume", "provider", "channel", "frequency", "aggregation", "data_source")
+
+
+def tick_messages(spark: SparkSession, d: str) -> DataFrame:
+    price = "CASE event_id % 10 WHEN 0 THEN ',\"price\":\"abc\"' WHEN 1 THEN ',\"price\":null' WHEN 2 THEN '' WHEN 3 THEN ',\"price\":-1.5' ELSE concat(',\"price\":', event_id % 100) END"
+    return S.events(spark, d).selectExpr("event_id", f"CASE WHEN event_id % 50 = 7 THEN '{{broken' ELSE concat('{{\"timestamp\":', timestamp, CASE WHEN event_id % 3 = 0 THEN concat(',\"symbol\":\"', symbol, '\"') ELSE '' END, {price}, '}}') END AS value")
+
+
+def r17_ticks(spark: SparkSession, d: str) -> DataFrame:
+    strict, lenient = (market.parse_ticks(tick_messages(spark, d), strict=s).withColumn("mode", F.lit(m)) for s, m in ((True, "strict"), (False, "lenient")))
+    return strict.unionByName(lenient).select("mode", "event_id", "symbol", "price")
+
+
+def day_bars(spark: SparkSession, d: str) -> DataFrame:
+    rows = S.events(spark, d).withColumn("day", F.floor(F.col("timestamp") / S.DAY_MS))
+    at = F.struct("timestamp", "event_id")
+    return rows.groupBy("symbol", "day").agg(F.min_by("value", at).alias("open_price"), F.max_by("value", at).alias("close_price")).select("symbol", (F.col("day") * S.DAY_MS).alias("timestamp"), "open_price", "close_price")
+
+
+def t8_ticks(spark: SparkSession, d: str) -> DataFrame:
+    return market.bars_to_ticks(day_bars(spark, d)).withColumn("price", F.round("price", 4))
+
+
+def points(spark: SparkSession, d: str) -> DataFrame:
+    return S.ticks(spark, d).withColumn("ts", F.timestamp_millis("timestamp"))
+
+
+def _now(df: DataFrame):
+    return df.agg(F.max("ts")).first()[0]
+
+
+def t2_latency(spark: SparkSession, d: str) -> DataFrame:
+    rows = points(spark, d)
+    return market.with_latency(rows, F.lit(_now(rows))).select("event_id", "latency_ms")
+
+
+def a6_mean(spark: SparkSession, d: str) -> DataFrame:
+    return timeseries.bucket_mean(points(spark, d), "price", "1 hour").select("symbol", ms("bucket_end"), F.round("mean_price", 6).alias("mean_price"))
+
+
+def vwap_points(spark: SparkSession, d: str) -> DataFrame:
+    return stored(a3_vwap(spark, d).select("symbol", F.timestamp_millis("window_end").alias("ts"), "vwap", F.lit("replay").alias("data_source")))
+
+
+def q1_names(spark: SparkSession, d: str) -> DataFrame:
+    rows = vwap_points(spark, d)
+    return timeseries.series_names(rows, _now(rows), "10 DAYS")
+
+
+def q2_latency(spark: SparkSession, d: str) -> DataFrame:
+    rows = points(spark, d)
+    now = _now(rows)
+    out = timeseries.mean_latency(market.with_latency(rows, F.lit(now)), now, "5 DAYS", "1 hour")
+    return out.select("symbol", ms("bucket_end"), F.round("mean_latency_ms", 3).alias("mean_latency_ms"))
+
+
+def q3_price(spark: SparkSession, d: str) -> DataFrame:
+    rows = points(spark, d)
+    return timeseries.mean_price(rows, _now(rows), "5 DAYS", "1 hour").select("symbol", ms("bucket_end"), F.round("mean_price", 6).alias("mean_price"))
+
+
+def q4_series(spark: SparkSession, d: str) -> DataFrame:
+    rows = vwap_points(spark, d)
+    return timeseries.vwap_series(rows, _now(rows), "10 DAYS").select("symbol", ms("ts"), "vwap")
+
+
+def k6_points(spark: SparkSession, d: str) -> DataFrame:
+    rows = points(spark, d).withColumn("hour", F.floor(F.col("timestamp") / 3_600_000))
+    return sinks.last_write_wins(rows, ["symbol", "hour"], "event_id").select("symbol", "hour", "event_id", "price")
+
+
+def k7_retain(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.retain(points(spark, d), "2 DAYS").select("event_id", "timestamp", "price")
+
+
+def t3_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The stateful stream over stored bars, run to its end."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    path = shared_dir(spark)
+    S.bars(spark, d).write.parquet(f"{path}/bars")
+    stream = spark.readStream.schema("event_id long, symbol string, timestamp long, volume long").parquet(f"{path}/bars")
+    out = market_stream.per_tick_volume_stream(market_stream.event_time(stream))
+    query = out.select("event_id", "symbol", "timestamp", "per_tick_volume").writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("event_id long, symbol string, timestamp long, per_tick_volume long").parquet(f"{path}/out")
+
+
+def j1_t6_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Stream-stream interval join and windowed mean over stored ticks and volumes; windows that the watermark has closed."""
+    path = shared_dir(spark)
+    S.ticks(spark, d).write.parquet(f"{path}/ticks")
+    t4_volume(spark, d).write.parquet(f"{path}/volumes")
+    ticks = spark.readStream.schema("event_id long, symbol string, timestamp long, price double").parquet(f"{path}/ticks")
+    volumes = spark.readStream.schema("event_id long, symbol string, timestamp long, per_tick_volume long").parquet(f"{path}/volumes")
+    pairs = market_stream.interval_join_stream(market_stream.event_time(ticks), market_stream.event_time(volumes), "10 minutes")
+    query = market_stream.vwap_stream(pairs, "1 day").writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("symbol string, window_end long, vwap double, n_pairs long").parquet(f"{path}/out")
+
+
+# News
+
+
+def news_rules(spark: SparkSession, d: str) -> DataFrame:
+    rows = articles.clean_articles(S.raw_news(spark, d), F.col("of_file"), S.KNOWN)
+    return rows.select("doc_id", "reject_reason", "category", "headline", "source", "url", "image_url", "summary", ms("published_at_utc"))
+
+
+def news_table(spark: SparkSession, d: str) -> DataFrame:
+    return articles.finish_articles(articles.accepted(articles.clean_articles(S.raw_news(spark, d), F.col("of_file"), S.KNOWN)))
+
+
+def h1_checksum(spark: SparkSession, d: str) -> DataFrame:
+    return news_table(spark, d).select("id", "source_file", "checksum_sha256")
+
+
+def news_files(spark: SparkSession, d: str) -> DataFrame:
+    return envelope.build_envelopes(S.raw_news(spark, d), "news", "of_file", [f for f in articles.RAW_FIELDS if f != "related"], F.timestamp_seconds(F.lit(1700003000)))
+
+
+def p1_news(spark: SparkSession, d: str) -> DataFrame:
+    raw = news_files(spark, d).select("value", F.concat(F.lit("news/"), "of_file").alias("source_path"))
+    return articles.articles_from_files(raw, S.KNOWN).select("id", "category", "headline", "source_file", "checksum_sha256")
+
+
+def p1_gate(spark: SparkSession, d: str) -> DataFrame:
+    return envelope.validate_envelopes(news_files(spark, d), "news").select("of_file", "envelope_ok")
+
+
+def s1_scan(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_dir(spark)
+    sinks.write_envelopes(news_files(spark, d), path, "of_file")
+    raw = files.read_envelopes(spark, f"{path}/*/*.txt").withColumn("value", F.trim("value"))
+    return envelope.explode_records(raw, "news", keep=["source_path"]).groupBy("meta.category").agg(F.count("*").alias("n"), F.count_distinct("source_path").alias("n_files"), F.max("meta.article_count").alias("article_count"))
+
+
+def k1_append(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_dir(spark)
+    sinks.append(news_table(spark, d), path)
+    return files.scan_partition(spark.read.parquet(path), "2023-11-14", "news/en").select("id", "headline", "checksum_sha256")
+
+
+def s5_scan(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_dir(spark)
+    sinks.append(news_table(spark, d), path)
+    rows = spark.read.parquet(path)
+    modes = {"same": "2023-11-14T23:03:20Z", "other": "2023-11-15T00:00:00Z", "bad": "yesterday", "none": None}
+    out = None
+    for mode, at in modes.items():
+        part = files.scan_table(rows, at).agg(F.count("*").alias("n")).withColumn("mode", F.lit(mode))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def w4_newest(spark: SparkSession, d: str) -> DataFrame:
+    rows = news_table(spark, d).withColumns({"pos": F.col("id"), "id": F.col("id") % 97, "published_at_utc": F.timestamp_seconds(F.col("id") % 7)})
+    return dedup.newest_articles(rows, "pos").select("id", "pos")
+
+
+def v_report(spark: SparkSession, d: str) -> DataFrame:
+    rows = stored(news_table(spark, d).unionByName(news_table(spark, d)).dropDuplicates())
+    clean = articles.accepted(articles.clean_articles(S.raw_news(spark, d), F.col("of_file"), S.KNOWN)).groupBy("source_file").agg(F.count("*").alias("n_clean"))
+    spoiled = rows.withColumn("checksum_sha256", F.when(F.col("id") % 50 == 1, F.lit("x")).otherwise(F.col("checksum_sha256")))
+    return verify.verify_write(spoiled, clean.withColumn("n_expected", F.col("n_clean")), "news")
+
+
+def a7_summary(spark: SparkSession, d: str) -> DataFrame:
+    return verify.batch_summary(news_table(spark, d)).select("source_file", "n_written", ms("latest_scraped_at"))
+
+
+def k9_gate(spark: SparkSession, d: str) -> DataFrame:
+    rows = news_table(spark, d).withColumn("image_key", F.col("id") % 100)
+    return verify.gate(rows, ["id", "headline", "image_url"], ["image_key"], {"category": ["en", "fr", "EN"]})
+
+
+def k12_handoff(spark: SparkSession, d: str) -> DataFrame:
+    return verify.high_watermark(news_table(spark, d)).select(ms("first_scraped_at"), ms("latest_scraped_at"))
+
+
+def e_enrich(spark: SparkSession, d: str) -> DataFrame:
+    mood = partial(enrich.lexicon_sentiment, positive=["the", "of"], negative=["and", "in"])
+    out = enrich.enrich(news_table(spark, d), scorer=mood)
+    return out.select("id", "category", ms("published_at"), "headline", "summary", "url", F.round("sentiment_score", 6).alias("sentiment_score"), "sentiment_label")
+
+
+# Posts
+
+
+def post_rules(spark: SparkSession, d: str) -> DataFrame:
+    rows = posts.clean_posts(S.raw_posts(spark, d))
+    return rows.select("doc_id", "reject_reason", "title", "author", ms("created_utc"), "score", "num_comments", "url", "selftext", "permalink", F.round("upvote_ratio", 6).alias("upvote_ratio"), "is_original_content", "is_self")
+
+
+def post_table(spark: SparkSession, d: str) -> DataFrame:
+    rows = articles.accepted(posts.clean_posts(S.raw_posts(spark, d)))
+    return posts.finish_posts(rows.withColumn("media_items", F.lit(None).cast(envelope.MEDIA)))
+
+
+def h2_checksum(spark: SparkSession, d: str) -> DataFrame:
+    return post_table(spark, d).select("id", "checksum_sha256")
+
+
+def p2_posts(spark: SparkSession, d: str) -> DataFrame:
+    """Envelopes of posts, of which one has a record that the file gate rejects."""
+    rows = S.raw_posts(spark, d).where("doc_id % 19 <> 0").withColumns({
+        "title": F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit("x")), "num_comments": F.greatest("num_comments", F.lit(0)), "selftext": F.coalesce("selftext", F.lit("")),
+        "upvote_ratio": F.when(F.col("subreddit") == "es", 1.5).otherwise(F.abs("upvote_ratio") % 1), "is_original_content": F.coalesce("is_original_content", F.lit(False)),
+    })
+    made = envelope.build_envelopes(rows, "posts", "subreddit", posts.RAW_FIELDS, F.timestamp_seconds(F.lit(1700003000)), {"sort_by": F.lit("new"), "time_filter": envelope.kept_time_filter(F.lit("new"), F.lit("day"))})
+    raw = made.select("value", F.concat(F.lit("posts/"), "subreddit").alias("source_file"))
+    out = posts.posts_from_files(raw, spark.createDataFrame([], media_items.FACTS))
+    return out.select("id", "subreddit", "title", "score", "num_comments", "source_file")
+
+
+def _ranked_posts(spark: SparkSession, d: str) -> DataFrame:
+    """Posts in a few groups, scraped at a few times."""
+    n = F.substring("id", 2, 20).cast("long")
+    return post_table(spark, d).drop("media_items").withColumns({"n": n, "scraped_at": F.timestamp_seconds(n % 5), "id": F.concat(F.lit("g"), n % 61)})
+
+
+def w1_latest(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.keep_latest(_ranked_posts(spark, d), ["id"], dedup.latest_posts_order()).select("id", "n")
+
+
+def k2_upsert(spark: SparkSession, d: str) -> DataFrame:
+    path, rows = shared_dir(spark), stored(_ranked_posts(spark, d))
+    for part in (0, 1):
+        out = sinks.upsert(rows.where(F.col("n") % 2 == part), path, ["id"], dedup.latest_posts_order())
+    return out.select("id", "n")
+
+
+def w2_merge(spark: SparkSession, d: str) -> DataFrame:
+    rows = _ranked_posts(spark, d)
+    return dedup.merge_latest(rows.where("score > 3"), rows.where("score <= 3").drop("selftext"), ["id"], dedup.latest_posts_order()).select("id", "n", F.col("selftext").isNull().alias("no_text"))
+
+
+def w3_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return S.table(spark, d, "documents").select("text", "lang").dropDuplicates().select(F.sha2("text", 256).alias("h"), "lang")
+
+
+def p10_times(spark: SparkSession, d: str) -> DataFrame:
+    return S.table(spark, d, "documents").select("doc_id", epoch_to_iso(1700000000 + F.col("doc_id") * 61).alias("iso"))
+
+
+# Media
+
+
+def m1_urls(spark: SparkSession, d: str) -> DataFrame:
+    kind = M.media_type(F.col("url"))
+    ext = M.file_extension(F.col("url"), kind)
+    return S.media_urls(spark, d).select("page_id", kind.alias("kind"), M.is_media(F.col("url")).alias("is_media"), ext.alias("ext"), M.content_type(ext).alias("mime"), M.object_key(F.lit("sub"), kind, F.lit("f"), F.lit("")).alias("key"))
+
+
+def m8_post_media(spark: SparkSession, d: str) -> DataFrame:
+    rows = S.media_urls(spark, d).selectExpr("page_id", "url", "page_id % 3 = 0 AS is_self", "CASE WHEN page_id % 5 = 0 THEN map('a', named_struct('e', 'Image', 's', named_struct('u', url)), 'b', named_struct('e', 'Video', 's', named_struct('u', 'x'))) END AS gallery")
+    return rows.select("page_id", F.coalesce(F.size(M.post_media(F.col("url"), F.col("is_self"), F.col("gallery"), F.lit("sub"))), F.lit(-1)).alias("n"))
+
+
+def m9_items(spark: SparkSession, d: str) -> DataFrame:
+    rows = media_items.judge_media(S.media_posts(spark, d), S.media_facts(spark, d), ["id"])
+    return rows.select("id", "pos", "item.tz_url", "item.tz_format", "item.tz_size_bytes", "item.validation_error", "item.conversion_error", "item.size_error")
+
+
+def m9_posts(spark: SparkSession, d: str) -> DataFrame:
+    rows = media_items.process_media(S.media_posts(spark, d), S.media_facts(spark, d), ["id"])
+    return rows.select("id", F.when(F.col("media_items").isNull(), -1).otherwise(F.size("media_items")).alias("n"))
+
+
+def a4_stats(spark: SparkSession, d: str) -> DataFrame:
+    return posts.media_stats(S.media_posts(spark, d))
+
+
+QUERIES = {
+    "A3_vwap": a3_vwap, "T4_per_tick_volume": t4_volume, "J2_interval_join": j2_pairs, "P12_P13_bars": p12_bars, "R17_T5_ticks": r17_ticks, "T8_bars_to_ticks": t8_ticks, "T2_latency": t2_latency,
+    "A6_bucket_mean": a6_mean, "Q1_W5_series_names": q1_names, "Q2_mean_latency": q2_latency, "Q3_mean_price": q3_price, "Q4_vwap_series": q4_series, "K6_last_write_wins": k6_points, "K7_S7_retention": k7_retain,
+    "T3_T1_stream_volume": t3_stream, "J1_T6_stream_vwap": j1_t6_stream,
+    "R1_R8_P14_article_rules": news_rules, "H1_H3_article_checksum": h1_checksum, "P1_P8_news_files": p1_news, "P1_file_gate": p1_gate, "S1_S3_K10_file_scan": s1_scan, "K1_K3_S6_append": k1_append, "S5_table_scan": s5_scan,
+    "W4_newest_article": w4_newest, "V1_V4_H4_write_report": v_report, "A7_A1_batch_summary": a7_summary, "K9_K8_gate": k9_gate, "K12_A2_handoff": k12_handoff, "E1_E7_enrich": e_enrich,
+    "R9_R16_P15_post_rules": post_rules, "H2_post_checksum": h2_checksum, "P2_P9_A5_post_files": p2_posts, "W1_keep_latest": w1_latest, "K2_upsert": k2_upsert, "W2_merge_latest": w2_merge, "W3_whole_row_dedup": w3_distinct, "P10_P11_times": p10_times,
+    "M1_M5_media_urls": m1_urls, "M6_M8_post_media": m8_post_media, "M9_M15_media_items": m9_items, "M9_post_items": m9_posts, "A4_media_stats": a4_stats,
+}
+
+_PAIRS = f"""pairs AS (SELECT t.event_id, b.event_id AS bar_id, t.symbol, greatest(t."timestamp", b."timestamp") AS ts, t.price, b.per_tick_volume FROM ticks t JOIN volumes b ON t.symbol = b.symbol AND b."timestamp" BETWEEN t."timestamp" - {S.WIDTH_MS} AND t."timestamp" + {S.WIDTH_MS})"""
+_VWAP = f"""vwap AS (SELECT symbol, (ts // {S.DAY_MS} + 1) * {S.DAY_MS} AS window_end, round(CASE WHEN sum(per_tick_volume) > 0 THEN sum(round(price, 6) * per_tick_volume) / sum(per_tick_volume) ELSE 0.0 END, 6) AS vwap, count(*) AS n_pairs FROM pairs GROUP BY 1, 2)"""
+_RANKED = f"""{P}, kept AS (SELECT 'g' || (doc_id % 61) AS id, doc_id AS n, score, selftext FROM posts WHERE reject_reason IS NULL
+QUALIFY row_number() OVER (PARTITION BY doc_id % 61 ORDER BY doc_id % 5 DESC, created DESC, title) = 1)"""
+SQL = {
+    "A3_vwap": f"WITH {E}, {_PAIRS}, {_VWAP} SELECT * FROM vwap",
+    "T4_per_tick_volume": f"WITH {E} SELECT * FROM volumes",
+    "T3_T1_stream_volume": f"WITH {E} SELECT * FROM volumes",
+    "J2_interval_join": f"WITH {E}, {_PAIRS} SELECT event_id, bar_id, symbol, ts FROM pairs",
+    "P12_P13_bars": f"""WITH {E} SELECT event_id, symbol, "timestamp", round(value, 4) AS open_price, CASE WHEN event_id % 7 <> 1 THEN event_id END AS volume, 'Finazon' AS provider, 'bars' AS channel, '1s' AS frequency, '1m' AS aggregation, CAST(NULL AS VARCHAR) AS data_source FROM ev WHERE event_id % 7 <> 0""",
+    "R17_T5_ticks": f"""WITH {E}, x AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN symbol ELSE 'unknown' END AS symbol, CASE WHEN event_id % 10 > 3 THEN CAST(event_id % 100 AS DOUBLE) END AS p, event_id % 10 AS k FROM ev WHERE event_id % 50 <> 7)
+SELECT 'strict' AS mode, event_id, symbol, p AS price FROM x WHERE k > 3 UNION ALL SELECT 'lenient', event_id, symbol, CASE WHEN k < 2 THEN 0.0 ELSE p END FROM x WHERE k NOT IN (2, 3)""",
+    "T8_bars_to_ticks": f"""WITH {E}, b AS (SELECT symbol, "timestamp" // {S.DAY_MS} * {S.DAY_MS} AS t, arg_min(value, ("timestamp", event_id)) AS o, arg_max(value, ("timestamp", event_id)) AS c FROM ev GROUP BY 1, 2)
+SELECT symbol, t + i * 11 AS "timestamp", round(round(o + i * (c - o) / 90, 5), 4) AS price FROM b, range(90) r(i)""",
+    "T2_latency": f"""WITH {E} SELECT event_id, (SELECT max("timestamp") FROM ticks) - "timestamp" AS latency_ms FROM ticks""",
+    "A6_bucket_mean": f"""WITH {E} SELECT symbol, ("timestamp" // 3600000 + 1) * 3600000 AS bucket_end, round(avg(price), 6) AS mean_price FROM ticks GROUP BY 1, 2""",
+    "Q1_W5_series_names": f"WITH {E}, {_PAIRS}, {_VWAP} SELECT DISTINCT symbol, 'replay' AS data_source FROM vwap WHERE window_end >= (SELECT max(window_end) FROM vwap) - 10 * {S.DAY_MS}",
+    "Q2_mean_latency": f"""WITH {E}, x AS (SELECT *, (SELECT max("timestamp") FROM ticks) - "timestamp" AS late FROM ticks) SELECT symbol, ("timestamp" // 3600000 + 1) * 3600000 AS bucket_end, round(avg(late), 3) AS mean_latency_ms FROM x WHERE late <= 5 * {S.DAY_MS} GROUP BY 1, 2""",
+    "Q3_mean_price": f"""WITH {E} SELECT symbol, ("timestamp" // 3600000 + 1) * 3600000 AS bucket_end, round(avg(price), 6) AS mean_price FROM ticks WHERE "timestamp" >= (SELECT max("timestamp") FROM ticks) - 5 * {S.DAY_MS} GROUP BY 1, 2""",
+    "Q4_vwap_series": f"WITH {E}, {_PAIRS}, {_VWAP} SELECT symbol, window_end AS ts, vwap FROM vwap WHERE window_end >= (SELECT max(window_end) FROM vwap) - 10 * {S.DAY_MS} ORDER BY 1, 2",
+    "K6_last_write_wins": f"""WITH {E} SELECT symbol, "timestamp" // 3600000 AS hour, max(event_id) AS event_id, arg_max(price, event_id) AS price FROM ticks GROUP BY 1, 2""",
+    "K7_S7_retention": f"""WITH {E} SELECT event_id, "timestamp", price FROM ticks WHERE "timestamp" >= (SELECT max("timestamp") FROM ticks) - 2 * {S.DAY_MS}""",
+    "R1_R8_P14_article_rules": f"WITH {N} SELECT doc_id, reject_reason, category, headline, source, url, image_url, summary, dt * 1000 AS published_at_utc FROM news",
+    "H1_H3_article_checksum": f"WITH {N} SELECT id, source_file, checksum_sha256 FROM articles",
+    "P1_P8_news_files": f"WITH {N} SELECT id, category, headline, source_file, checksum_sha256 FROM articles WHERE of_file NOT IN (SELECT of_file FROM raw WHERE id < 0)",
+    "P1_file_gate": f"WITH {N} SELECT of_file, bool_and(id >= 0 AND length(substr(headline, 1, 1)) = 1) AS envelope_ok FROM raw GROUP BY 1",
+    "S1_S3_K10_file_scan": "SELECT lang AS category, count(*) AS n, 1 AS n_files, count(*) AS article_count FROM documents GROUP BY 1",
+    "K1_K3_S6_append": f"WITH {N} SELECT id, headline, checksum_sha256 FROM articles WHERE source_file = 'news/en'",
+    "S5_table_scan": f"WITH {N}, n AS (SELECT count(*) AS n FROM articles) SELECT 'same' AS mode, n FROM n UNION ALL SELECT 'bad', n FROM n UNION ALL SELECT 'none', n FROM n UNION ALL SELECT 'other', 0",
+    "W4_newest_article": f"WITH {N}, x AS (SELECT id % 97 AS g, id, id % 7 AS p FROM articles) SELECT g AS id, id AS pos FROM x QUALIFY row_number() OVER (PARTITION BY g ORDER BY p DESC, id) = 1",
+    "V1_V4_H4_write_report": f"""WITH {N}, g AS (SELECT source_file, count(*) AS n, count(*) FILTER (id % 50 = 1) AS bad FROM articles GROUP BY 1)
+SELECT source_file, n AS n_clean, n AS n_expected, n AS n_written, bad AS n_bad_checksum, 0 AS n_dropped, true AS count_ok, bad = 0 AS checksum_ok FROM g""",
+    "A7_A1_batch_summary": f"WITH {N} SELECT source_file, count(*) AS n_written, 1700003000000 AS latest_scraped_at FROM articles GROUP BY 1",
+    "K9_K8_gate": f"""WITH {N} SELECT 'not_null:id' AS rule, 0 AS n_bad UNION ALL SELECT 'not_null:headline', 0 UNION ALL SELECT 'not_null:image_url', count(*) FROM articles WHERE image_url IS NULL
+UNION ALL SELECT 'enum:category', count(*) FROM articles WHERE category NOT IN ('en', 'fr', 'EN') UNION ALL SELECT 'unique:image_key', count(*) FROM (SELECT id % 100 FROM articles GROUP BY 1 HAVING count(*) > 1)""",
+    "K12_A2_handoff": "SELECT 1700003000000 AS first_scraped_at, 1700003000000 AS latest_scraped_at",
+    "E1_E7_enrich": rf"""WITH {N}, s AS (SELECT *, CASE WHEN length(summary) < 50 THEN array_to_string(string_split(regexp_replace(headline, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))[1:2], ' ') ELSE summary END AS final FROM articles),
+w AS (SELECT *, string_split_regex(lower(headline || '. ' || final), '[^\p{{L}}]+') AS ws FROM s), c AS (SELECT *, len(list_filter(ws, lambda x: x IN ('the', 'of'))) AS good, len(list_filter(ws, lambda x: x IN ('and', 'in'))) AS bad FROM w)
+SELECT id, category, dt * 1000 AS published_at, headline, final AS summary, url, round(CASE WHEN good + bad > 0 THEN greatest(good, bad) / (good + bad) ELSE 1.0 END, 6) AS sentiment_score,
+CASE WHEN good > bad THEN 'positive' WHEN bad > good THEN 'negative' ELSE 'neutral' END AS sentiment_label FROM c""",
+    "R9_R16_P15_post_rules": f"WITH {P} SELECT doc_id, reject_reason, title, author, CAST(floor(created * 1000) AS BIGINT) AS created_utc, score, num_comments, url, selftext, permalink, round(upvote_ratio, 6) AS upvote_ratio, is_original_content, is_self FROM posts",
+    "H2_post_checksum": f"""WITH {P} SELECT id, sha256(CAST(to_json({{'author': author, 'created_utc': strftime(to_timestamp(floor(created)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ'), 'id': id, 'is_original_content': is_original_content, 'is_self': is_self, 'num_comments': num_comments,
+'permalink': permalink, 'score': score, 'selftext': selftext, 'subreddit': subreddit, 'scraped_at': '2023-11-14T23:03:20Z', 'title': title, 'upvote_ratio': upvote_ratio, 'url': url, 'source_file': source_file}}) AS VARCHAR)) AS checksum_sha256 FROM posts WHERE reject_reason IS NULL""",
+    "P2_P9_A5_post_files": f"WITH {P} SELECT id, subreddit, title, score, num_comments, source_file FROM posts WHERE reject_reason IS NULL AND subreddit <> 'es'",
+    "W1_keep_latest": f"WITH {_RANKED} SELECT id, n FROM kept",
+    "K2_upsert": f"WITH {_RANKED} SELECT id, n FROM kept",
+    "W2_merge_latest": f"WITH {_RANKED} SELECT id, n, score <= 3 OR selftext IS NULL AS no_text FROM kept",
+    "J1_T6_stream_vwap": f"WITH {E}, {_PAIRS}, {_VWAP} SELECT * FROM vwap WHERE window_end < (SELECT max(window_end) FROM vwap)",
+    "W3_whole_row_dedup": "SELECT sha256(text) AS h, lang FROM (SELECT DISTINCT text, lang FROM documents)",
+    "P10_P11_times": "SELECT doc_id, strftime(to_timestamp(1700000000 + doc_id * 61) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS iso FROM documents",
+    "A4_media_stats": "SELECT count(*) FILTER (doc_id % 5 <> 0) AS posts_with_media, CAST(sum(CASE WHEN doc_id % 5 <> 0 THEN doc_id % 4 ELSE 0 END) AS BIGINT) AS total_media_items FROM documents",
+    "M1_M5_media_urls": r"""WITH u AS (SELECT page_id, page_id % 8 AS k, regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1) || (CASE WHEN regexp_matches(url, '[?#]') THEN '' ELSE '.png' END) AS p4, regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1) AS p5 FROM pages),
+x AS (SELECT page_id, CASE WHEN k = 0 THEN 'image' WHEN k = 1 THEN 'image' WHEN k = 2 THEN 'video' WHEN k = 3 THEN 'gif' WHEN k = 4 AND p4 LIKE '%.png' THEN 'image' WHEN k = 6 THEN 'video' END AS kind, k, p5 FROM u),
+y AS (SELECT *, CASE WHEN k = 0 THEN '.jpg' WHEN k = 4 AND kind = 'image' AND NOT p5 LIKE '%/' THEN '.png' WHEN k IN (2, 6) THEN '.mp4' WHEN k = 3 THEN '.gif' ELSE '.jpg' END AS ext FROM x)
+SELECT page_id, kind, kind IS NOT NULL AS is_media, ext, CASE ext WHEN '.png' THEN 'image/png' WHEN '.gif' THEN 'image/gif' WHEN '.mp4' THEN 'video/mp4' ELSE 'image/jpeg' END AS mime,
+'reddit/sub/' || coalesce(kind || 's/', '') || 'f' AS key FROM y""",
+    "M6_M8_post_media": r"""WITH u AS (SELECT page_id, page_id % 8 AS k, NOT regexp_matches(url, '[?#]') AS plain, url FROM pages), x AS (SELECT page_id,
+CASE WHEN page_id % 3 <> 0 AND (k IN (0, 1, 2, 3, 6) OR (k = 4 AND plain)) THEN 1 ELSE 0 END AS direct, CASE WHEN page_id % 5 = 0 AND k <> 7 THEN 1 ELSE 0 END AS gallery FROM u)
+SELECT page_id, CASE WHEN direct + gallery > 0 THEN direct + gallery ELSE -1 END AS n FROM x""",
+}
+_ITEMS = """i AS (SELECT doc_id AS id, p AS pos, (['image', 'gif', 'video', 'other'])[(doc_id + p) % 4 + 1] AS kind, CASE WHEN (doc_id + p) % 6 <> 0 THEN (['image/png', 'image/gif', 'video/mp4', 'image/jpeg', NULL])[(doc_id + 2 * p) % 5 + 1] END AS mime,
+CASE WHEN (doc_id + p) % 6 <> 0 THEN (doc_id * 7 + p) % 10 * 10000000 END AS size, CASE WHEN (doc_id + p) % 6 <> 0 AND (doc_id + p) % 11 = 0 THEN 'broken' END AS failure FROM documents, range(3) r(p) WHERE doc_id % 5 <> 0 AND p < doc_id % 4),
+v AS (SELECT *, CASE WHEN mime IS NULL THEN 'content not found or of unknown type' WHEN NOT ((kind = 'image' AND mime LIKE 'image/%' AND mime <> 'image/gif') OR (kind = 'gif' AND mime = 'image/gif') OR (kind = 'video' AND mime LIKE 'video/%')) THEN 'content is ' || mime || ', not ' || kind END AS ve FROM i),
+c AS (SELECT *, CASE WHEN ve IS NULL THEN failure END AS ce FROM v), s AS (SELECT *, CASE WHEN ve IS NULL AND ce IS NULL AND size > 52428800 THEN 'exceeds limit of 52428800 bytes' END AS se FROM c),
+o AS (SELECT id, pos, CASE kind WHEN 'image' THEN 'jpeg' ELSE 'mp4' END AS fmt, size, ve, ce, se, ve IS NULL AND ce IS NULL AND se IS NULL AS good FROM s)"""
+SQL |= {
+    "M9_M15_media_items": f"""WITH {_ITEMS} SELECT id, pos, CASE WHEN good THEN 's3a://trusted-zone/processed_media/reddit/x/' || id || '-' || pos || '.' || fmt END AS tz_url, CASE WHEN good THEN fmt END AS tz_format,
+CASE WHEN good THEN size END AS tz_size_bytes, ve AS validation_error, ce AS conversion_error, se AS size_error FROM o""",
+    "M9_post_items": f"WITH {_ITEMS} SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN -1 ELSE (SELECT count(*) FROM o WHERE o.id = doc_id AND good) END AS n FROM documents",
+}
