@@ -6,6 +6,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidewater.functions.text import iso_micros, iso_seconds
 
@@ -33,6 +34,6 @@ def checksum(kind: str, compat: bool = False) -> Column:
     return F.sha2(F.to_json(payload(kind), {"ignoreNullFields": "false"}), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _python_json(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: hashlib.sha256(json.dumps(json.loads(t), separators=(",", ":")).encode()).hexdigest(), na_action="ignore")
