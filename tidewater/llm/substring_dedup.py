@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import CHUNK_BYTES, answered, chunked, documents, table, unpacked
@@ -161,10 +161,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     def by_chunk(side: DataFrame, f, schema: str) -> DataFrame:
         return chunks.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInArrow(f, schema)
 
-    windows = answered(
-        by_chunk(shared, extend, "chunk long, a long, b long, doc long, start long, n long"),
-        ["a", "b"], [F.sum("n").alias("total"), F.min(F.struct("doc", "start")).alias("first")], F.col("total") > 1,
-    )
+    # one row for each chunk and window, so that a key's group is as many rows as chunks hold it, whatever the copies in them
+    same = Window.partitionBy("a", "b")
+    windows = by_chunk(shared, extend, "chunk long, a long, b long, doc long, start long, n long")
+    windows = windows.select("chunk", "a", "b", F.sum("n").over(same).alias("total"), F.min(F.struct("doc", "start")).over(same).alias("first")).where("total > 1")
     side = windows.select("chunk", F.lit(None).cast("boolean").alias("whole"), "a", "b", F.col("first.doc").alias("least"), F.col("first.start").alias("start"))
     side = side.unionByName(shared.where("whole"), allowMissingColumns=True)
 
