@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding: forward states over a trie of distinct marked words, depth-first."""
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -42,6 +43,12 @@ class Vocabulary:
                 self.ids[piece], self.scores[piece] = i, sp.get_score(i)
                 self.bytes_of[i] = piece.replace(MARK, " ").encode()
         self.longest = max(map(len, self.ids), default=1)
+        tails: dict[str, set[int]] = {}
+        for piece in self.ids:
+            if len(piece) > 2:
+                tails.setdefault(piece[-3:], set()).add(len(piece))
+        #: Lengths that a piece may have by the last three characters, the longest first; 2 and 1 always may be.
+        self.tails = {t: (*sorted(n, reverse=True), 2, 1) for t, n in tails.items()}
         if any(a != MARK and b == MARK for p in self.ids for a, b in zip(p, p[1:], strict=False)):
             raise ValueError("a piece goes on across the start of a word")
         # line ends and tabs that are in no piece stand alone, so that they needn't make words longer
@@ -71,29 +78,40 @@ class Vocabulary:
         """Whether the merges of both pieces together leave them as they are."""
         known = self.joins.get((last, piece))
         if known is None:
-            if len(self.joins) > 2_000_000:
+            if len(self.joins) > 1_000_000:
                 self.joins.clear()
             known = self.joins[(last, piece)] = self.merged(last + piece) == ([last, piece] if last else [piece])
         return known
 
-    def step(self, word: str, end: int, state: list[tuple[float, int]]) -> tuple[float, int]:
-        """(score, length of the last piece) of the prefix that ends at end, from the states of shorter prefixes."""
-        best = (-float("inf"), 1)
-        for n in range(min(end, self.longest), 0, -1):
-            piece = word[end - n : end]
-            score = self.scores.get(piece)
-            if score is None:
-                if n > 1:
+    def _lengths(self, word: str, common: int, state: list[int]) -> None:
+        """bpe: the length of the last piece of each prefix longer than common, appended to state."""
+        ids, tails, joins = self.ids, self.tails, self.joins
+        for end in range(common + 1, len(word) + 1):
+            for n in tails.get(word[end - 3 : end], (2, 1)) if end > 2 else (2, 1):
+                start = end - n
+                if start < 0:
                     continue
-                score = self.lowest
-            start = end - n
-            if self.kind == "bpe":
-                last = word[start - state[start][1] : start] if start else ""
-                if self.follows(last, piece):
-                    return (0.0, n)
-            elif state[start][0] + score > best[0]:
-                best = (state[start][0] + score, n)
-        return best
+                piece = word[start:end]
+                if n > 1 and piece not in ids:
+                    continue
+                last = word[start - state[start] : start] if start else ""
+                fits = joins.get((last, piece))
+                if fits is None:
+                    fits = self.follows(last, piece)
+                if fits:
+                    state.append(n)
+                    break
+
+    def _best(self, word: str, common: int, state: list[int], sums: list[float]) -> None:
+        """unigram: the same, and the largest sum of scores of each prefix in sums."""
+        for end in range(common + 1, len(word) + 1):
+            best = (-float("inf"), 1)
+            for n in range(1, min(end, self.longest) + 1):
+                score = self.scores.get(word[end - n : end], self.lowest if n == 1 else None)
+                if score is not None:
+                    best = max(best, (sums[end - n] + score, n))
+            sums.append(best[0])
+            state.append(best[1])
 
     def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
         """Each word with its ids as little-endian int32.
@@ -101,7 +119,7 @@ class Vocabulary:
         The words in sorted order are the depth-first order of their trie: the states up to the
         common prefix with the word before stay, only those below it are computed.
         """
-        before, state = "", [(0.0, 0)]
+        ids, before, state, sums = self.ids, "", [0], [0.0]
         for word in sorted(words):
             common = 0
             for a, b in zip(before, word, strict=False):
@@ -109,16 +127,22 @@ class Vocabulary:
                     break
                 common += 1
             del state[common + 1 :]
-            for end in range(common + 1, len(word) + 1):
-                state.append(self.step(word, end, state))
-            before, ids, end = word, [], len(word)
+            if self.kind == "bpe":
+                self._lengths(word, common, state)
+            else:
+                del sums[common + 1 :]
+                self._best(word, common, state, sums)
+            before, found, end = word, array("i"), len(word)
             while end:
-                n = state[end][1]
-                piece = word[end - n : end]
-                i = self.ids.get(piece)
-                ids.extend([i] if i is not None else [self.byte_ids[b] for b in reversed(piece.encode())])
-                end -= n
-            yield word, np.array(ids[::-1], "<i4").tobytes()
+                start = end - state[end]
+                i = ids.get(word[start:end])
+                if i is not None:
+                    found.append(i)
+                else:
+                    found.extend([self.byte_ids[b] for b in reversed(word[start:end].encode())])
+                end = start
+            found.reverse()
+            yield word, found.tobytes()
 
     def decode(self, ids: Iterable[int]) -> str:
         text = b"".join([self.bytes_of[i] for i in ids])
