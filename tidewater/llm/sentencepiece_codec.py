@@ -15,8 +15,8 @@ from tidewater.llm.common import documents, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Characters of text worked on at once, and different words whose pieces a task keeps.
-SPAN, KEPT_WORDS = 2 << 20, 400_000
+#: Characters of text worked on at once, and different words whose pieces a Python worker keeps.
+SPAN, KEPT_WORDS = 2 << 20, 500_000
 
 
 class Vocabulary:
@@ -56,6 +56,8 @@ class Vocabulary:
         self.words_of = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + (f"|[{alone}]" if alone else "")).findall
         self.lowest = min(self.scores.values(), default=0.0) - 10
         self.joins: dict[tuple[str, str], bool] = {}
+        #: Ids of words, kept from one span and task of a Python worker to the next.
+        self.known: dict[str, bytes] = {}
 
     def marked(self, text: str) -> list[str]:
         return self.words_of(MARK + text.replace(" ", MARK)) if text else []
@@ -160,26 +162,26 @@ def encode(docs: DataFrame, model: str = MODEL, kind: str = "bpe") -> DataFrame:
 
     Words are told apart where a mark follows another character; no piece crosses that. The distinct
     words of a span of texts are sorted into a trie once, by the task that reads them, so nothing is shuffled, and a
-    task keeps KEPT_WORDS words at most. Null texts count as empty and have no pieces; characters
+    Python worker keeps about KEPT_WORDS words. Null texts count as empty and have no pieces; characters
     outside the vocabulary become bytes. A mark that a text itself holds is read as a space. Null ids are carried;
     repeated rows repeat their result; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, known = vocabulary(model, kind), {}
+        v = vocabulary(model, kind)
         for batch in batches:
             texts, start, size = batch.column("text").to_pylist(), 0, 0
             for end, t in enumerate(texts, 1):
                 size += len(t)
                 if size < SPAN and end < len(texts):
                     continue
-                new = set()
-                for x in texts[start:end]:
-                    new.update(v.marked(x))
-                if len(known) > KEPT_WORDS:
-                    known = {w: known[w] for w in new if w in known}
-                known.update(v.encode_words(new.difference(known)))
-                coded = [b"".join([known[w] for w in v.marked(x)]) for x in texts[start:end]]
+                split = [v.marked(x) for x in texts[start:end]]
+                words = set().union(*split)
+                if len(v.known) > KEPT_WORDS:
+                    v.known = {w: v.known[w] for w in words if w in v.known}
+                known = v.known
+                known.update(v.encode_words(words.difference(known)))
+                coded = [b"".join([known[w] for w in s]) for s in split]
                 counts = np.array([len(c) // 4 for c in coded], np.int32)
                 flat = pa.array(np.frombuffer(b"".join(coded), "<i4"))
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), flat)
