@@ -155,9 +155,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         a, b, doc, start = a[order], b[order], doc[order], start[order]
         new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)])
         n = np.diff(np.append(new, len(a)))
-        # in the order of the text again: neighbouring rows then share most of their bytes, which the shuffle's compression uses
-        order = np.lexsort((start[new], doc[new]))
-        new, n = new[order], n[order]
         chunk = left.column("chunk")[0].as_py() if left.num_rows else 0
         return pa.table({"chunk": pa.array(np.full(len(new), chunk, np.int64)), "a": pa.array(a[new].view(np.int64)), "b": pa.array(b[new].view(np.int64)), "doc": pa.array(doc[new]), "start": pa.array(start[new]), "n": pa.array(n.astype(np.int64))})
 
