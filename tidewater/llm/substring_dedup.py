@@ -14,6 +14,8 @@ from tidewater.llm.common import CHUNK_BYTES, answered, chunked, documents, tabl
 
 #: Words of a repeat at least, and words of an anchor. Any repeat holds LENGTH - ANCHOR + 1 anchors in a row.
 LENGTH, ANCHOR = 20, 6
+#: Bits of an anchor's hash left out in counts: 48 stay. A chance match adds windows to compare, never a repeat.
+SPARED = np.uint64(16)
 #: Sorts after any id: stands for a null doc_id.
 LAST = np.iinfo(np.int64).max
 
@@ -62,7 +64,7 @@ def among(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def anchors_of(h: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
     """The anchor (least hash of the word groups inside) of each window of length words, and the hashes of all groups."""
-    groups = run_hashes(h, anchor, 1)
+    groups = run_hashes(h, anchor, 1) >> SPARED
     return least_of(groups, length - anchor + 1), groups
 
 
