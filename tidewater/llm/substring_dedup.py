@@ -168,7 +168,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
     # one row for each chunk and window, so that a key's group is as many rows as chunks hold it, whatever the copies in them
     same = Window.partitionBy("a", "b")
-    windows = by_chunk(shared, extend, "chunk long, a long, b long, doc long, start long, n long")
+    windows = by_chunk(shared, extend, "chunk long, a long, b long, doc long, start long, n long").repartition("a", "b")  # plain columns cross the network, structs are made behind it
     windows = windows.select("chunk", "a", "b", "n", F.struct("doc", "start").alias("own"), F.min(F.struct("doc", "start")).over(same).alias("first"))
     # a chunk whose only such window is the earliest one has nothing to remove and needs no answer
     windows = windows.where((F.col("n") > 1) | (F.col("first") < F.col("own")))
