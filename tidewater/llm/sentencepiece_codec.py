@@ -1,21 +1,23 @@
 """SentencePiece encoding and decoding: forward states over a trie of distinct marked words, depth-first."""
 
+import hashlib
 import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidewater.llm.common import documents, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Characters of text worked on at once, and different words whose pieces a Python worker keeps.
+#: Characters of text worked on at once, and different words (and pairs of pieces) that a Python worker keeps.
 SPAN, KEPT_WORDS = 2 << 20, 500_000
 
 
@@ -32,16 +34,17 @@ class Vocabulary:
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         size = sp.get_piece_size()
         self.kind, self.ids, self.scores = kind, {}, {}
-        self.bytes_of: list[bytes] = [b""] * size
+        bytes_of = [b""] * size
         self.byte_ids = [sp.unk_id()] * 256
         for i in range(size):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
-                self.bytes_of[i] = bytes([int(piece[3:5], 16)])
+                bytes_of[i] = bytes([int(piece[3:5], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.ids[piece], self.scores[piece] = i, sp.get_score(i)
-                self.bytes_of[i] = piece.replace(MARK, " ").encode()
+                bytes_of[i] = piece.replace(MARK, " ").encode()
+        self.pieces = pa.array(bytes_of, pa.large_binary())
         self.longest = max(map(len, self.ids), default=1)
         tails: dict[str, set[int]] = {}
         for piece in self.ids:
@@ -80,7 +83,7 @@ class Vocabulary:
         """Whether the merges of both pieces together leave them as they are."""
         known = self.joins.get((last, piece))
         if known is None:
-            if len(self.joins) > 1_000_000:
+            if len(self.joins) > KEPT_WORDS:
                 self.joins.clear()
             known = self.joins[(last, piece)] = self.merged(last + piece) == ([last, piece] if last else [piece])
         return known
@@ -146,10 +149,6 @@ class Vocabulary:
             found.reverse()
             yield word, found.tobytes()
 
-    def decode(self, ids: Iterable[int]) -> str:
-        text = b"".join([self.bytes_of[i] for i in ids])
-        return text.removeprefix(b" ").decode("utf-8", "replace")
-
 
 @lru_cache(2)
 def vocabulary(model: str, kind: str = "bpe") -> Vocabulary:
@@ -157,6 +156,54 @@ def vocabulary(model: str, kind: str = "bpe") -> Vocabulary:
     return Vocabulary(model, kind)
 
 
+def encoded_batches(batches: Iterator[pa.RecordBatch], model: str, kind: str) -> Iterator[pa.RecordBatch]:
+    """Batches of doc_id and text with ids and n_pieces, a span of texts at a time."""
+    v = vocabulary(model, kind)
+    for batch in batches:
+        texts, start, size = batch.column("text").to_pylist(), 0, 0
+        for end, t in enumerate(texts, 1):
+            size += len(t)
+            if size < SPAN and end < len(texts):
+                continue
+            split = [v.marked(x) for x in texts[start:end]]
+            rows = np.cumsum([0, *map(len, split)])
+            column = pa.array(chain.from_iterable(split), pa.large_string()).dictionary_encode()
+            del split
+            words = column.dictionary.to_pylist()
+            if len(v.known) > KEPT_WORDS:
+                v.known = {w: v.known[w] for w in words if w in v.known}
+            known = v.known
+            known.update(v.encode_words([w for w in words if w not in known]))
+            # taking the ids of each word in turn leaves those of the whole span side by side
+            taken = pa.array([known[w] for w in words], pa.large_binary()).take(column.indices)
+            data, ends = parts_of(taken)
+            offsets = (ends[rows] // 4).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(data, "<i4")))
+            part = batch.slice(start, end - start)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), ids, pa.array(np.diff(offsets))], names=["doc_id", "text", "ids", "n_pieces"])
+            start, size = end, 0
+
+
+def decoded_batches(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
+    """Batches with a list column ids and the further column decoded, a few rows at a time."""
+    v = vocabulary(model)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            lists = part.column("ids")
+            rows = np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_pylist()])
+            data, ends = parts_of(v.pieces.take(lists.flatten()))
+            ends = ends[rows].tolist()
+            texts = [data[a:b].removeprefix(b" ").decode("utf-8", "replace") for a, b in pairwise(ends)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
+
+
+def parts_of(values: pa.LargeBinaryArray) -> tuple[bytes, np.ndarray]:
+    """The bytes of a fresh array side by side, and where each value starts, with the end of the last."""
+    _, ends, data = values.buffers()
+    return data.to_pybytes() if data else b"", np.frombuffer(ends, "<i8")[: len(values) + 1] if ends else np.zeros(1, np.int64)
+
+
 def encode(docs: DataFrame, model: str = MODEL, kind: str = "bpe") -> DataFrame:
     """doc_id, text, ids and n_pieces for every row of docs, as the model's own library would encode them.
 
@@ -166,53 +213,29 @@ def encode(docs: DataFrame, model: str = MODEL, kind: str = "bpe") -> DataFrame:
     outside the vocabulary become bytes. A mark that a text itself holds is read as a space. Null ids are carried;
     repeated rows repeat their result; an empty table gives an empty result.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model, kind)
-        for batch in batches:
-            texts, start, size = batch.column("text").to_pylist(), 0, 0
-            for end, t in enumerate(texts, 1):
-                size += len(t)
-                if size < SPAN and end < len(texts):
-                    continue
-                split = [v.marked(x) for x in texts[start:end]]
-                words = set().union(*split)
-                if len(v.known) > KEPT_WORDS:
-                    v.known = {w: v.known[w] for w in words if w in v.known}
-                known = v.known
-                known.update(v.encode_words(words.difference(known)))
-                coded = [b"".join([known[w] for w in s]) for s in split]
-                counts = np.array([len(c) // 4 for c in coded], np.int32)
-                flat = pa.array(np.frombuffer(b"".join(coded), "<i4"))
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), flat)
-                part = batch.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), ids, pa.array(counts)], names=["doc_id", "text", "ids", "n_pieces"])
-                start, size = end, 0
-
-    return documents(docs).mapInArrow(run, "doc_id long, text string, ids array<int>, n_pieces int")
+    return documents(docs).mapInArrow(lambda batches: encoded_batches(batches, model, kind), "doc_id long, text string, ids array<int>, n_pieces int")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """encoded with the further column decoded, the text of its column ids; null ids lists count as empty."""
+    """encoded with the further column decoded, the text of its column ids; null ids lists count as empty, nulls in them as nothing."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    return encoded.mapInArrow(lambda batches: decoded_batches(batches, model), schema + ", decoded string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model)
-        for batch in batches:
-            column = batch.column("ids")
-            at = 0
-            while at < batch.num_rows:  # a few rows at a time: lists of numbers are large in Python
-                part = batch.slice(at, 256)
-                texts = [v.decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else ()) for x in column.slice(at, 256)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
-                at += 256
 
-    return encoded.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded string")
+def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """doc_id, ids, n_pieces, the decoded text's SHA-256, and whether it equals the text (marks read as spaces).
+
+    Encodes and decodes in one pass, so that texts go to Python once and don't come back.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in decoded_batches(encoded_batches(batches, model, "bpe"), model):
+            texts, decoded = part.column("text").to_pylist(), part.column("decoded").to_pylist()
+            digests = pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded], pa.string())
+            equal = pa.array([d == t.replace(MARK, " ") for d, t in zip(decoded, texts, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "ids", "n_pieces")), digests, equal], names=["doc_id", "ids", "n_pieces", "decoded_sha256", "round_trip"])
 
-def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, ids, n_pieces, the decoded text's SHA-256, and whether it equals the text (marks read as spaces)."""
-    both = decode(encode(docs, model), model)
-    return both.select("doc_id", "ids", "n_pieces", F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.replace("text", F.lit(MARK), F.lit(" "))).alias("round_trip"))
+    return documents(docs).mapInArrow(run, "doc_id long, ids array<int>, n_pieces int, decoded_sha256 string, round_trip boolean")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
