@@ -132,6 +132,17 @@ def test_sentencepiece(docs):
     assert all(list(r["ids"]) == sp.encode(texts[r["doc_id"]]) for r in rows if r["doc_id"] is not None)
 
 
+def test_sentencepiece_encode_and_decode_alone(spark):
+    sp = __import__("sentencepiece").SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    for texts in (["", ""], [None, "a", "two words"], []):
+        docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, decoded string").coalesce(1)
+        rows = sentencepiece_codec.decode(sentencepiece_codec.encode(docs)).orderBy("doc_id").collect()
+        assert [(list(r["ids"]), r["n_pieces"], r["decoded"]) for r in rows] == [(sp.encode(t or ""), len(sp.encode(t or "")), t or "") for t in texts]
+    a = sp.encode("a b")
+    given = spark.createDataFrame([(0, None), (1, []), (2, [a[0], None, *a[1:]])], "k long, ids array<int>")
+    assert [r["decoded"] for r in sentencepiece_codec.decode(given).orderBy("k").collect()] == ["", "", "a b"]
+
+
 def test_unigram_viterbi():
     v = sentencepiece_codec.Vocabulary(kind="unigram")
     for word, ids in v.encode_words({"▁the", "▁then", "▁there", "▁abc☃"}):
