@@ -112,6 +112,37 @@ def test_links_of_split_cells(spark):
                 assert group[signed[i]] == group[signed[j]]
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (split(lower(a)), split(lower(b))))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_by_shingle_similarity(spark):
+    """Planted copies at 0.8 to 0.95 go, those below stay, as a comparison of all pairs says; also where a group is split into blocks."""
+    r = random.Random(11)
+    texts = []
+    for n in (100, 150, 250, 400, 600, 900):
+        for changes in (0.006, 0.012, 0.02, 0.03, 0.05):
+            base = [f"w{r.randrange(5000)}" for _ in range(n)]
+            copy = list(base)
+            for i in r.sample(range(n), max(1, int(n * changes))):
+                copy[i] = "new"
+            texts += [" ".join(base), " ".join(copy)]
+    base = [f"v{r.randrange(5000)}" for _ in range(200)]
+    texts += [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in range(0, 200, 5)] + ["", "  ", None, "a b", "A  b"]
+    group = list(range(len(texts)))
+    sims = {(i, j): jaccard(texts[i] or "", texts[j] or "") for i in range(len(texts)) for j in range(i)}
+    assert sum(0.8 <= s <= 0.95 for s in sims.values()) >= 15 and sum(0.5 < s < 0.8 for s in sims.values()) >= 5
+    for _ in range(5):
+        for (i, j), s in sims.items():
+            if s >= 0.8:
+                group[i] = group[j] = min(group[i], group[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for block in (1024, 7):
+        assert {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_groups(docs, block).collect()} == dict(enumerate(group))
+    assert sorted(r["doc_id"] for r in simhash_dedup.drop_near_duplicates(docs).collect()) == sorted(set(group))
+
+
 def test_decontamination(spark, docs):
     item = PASSAGE.split()
     item[7] = "changed"

@@ -1,4 +1,4 @@
-"""SimHash near-dedup: segment popcounts, a grid range join under Manhattan distance, exact verification."""
+"""Near-dedup: SimHash with segment popcounts and a grid range join under Manhattan distance; shingle similarity with MinHash bands; exact verification."""
 
 import itertools
 from collections.abc import Iterator
@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import documents, rows_of, stored, table
+from tidewater.llm.common import answered, documents, rows_of, stored, table
 
 #: Words in a shingle, differing bits that still link, hash seed.
 WORDS, MAX_BITS, SEED = 4, 4, 42
@@ -17,6 +17,9 @@ WORDS, MAX_BITS, SEED = 4, 4, 42
 SEGMENT, PARTS, CELL = 2, 6, 4096
 #: Members up to which a cell gives all its links; a larger one gives a spanning forest of them.
 SMALL = 24
+#: Of drop_near_duplicates: words in a shingle and the Jaccard similarity that links; bands of a text and minima in a band; texts and shingles in a block.
+SHINGLE, SIMILAR, BANDS, ROWS, BLOCK, BLOCK_WORDS = 5, 0.8, 24, 6, 1024, 4 << 20
+_FACTORS, _OFFSETS = (np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.uint64(1))
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -218,9 +221,103 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BIT
     return fps.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingles(text: bytes, words: int = SHINGLE) -> np.ndarray:
+    """The distinct XXH64 hashes of the shingles of a text, sorted; a shorter text is one shingle, one without words has none."""
+    found = text.lower().split()
+    k = min(words, len(found))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(found[i : i + k]), SEED) for i in range(len(found) - k + 1)] if found else [], np.uint64))
+
+
+def bands(own: np.ndarray) -> np.ndarray:
+    """One hash for each band: two sets of similarity s agree on a band with probability s to the power of ROWS."""
+    mins = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), 1024):
+        mins = np.minimum(mins, (own[at : at + 1024, None] * _FACTORS + _OFFSETS).min(axis=0))
+    rows = mins.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)], np.uint64)
+
+
+def similar_links(sets: list[np.ndarray], side: np.ndarray | None = None, share: float = SIMILAR) -> list[tuple[int, int]]:
+    """A forest of the pairs of sets whose Jaccard similarity reaches share, counted exactly; with side, of those on different sides."""
+    size = np.array([len(x) for x in sets])
+    order = np.argsort(size, kind="stable")
+    size, side = size[order], None if side is None else side[order]
+    codes = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)[1]
+    edges = np.concatenate(([0], np.cumsum(size)))
+    mark, part, out = np.zeros(int(codes.max(initial=0)) + 1, bool), np.arange(len(sets)), []
+    ends = np.searchsorted(size, size / share + 1e-9, side="right")  # a set larger than that cannot be similar enough
+    for i, end in enumerate(ends.tolist()):
+        open_ = part[i + 1 : end] != part[i]
+        if side is not None:
+            open_ &= side[i + 1 : end] != side[i]
+        if not open_.any() or not size[i]:
+            continue
+        mark[codes[edges[i] : edges[i + 1]]] = True
+        common = np.add.reduceat(mark[codes[edges[i + 1] : edges[end]]], edges[i + 1 : end] - edges[i + 1], dtype=np.int64)
+        mark[codes[edges[i] : edges[i + 1]]] = False
+        for j in (np.flatnonzero(open_ & (common >= share * (size[i] + size[i + 1 : end] - common) - 1e-9)) + i + 1).tolist():
+            if part[i] != part[j]:
+                part[part == part[j]] = part[i]
+                out.append((int(order[i]), int(order[j])))
+    return out
+
+
+def similar_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id and component_id for every row: groups linked by a Jaccard similarity of SIMILAR over shingles of SHINGLE words.
+
+    SimHash has no radius for this: five-word fingerprints at a similarity of 0.8 differ by 8 bits on average, and a grid
+    that is sure of 12 or more has cells of a few bits. So candidates come from MinHash bands, which find a pair of similarity 0.8 with
+    probability 0.9993 and more similar ones more surely. Texts connected by candidates meet once, and all their pairs are
+    verified on their whole shingle sets. A larger set of them is split into blocks; each two blocks meet in a task
+    of their own. Texts with equal shingle sets are compared once (by a hash of 64 bits). Null ids as in near_duplicates.
+    """
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in rows_of(batches):
+            sets = [shingles(t) for t in texts]
+            keys = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            found = [bands(s).view(np.int64) if len(s) else [] for s in sets]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": pa.array(keys), "size": pa.array([len(s) for s in sets], pa.int64()), "bands": pa.array(found, pa.list_(pa.int64()))})
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in rows_of(batches):
+            sets = [shingles(t).tobytes() for t in texts]
+            keys = np.array([xxhash.xxh3_64_intdigest(s) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys), "own": pa.array(sets, pa.binary())})
+
+    def verify(rows: pa.Table) -> pa.Table:
+        keys, lo = rows.column("key").to_pylist(), rows.column("is_lo").to_numpy(zero_copy_only=False)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("own")]
+        same = rows.column("lo")[0] == rows.column("hi")[0]
+        links = similar_links(sets, None if same else lo)
+        return pa.table({"a": pa.array([keys[i] for i, _ in links], pa.int64()), "b": pa.array([keys[j] for _, j in links], pa.int64())})
+
+    docs = documents(docs)
+    signed = stored(docs.mapInArrow(sign, "doc_id long, key long, size long, bands array<long>"))
+    reps = stored(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    dealt = answered(reps.select("key", F.explode("bands").alias("band")), ["band"], [F.min("key").alias("least"), F.count("*").alias("n")], F.col("n") > 1)
+    near = components(dealt.select(F.col("key").alias("a"), F.col("least").alias("b")))
+    near = stored(near.join(reps.select("key", "rep", "size"), near["node"] == reps["key"]).select("key", "rep", "size", "component"))
+    near = answered(near, ["component"], [F.count("*").alias("n"), F.sum("size").alias("words")])
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
+    near = stored(near.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))
+    texts = docs.join(near.select(F.col("rep").alias("_rep")).distinct(), docs["doc_id"].eqNullSafe(F.col("_rep")), "left_semi")
+    sets = stored(texts.mapInArrow(gather, "key long, own binary")).dropDuplicates(["key"])
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("mine", j).alias("lo"), F.greatest("mine", j).alias("hi")))
+    met = near.join(sets, "key").withColumn("meet", F.explode(meets))
+    met = met.select("component", "meet.lo", "meet.hi", (F.col("mine") == F.col("meet.lo")).alias("is_lo"), "key", "own")
+    links = met.groupBy("component", "lo", "hi").applyInArrow(verify, "a long, b long")
+    found = components(links)
+    named = reps.join(found, reps["key"] == found["node"], "left").select("key", "rep", "component")
+    least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"))
+    known = stored(named.join(stored(least), "component", "left").select("key", F.coalesce("least", "rep").alias("component_id")))
+    return signed.select("doc_id", "key").join(known, "key").select("doc_id", "component_id")
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id names their group: one document of each group stays, all columns carried."""
-    kept = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    """The rows of docs whose doc_id names their group of similar texts: one document of each group stays, all columns carried."""
+    kept = similar_groups(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
     return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_keep"]), "left_semi")
 
 
