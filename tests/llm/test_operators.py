@@ -1,6 +1,7 @@
 """The operators on small fixtures with nulls, empty and long texts, ties, repeated rows, clashing columns, and against plain versions."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -155,6 +156,36 @@ def test_decontamination(spark, docs):
     assert kept.columns == docs.columns and kept.count() == docs.count() - 3
 
 
+def test_masks_meet_every_overlap():
+    """All places of the allowed substitutions up to 25 words; a longer overlap has one of 13 to 25 words with the same share of equal words."""
+    for n in range(decontaminate.SHORTEST, 26):
+        wrong = np.array(list(itertools.combinations(range(n), n // 5)))
+        equal = np.ones((len(wrong), n), bool)
+        equal[np.arange(len(wrong))[:, None], wrong] = False
+        met = np.zeros(len(wrong), bool)
+        for mask in decontaminate.SEEDS:
+            seen = np.array([k for k, x in enumerate(mask) if x == "1"])
+            for at in range(n - len(mask) + 1):
+                met |= equal[:, seen + at].all(axis=1)
+        assert met.all(), n
+
+
+def test_overlaps_with_substitutions_and_short_items():
+    r = random.Random(5)
+    found = lambda item, text: {o[0] for o in decontaminate.overlaps(decontaminate.build_index([(1, " ".join(item))]), " ".join(text).encode())}
+    around = lambda x: [*(f"u{i}" for i in range(9)), *x, *(f"v{i}" for i in range(9))]
+    for n in (8, 9, 10, 11, 12, 13, 15, 20, 50, 100, 1000):
+        item = [f"w{i}" for i in range(n)]
+        tried = [range(4, n, 5), *([r.sample(range(n), n // 5) for _ in range(50)])]
+        for wrong in tried:
+            assert found(item, around("x" if i in wrong else w for i, w in enumerate(item))) == {1}
+        assert found(item, around("x" if i in (1, 2, 4, 6, 7) or i % 3 == 0 else w for i, w in enumerate(item))) == set()
+    for n in range(1, 8):
+        item = [f"w{i}" for i in range(n)]
+        assert found(item, around(item)) == {1} and found(item, around([*item[:-1], "x"])) == found(item, around(item[:-1])) == set()
+    assert found([], around([])) == set()
+
+
 def test_sentencepiece(docs):
     sp = __import__("sentencepiece").SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
     rows = sentencepiece_codec.round_trip(docs).collect()

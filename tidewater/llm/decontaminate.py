@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import documents, rows_of, stored, table
 
-#: Token positions that count (1) and that are ignored (0): the masks tolerate a substituted word at different places.
-SEEDS = ("11111011", "1110110111", "110110011011")
-#: An overlap counts from this many words (or a whole shorter item of at least SHORTEST), at this share of equal words.
+#: Token positions that count (1) and that are ignored (0). Every overlap of MIN_WORDS words, and every whole item from SHORTEST words,
+#: with MIN_SHARE of equal words has a place where one of them sees equal words alone (a test enumerates all substitutions).
+SEEDS = ("11111", "110111", "11001011")
+#: An overlap counts from this many words (or a whole shorter item of at least SHORTEST), at this share of equal words; a shorter item as a whole phrase.
 MIN_WORDS, SHORTEST, MIN_SHARE = 13, 8, 0.8
 #: Words of test items in one block: bounds what is broadcast; further blocks take further passes.
 BLOCK_WORDS = 2_000_000
@@ -41,31 +42,35 @@ def _hashes(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Index:
-    """A block of test items: their words as numbers, and for each mask the sorted hashes with their places."""
+    """A block of test items: their words as numbers, and for each mask (of short items, their length) the sorted hashes with their places."""
 
     vocabulary: dict[bytes, int]
     items: list[tuple[int, np.ndarray]]
-    tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    tables: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]
 
 
 def build_index(items: list[tuple[int, str]], masks: tuple[str, ...] = SEEDS) -> Index:
     vocabulary: dict[bytes, int] = {}
     coded = [(i, np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of((t or "").encode())], np.int64)) for i, t in items]
     tables = []
-    for mask in masks:
-        parts = [(h := _hashes(ids, mask)[0], np.full(len(h), k), np.arange(len(h))) for k, (_, ids) in enumerate(coded)]
-        hs, ks, at = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
+    of_mask = [(mask, [k for k, (_, ids) in enumerate(coded) if len(ids) >= SHORTEST]) for mask in masks]
+    of_mask += [("1" * n, [k for k, (_, ids) in enumerate(coded) if len(ids) == n]) for n in range(1, SHORTEST)]
+    for mask, own in of_mask:
+        if not own:
+            continue
+        parts = [(h := _hashes(coded[k][1], mask)[0], np.full(len(h), k), np.arange(len(h))) for k in own]
+        hs, ks, at = (np.concatenate([p[i] for p in parts]) for i in range(3))
         order = np.argsort(hs, kind="stable")
-        tables.append((hs[order].astype(np.uint64), ks[order], at[order]))
+        tables.append((mask, hs[order].astype(np.uint64), ks[order], at[order]))
     return Index(vocabulary, coded, tables)
 
 
-def overlaps(index: Index, text: bytes, masks: tuple[str, ...] = SEEDS) -> list[tuple[int, int, int, int]]:
+def overlaps(index: Index, text: bytes) -> list[tuple[int, int, int, int]]:
     """(item_id, first word, words, equal words) for each verified overlap of a text with an item."""
     get = index.vocabulary.get
     ids = np.fromiter((get(w, 0) for w in words_of(text)), np.int64)
     lines = set()
-    for mask, (hs, ks, at) in zip(masks, index.tables, strict=True):
+    for mask, hs, ks, at in index.tables:
         h, good = _hashes(ids, mask)
         places = np.flatnonzero(good)
         if not len(places) or not len(hs):
@@ -89,7 +94,7 @@ def overlaps(index: Index, text: bytes, masks: tuple[str, ...] = SEEDS) -> list[
         end = int(reach[a])
         n = end - a
         same = int(equal[a:end].sum())
-        if n >= min(MIN_WORDS, max(SHORTEST, len(own))) and same >= MIN_SHARE * n - 1e-9:
+        if n >= min(MIN_WORDS, len(own)) and same >= (MIN_SHARE * n if len(own) >= SHORTEST else n) - 1e-9:
             key = (item, a + lo + shift)
             found[key] = max(found.get(key, (0, 0)), (n, same))
     return [(i, s, n, e) for (i, s), (n, e) in sorted(found.items(), key=str)]
@@ -113,9 +118,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, block_words: int = BLO
 
     Whole texts are read. The hashes of a block of items, of bounded size, go to all tasks; a larger
     benchmark takes one pass over the documents for each block. An overlap lies on one diagonal through a
-    hit, reaches MIN_SHARE of equal words and MIN_WORDS words (or all words of a shorter item). Items of
-    fewer than SHORTEST words cannot be told from common speech and are not looked for. Null texts
-    have no overlaps; null ids are carried; repeated rows repeat their result; an empty table gives an empty result.
+    hit, reaches MIN_SHARE of equal words and MIN_WORDS words (or all words of a shorter item): none is
+    missed, as a hit is certain. Items of fewer than SHORTEST words are found as whole phrases, all words equal. Null texts
+    and items without words have no overlaps; null ids are carried; repeated rows repeat their result; an empty table gives an empty result.
     """
     schema = "doc_id long, item_id long, first_word int, n_words int, n_equal int"
     spark, out, texts_of = docs.sparkSession, None, documents(docs)
