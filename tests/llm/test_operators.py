@@ -234,6 +234,14 @@ def test_licence_method():
         assert set(index.labels(words, b" " + b" ".join(words) + b" ")) == want
 
 
+def test_licence_of_many_notices():
+    """A text with all notices has all labels, at their full score, whatever the weights."""
+    for seed in range(4):
+        index = license_scan.TemplateIndex.build({w: random.Random(f"{seed} {w}").uniform(0.01, 9) if seed else 1.0 for w in license_scan.VOCABULARY})
+        words = f" {prose(40)} ".join(t for _, t, _ in license_scan.TEMPLATES).encode().split()
+        assert index.labels(words, b" " + b" ".join(words) + b" ") == dict.fromkeys((label for label, _, _ in license_scan.TEMPLATES), pytest.approx(1.0))
+
+
 def test_lm(docs):
     rows = plain(docs)
     held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2

@@ -1,4 +1,4 @@
-"""License scans: rare licence words look up template places, which must agree on the relative position; key phrases verify."""
+"""License scans: the rare words of a template look up its places, where all its words must agree on the relative position; key phrases verify."""
 
 import math
 from collections.abc import Iterator
@@ -34,8 +34,8 @@ TEMPLATES = [
     ("cc0", "licensed under cc0 1 0 universal public domain dedication", ["cc0 1"]),
     ("all-rights-reserved", "all rights reserved no part may be reproduced without permission", ["all rights reserved"]),
 ]
-#: Rarest licence words of a file that are looked up, words by which two places may differ in relative position, share of a template's weight that makes a label.
-RAREST, DRIFT, MIN_SCORE = 24, 2, 0.5
+#: Words by which two places may differ in relative position, share of a template's weight that makes a label.
+DRIFT, MIN_SCORE = 2, 0.5
 
 _TABLE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
@@ -56,46 +56,54 @@ def places(joined: bytes, phrase: bytes) -> list[int]:
 
 @dataclass
 class TemplateIndex:
-    """Postings of the template words and their weight, the inverse document frequency over the corpus."""
+    """Words of each template, the places of its rarest ones, and the words' weight, the inverse document frequency over the corpus."""
 
-    postings: dict[bytes, list[tuple[int, int]]]
+    texts: list[list[bytes]]
+    rarest: list[list[tuple[bytes, int]]]
     idf: dict[bytes, float]
     weight: list[float]
 
     @classmethod
     def build(cls, idf: dict[bytes, float]) -> "TemplateIndex":
-        postings: dict[bytes, list[tuple[int, int]]] = {}
-        for k, (_, text, _) in enumerate(TEMPLATES):
-            for i, w in enumerate(text.encode().split()):
-                postings.setdefault(w, []).append((k, i))
-        return cls(postings, idf, [sum(idf.get(w, 0.0) for w in t.encode().split()) for _, t, _ in TEMPLATES])
+        texts = [t.encode().split() for _, t, _ in TEMPLATES]
+        weight = [sum(idf.get(w, 0.0) for w in t) for t in texts]
+        rarest = []
+        for text, total in zip(texts, weight, strict=True):
+            # words without these cannot weigh MIN_SCORE, so every label has one of them at its place
+            chosen: set[bytes] = set()
+            for w in sorted(set(text), key=lambda w: (-idf.get(w, 0.0), w)):
+                if sum(idf.get(x, 0.0) for x in text if x in chosen) > (1 - MIN_SCORE) * total + 1e-9:
+                    break
+                chosen.add(w)
+            rarest.append([(w, at) for at, w in enumerate(text) if w in chosen])
+        return cls(texts, rarest, idf, weight)
 
     def labels(self, words: list[bytes], joined: bytes) -> dict[str, float]:
-        """Labels with their score: the weight share of the template words found at one relative position, key phrase verified."""
-        own: dict[bytes, list[int]] = {}
+        """Labels with their score: the weight share of all template words found at one relative position, key phrase verified."""
+        verified = [k for k, (_, _, phrases) in enumerate(TEMPLATES) if any(b" " + p.encode() + b" " in joined for p in phrases)]
+        if not verified:
+            return {}
+        wanted, own = {w for k in verified for w, _ in self.rarest[k]}, {}
         for i, w in enumerate(words):
-            if w in self.postings:
+            if w in wanted:
                 own.setdefault(w, []).append(i)
-        if not own:
-            return {}
-        verified = [any(b" " + p.encode() + b" " in joined for p in phrases) for _, _, phrases in TEMPLATES]
-        if not any(verified):
-            return {}
-        rare = sorted(own, key=lambda w: (-self.idf[w], w))[:RAREST]
-        lines: dict[tuple[int, int], dict[int, float]] = {}
-        for w in rare:
-            for k, at in self.postings[w]:
-                if verified[k]:
-                    for i in own[w]:
-                        lines.setdefault((k, i - at), {})[at] = self.idf[w]
         best: dict[str, float] = {}
-        for k, shift in lines:
-            met: dict[int, float] = {}
-            for d in range(-DRIFT, DRIFT + 1):
-                met |= lines.get((k, shift + d), {})
-            label, share = TEMPLATES[k][0], sum(met.values()) / max(self.weight[k], 1e-9)
-            if share >= MIN_SCORE and len(met) >= 2:
-                best[label] = max(best.get(label, 0.0), min(1.0, share))
+        for k in verified:
+            text, lines = self.texts[k], {}
+
+            def line(shift: int, text=text, lines=lines) -> set[int]:
+                if shift not in lines:
+                    lines[shift] = {at for at in range(max(0, -shift), min(len(text), len(words) - shift)) if words[shift + at] == text[at]}
+                return lines[shift]
+
+            near = {i - at + d for w, at in self.rarest[k] for i in own.get(w, ()) for d in range(-DRIFT, DRIFT + 1)}
+            for shift in near:
+                if not line(shift):
+                    continue
+                met = set().union(*(line(shift + d) for d in range(-DRIFT, DRIFT + 1)))
+                label, share = TEMPLATES[k][0], sum(self.idf.get(text[at], 0.0) for at in sorted(met)) / max(self.weight[k], 1e-9)
+                if share >= MIN_SCORE and len(met) >= 2:
+                    best[label] = max(best.get(label, 0.0), min(1.0, share))
         return best
 
 
@@ -123,9 +131,9 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score for every row of docs.
 
     Base labels come from phrases whose words stand consecutively. Further labels come from the
-    positional index: the rarest licence words of a file look up their places in the templates; places
-    that agree on the relative position (within DRIFT words) are intersected, and a label needs a share
-    MIN_SCORE of its template's weight and one of its key phrases. score is the best share, 1 with a base
+    positional index: the rarest words of each template, which weigh enough that no label can do without
+    them, look up its places in a file; there all words of the template that agree on the relative position
+    (within DRIFT words) count, and a label needs a share MIN_SCORE of its template's weight and one of its key phrases. score is the best share, 1 with a base
     label, 0 with no label. No labels give empty texts; null texts count as empty; null ids are carried; repeated
     rows repeat their result; an empty table gives an empty result.
     """
