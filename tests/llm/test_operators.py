@@ -186,6 +186,15 @@ def test_overlaps_with_substitutions_and_short_items():
     assert found([], around([])) == set()
 
 
+def test_each_overlap_of_one_shift():
+    """Two passages of an item with other words between, at one relative position: both are found."""
+    item = [f"w{i}" for i in range(80)]
+    text = [*item[:20], *(f"x{i}" for i in range(30)), *item[50:]]
+    index = decontaminate.build_index([(1, " ".join(item))])
+    rows = decontaminate.overlaps(index, " ".join(text).encode())
+    assert len(rows) == 2 and rows[0][1] == 0 and sum(r[3] for r in rows) == 50
+
+
 def test_sentencepiece(docs):
     sp = __import__("sentencepiece").SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
     rows = sentencepiece_codec.round_trip(docs).collect()

@@ -65,6 +65,15 @@ def build_index(items: list[tuple[int, str]], masks: tuple[str, ...] = SEEDS) ->
     return Index(vocabulary, coded, tables)
 
 
+def _longest(equal: np.ndarray) -> tuple[int, int]:
+    """Start and end of the longest stretch with enough equal words: prefix sums of (equal - share), never falling below where they start."""
+    total = np.concatenate(([0.0], np.cumsum(equal - MIN_SHARE)))
+    ahead = np.maximum.accumulate(total[::-1])[::-1]
+    reach = np.searchsorted(-ahead, 1e-9 - total, side="right") - 1
+    a = int(np.argmax(reach - np.arange(len(total))))
+    return a, int(reach[a])
+
+
 def overlaps(index: Index, text: bytes) -> list[tuple[int, int, int, int]]:
     """(item_id, first word, words, equal words) for each verified overlap of a text with an item."""
     get = index.vocabulary.get
@@ -86,17 +95,16 @@ def overlaps(index: Index, text: bytes) -> list[tuple[int, int, int, int]]:
         item, own = index.items[k]
         lo, hi = max(0, -shift), min(len(own), len(ids) - shift)
         equal = (own[lo:hi] == ids[lo + shift : hi + shift]).astype(np.int64)
-        # the longest stretch with enough equal words: prefix sums of (equal - share), never falling below where they start
-        total = np.concatenate(([0.0], np.cumsum(equal - MIN_SHARE)))
-        ahead = np.maximum.accumulate(total[::-1])[::-1]
-        reach = np.searchsorted(-ahead, 1e-9 - total, side="right") - 1
-        a = int(np.argmax(reach - np.arange(len(total))))
-        end = int(reach[a])
-        n = end - a
-        same = int(equal[a:end].sum())
-        if n >= min(MIN_WORDS, len(own)) and same >= (MIN_SHARE * n if len(own) >= SHORTEST else n) - 1e-9:
-            key = (item, a + lo + shift)
-            found[key] = max(found.get(key, (0, 0)), (n, same))
+        spans = [(0, len(equal))]
+        while spans:  # the longest stretch, then those before and after it
+            start, stop = spans.pop()
+            a, end = _longest(equal[start:stop])
+            a, end = a + start, end + start
+            n, same = end - a, int(equal[a:end].sum())
+            if n >= min(MIN_WORDS, len(own)) and same >= (MIN_SHARE * n if len(own) >= SHORTEST else n) - 1e-9:
+                key = (item, a + lo + shift)
+                found[key] = max(found.get(key, (0, 0)), (n, same))
+                spans += [(start, a), (end, stop)]
     return [(i, s, n, e) for (i, s), (n, e) in sorted(found.items(), key=str)]
 
 
@@ -135,7 +143,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, block_words: int = BLO
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
-        part = texts_of.mapInArrow(search, schema)
+        part = stored(texts_of.mapInArrow(search, schema))
+        shared.destroy()  # one block's index is held at a time
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
 
