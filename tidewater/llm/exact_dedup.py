@@ -1,11 +1,11 @@
-"""Exact dedup: a tree merge of sorted digest runs."""
+"""Exact dedup: digests aggregated in a tree of runs."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import documents, stored, table
 
-#: Runs at most, and runs merged at once (four binomial rounds in one multiway merge).
+#: Runs at most, and runs joined in one aggregation (four binomial rounds at once).
 RUNS, FAN_IN = 4096, 16
 
 
@@ -17,11 +17,11 @@ def normalised(text: Column) -> Column:
 def exact_groups(docs: DataFrame, runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 for every row of docs.
 
-    Each scan partition is a run: its digests, sorted, with the smallest doc_id and the number of rows
-    of each. In each round, fan_in neighbouring runs merge into one; a merge accepts identifiers only
+    Each scan partition is a run: its digests with the smallest doc_id and the number of rows of each.
+    In each round, fan_in neighbouring runs become one by an aggregation, in place of a merge of sorted runs; it accepts identifiers only
     where digest, length and a second hash all agree, and keeps the smallest. A run is spread over
     tasks by digest, so no round puts a whole run or a whole group into one task. A group with a third of all rows has one row for each
-    run, so neither the merges nor the way back to the documents meets a hot key.
+    run, so neither the rounds nor the way back to the documents meets a hot key.
 
     Null texts count as empty. A null doc_id never is the smallest unless all of a group are null; then
     keep_id is null and its rows are kept. Rows that repeat a doc_id with the same text are alike: all
@@ -41,7 +41,6 @@ def exact_groups(docs: DataFrame, runs: int = RUNS, fan_in: int = FAN_IN) -> Dat
     merged, left = first, runs
     while left > 1:
         merged = merged.groupBy((F.col("run") / fan_in).cast("int").alias("run"), *key).agg(F.min("least").alias("least"), F.sum("n").alias("n"))
-        merged = merged.sortWithinPartitions("run", *key)
         left = -(-left // fan_in)
     kept = stored(merged.select(*key, F.col("least").alias("keep_id"), F.col("n").alias("group_size")))
     known = stored(first.select("run", *key).join(kept, key))
