@@ -51,7 +51,7 @@ ANY_INSULT = frozenset().union(*LEXICON_SETS.values())
 PATTERNS = ("several", "aimed")
 AIMED = re.compile(r"\b(?:you|your|they|this|such an?) (?:are |re |is |all |just |an? |such )*(?:" + "|".join(sorted(ANY_INSULT)) + r")\b")
 #: ASCII characters other than letters, and how many characters of a word's start stand for it beside the word itself.
-_SPACES = {c: " " for c in range(128) if not chr(c).isalpha()}
+_SPACES = bytes(c if chr(c).isalpha() or c >= 0x80 else 0x20 for c in range(256))
 HEADS = (3, 4, 5, 6, 7)
 #: Texts whose features are counted at once.
 COUNTED = 256
@@ -59,7 +59,7 @@ COUNTED = 256
 
 def words_of(text: str) -> Counter[str]:
     """How often each word occurs, in lower case, split at all ASCII characters but letters."""
-    return Counter(text.lower().translate(_SPACES).split())
+    return Counter(text.lower().encode("utf-8", "replace").translate(_SPACES).decode().split())
 
 
 def share(hits: int, words: int) -> float:
@@ -96,15 +96,15 @@ class Wanted:
 
 def lexicon_shares(words: Counter[str], total: int) -> list[float]:
     """The share of each lexicon's words."""
-    hits = {w: n for w, n in words.items() if w in ANY_INSULT}
-    return [share(sum(n for w, n in hits.items() if w in s), total) if hits else 0.0 for s in LEXICON_SETS.values()]
+    hits = ANY_INSULT.intersection(words)
+    return [share(sum(words[w] for w in hits & s), total) if hits else 0.0 for s in LEXICON_SETS.values()]
 
 
 def votes_of(text: str, words: Counter[str], total: int, mined: list[frozenset[str]], wanted: Wanted) -> int:
     """One bit for each voter that says toxic: lexicons, patterns, then the mined lexicons."""
     own = lexicon_shares(words, total)
     votes = [x >= VOTES_FROM for x in own]
-    votes += [share(sum(w in ANY_INSULT for w in words), total) >= 2 * VOTES_FROM, bool(any(votes) and AIMED.search(text.lower()))]
+    votes += [share(len(ANY_INSULT.intersection(words)), total) >= 2 * VOTES_FROM, bool(any(votes) and AIMED.search(text.lower()))]
     hits = [0] * len(mined)
     for word, n in words.items():
         if word[:3] in wanted.starts:
