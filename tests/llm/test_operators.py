@@ -67,13 +67,56 @@ def test_exact(docs):
     groups = {}
     for d, t in plain(docs):
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t), []).append(d)
-    want = Counter()
+    want, kept = Counter(), Counter()
     for t, ids in groups.items():
         least = min((i for i in ids if i is not None), default=None)
-        want.update((d, least, len(ids), d == least, hashlib.sha256(t.encode()).hexdigest()) for d in ids)
+        want.update((d, least, len(ids), hashlib.sha256(t.encode()).hexdigest()) for d in ids)
+        kept[(least, hashlib.sha256(t.encode()).hexdigest())] += 1
     for runs, fan_in in ((4096, 16), (3, 2), (1, 2)):
-        assert as_set(exact_dedup.exact_groups(docs, runs, fan_in), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
-    assert as_set(exact_dedup.exact_dedup(docs), "doc_id") == Counter({(w[0],): n for w, n in want.items() if w[3]})
+        got = exact_dedup.exact_groups(docs, runs, fan_in).cache()
+        assert as_set(got, "doc_id", "keep_id", "group_size", "text_sha256") == want
+        assert as_set(got.where("kept"), "doc_id", "text_sha256") == kept
+    assert exact_dedup.exact_dedup(docs).columns == docs.columns
+    assert as_set(exact_dedup.exact_dedup(docs), "doc_id") == Counter((k[0],) for k in kept.elements())
+
+
+def test_exact_merges_sorted_runs(spark):
+    """Each of the three rounds deals, sorts and merges: the plan has an exchange, a sort and a window for each."""
+    rows = spark.createDataFrame([(i % 4096, f"{i % 7}", 1, 2, i, i, 1) for i in range(60)], "run int, text_sha256 string, n_bytes long, check_hash long, least long, place long, n long")
+    merged = exact_dedup.merged_runs(rows)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 3 and plan.count("Sort [run") == 3 and plan.count("Exchange hashpartitioning(run") == 3
+    assert sorted((r["text_sha256"], r["least"], r["n"]) for r in merged.collect()) == [(str(i), i, len(range(i, 60, 7))) for i in range(7)]
+
+
+ALIKE = [(1, "a b"), (1, "a b"), (1, "a  b"), (None, "q"), (None, "q"), (5, "one two three four five six"), (5, "other words here now as well"), (6, "x"), (6, "y"), (7, "x"), (8, None), (9, "")]
+
+
+def test_one_of_alike_rows(spark):
+    """Repeated and null ids: of each group one row stays, and rows of other groups with its id are judged by their own text."""
+    docs = spark.createDataFrame([(i, t, 1, True) for i, t in ALIKE], "doc_id long, text string, _digest int, kept boolean").repartition(3)
+    for f in (exact_dedup.exact_dedup, simhash_dedup.drop_near_duplicates):
+        got = f(docs)
+        assert got.columns == docs.columns
+        rows = sorted(((r["doc_id"] or 0, (r["text"] or "").replace("  ", " ")) for r in got.collect()), key=str)
+        assert rows == sorted([(1, "a b"), (0, "q"), (5, ALIKE[5][1]), (5, ALIKE[6][1]), (6, "x"), (6, "y"), (8, "")], key=str)
+
+
+def test_rows_of_large_drops(spark, monkeypatch):
+    """The way without a broadcast gives the same rows."""
+    monkeypatch.setattr("tidewater.llm.common.BROADCAST_BYTES", 0)
+    docs = spark.createDataFrame(ALIKE, "doc_id long, text string")
+    assert exact_dedup.exact_dedup(docs).count() == 7
+
+
+def test_decontaminate_judges_rows(spark):
+    passage = prose(30)
+    docs = spark.createDataFrame([(None, passage), (None, "clean"), (5, passage), (5, "other"), (6, None), (6, "ok")], "_dirty long, text string").selectExpr("_dirty AS doc_id", "text", "_dirty")
+    bench = spark.createDataFrame([(1, passage), (2, prose(20)), (3, prose(20))], "item_id long, text string")
+    for block in (2_000_000, 1):
+        got = decontaminate.decontaminate(docs, bench, block)
+        assert got.columns == docs.columns and sorted(str(r["text"]) for r in got.collect()) == ["None", "clean", "ok", "other"]
+    assert decontaminate.decontaminate(docs, bench.limit(0)).count() == 6
 
 
 def simhash(text):
@@ -107,12 +150,30 @@ def test_links_of_split_cells(spark):
     signed = a.view(np.int64).tolist()
     found = simhash_dedup.components(simhash_dedup.near_links(spark.createDataFrame([(x,) for x in signed], "fp long"), cell=7))
     group = {row[0]: row[1] for row in found.collect()}
+    for parts in (5, 8):  # another grid finds the same components
+        other = simhash_dedup.components(simhash_dedup.near_links(spark.createDataFrame([(x,) for x in signed], "fp long"), parts))
+        assert {row[0]: row[1] for row in other.collect()} == group
     for i, x in enumerate(a.tolist()):
         for j in range(i):
             if (x ^ int(a[j])).bit_count() <= 4:
                 assert group[signed[i]] == group[signed[j]]
 
 
+def test_grid_follows_the_fingerprints():
+    assert [simhash_dedup.parts_for(n) for n in (0, 1_000, 250_000, 10**7, 10**9, 10**11)] == [5, 5, 6, 7, 10, 14]
+    for n in (10**5, 10**8, 10**11):
+        p = simhash_dedup.parts_for(n)
+        assert n / 2 ** (48 * (1 - 4 / p)) <= simhash_dedup.CHANCE
+
+
+def test_components_of_a_long_chain(spark):
+    """However many rounds it takes: a path, its nodes in any order."""
+    nodes = list(range(700))
+    R.shuffle(nodes)
+    got = simhash_dedup.components(spark.createDataFrame(list(itertools.pairwise(nodes)), "a long, b long")).collect()
+    assert len(got) == 700 and {r["component"] for r in got} == {0}
+
+
 def jaccard(a, b):
     a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (split(lower(a)), split(lower(b))))
     return len(a & b) / len(a | b)

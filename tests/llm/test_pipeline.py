@@ -3,13 +3,17 @@
 import re
 
 import corpus_pipeline
-from test_operators import simhash
 from tidewater.llm import toxicity
 from tidewater.llm.common import table
 
 SF = "/root/testdata/sf0.001"
 
 
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
 def test_run(spark):
     docs = table(spark, SF, "documents")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
@@ -19,14 +23,16 @@ def test_run(spark):
     for d in left:
         seen.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", texts[d]), d)
     left = sorted(seen.values())
-    prints, group = {d: simhash(texts[d]) for d in left}, {d: d for d in left}
+    # near copies: words five by five, similarity 0.8 or more, all pairs
+    sets, group = {d: shingles(texts[d]) for d in left}, {d: d for d in left}
+    pairs = [(a, b) for a in left for b in left if b < a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     changed = True
     while changed:
         changed = False
-        for a in left:
-            for b in left:
-                if group[a] > group[b] and (prints[a] ^ prints[b]).bit_count() <= 4:
-                    group[a], changed = group[b], True
+        for a, b in pairs:
+            if group[a] != group[b]:
+                group[a] = group[b] = min(group[a], group[b])
+                changed = True
     left = [d for d in left if group[d] == d]
     items = [r["text"].lower().split() for r in table(spark, SF, "benchmark").collect()]
     grams = {tuple(w[i : i + 13]) for w in items for i in range(len(w) - 12)}

@@ -4,7 +4,6 @@ Contract for every operator: ids may be null or repeated, texts may be null (rea
 long, tables may be empty, and further columns are ignored unless an operator says it carries them.
 """
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,8 +12,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.sources.scratch import shared_dir, stored  # noqa: F401
+
 #: Text bytes in one chunk: bounds what one task holds in Python.
 CHUNK_BYTES = 16 << 20
+#: Size up to which a table is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,22 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors see; a temporary one where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tidewater-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tidewater-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts lineage and survives a lost executor."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts: decides which rows a model may learn from."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
@@ -113,3 +100,30 @@ def answered(side: DataFrame, keys: list[str], aggs: list[Column], keep: Column
     side = stored(side)
     totals = side.groupBy(*keys).agg(*aggs)
     return side.join(stored(totals if keep is None else totals.where(keep)), keys)
+
+
+def small(table: DataFrame, row_bytes: int) -> DataFrame:
+    """A stored table, marked for broadcast if its rows, counted, take at most BROADCAST_BYTES."""
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
+
+
+def mark(text: Column) -> Column:
+    """64 bits that tell rows with the same doc_id apart by their text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def without(docs: DataFrame, dropped: DataFrame, repeated: DataFrame) -> DataFrame:
+    """docs, all columns carried, without the rows whose (doc_id, mark) is among dropped; of rows that share one of repeated, one stays.
+
+    Both tables are stored and have doc_id and mark. Ids and marks alone are compared: the few of dropped go to all tasks while they are
+    known to be small, and only a larger table makes the documents cross the network.
+    """
+    own, named = f"_{uuid.uuid4().hex}", lambda t: t.select(F.col("doc_id").alias(f"{own}_id"), F.col("mark").alias(f"{own}_mark"))
+    rows = docs.withColumn(own, mark(F.col("text")))
+    same = rows["doc_id"].cast("long").eqNullSafe(F.col(f"{own}_id")) & (rows[own] == F.col(f"{own}_mark"))
+    left = rows.join(small(named(dropped), 64), same, "left_anti")
+    if repeated.isEmpty():
+        return left.drop(own)
+    again = small(named(repeated), 64)
+    alike = left.join(again, same, "left_semi").dropDuplicates(["doc_id", own])
+    return left.join(again, same, "left_anti").unionByName(alike).drop(own)

@@ -149,10 +149,26 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, block_words: int = BLO
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that share no passage with the benchmark, all columns carried."""
-    dirty = contaminations(docs, benchmark).select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(stored(dirty), docs["doc_id"].cast("long").eqNullSafe(F.col("_dirty")), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs that share no passage with the benchmark, all columns carried.
+
+    Each row is judged by its own text in the pass that reads it: null and repeated ids don't matter, repeated rows all go or all
+    stay, null texts stay, columns of any name stay; an empty table or benchmark leaves docs as it is. A benchmark of several blocks takes a
+    pass for each, and what a pass keeps is stored before the next block is built.
+    """
+    kept, held = docs, None
+    for block in blocks_of(benchmark, block_words):
+        if held is not None:
+            kept = stored(kept)
+            held.destroy()
+        held = shared = docs.sparkSession.sparkContext.broadcast(build_index(block))
+
+        def judge(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch, texts in rows_of(batches):
+                yield batch.filter(pa.array([not t or not overlaps(shared.value, t) for t in texts], pa.bool_()))
+
+        kept = kept.mapInArrow(judge, docs.schema)
+    return kept
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

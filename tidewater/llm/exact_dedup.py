@@ -1,12 +1,13 @@
-"""Exact dedup: digests aggregated in a tree of runs."""
+"""Exact dedup: sorted runs of digests merged in a tree."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import documents, stored, table
+from tidewater.llm.common import documents, mark, stored, table, without
 
-#: Runs at most, and runs joined in one aggregation (four binomial rounds at once).
+#: Runs at most, and runs joined in one merge (four binomial rounds at once).
 RUNS, FAN_IN = 4096, 16
+_KEY = ["text_sha256", "n_bytes", "check_hash"]
 
 
 def normalised(text: Column) -> Column:
@@ -14,47 +15,66 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")
 
 
-def exact_groups(docs: DataFrame, runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 for every row of docs.
-
-    Each scan partition is a run: its digests with the smallest doc_id and the number of rows of each.
-    In each round, fan_in neighbouring runs become one by an aggregation, in place of a merge of sorted runs; it accepts identifiers only
-    where digest, length and a second hash all agree, and keeps the smallest. A run is spread over
-    tasks by digest, so no round puts a whole run or a whole group into one task. A group with a third of all rows has one row for each
-    run, so neither the rounds nor the way back to the documents meets a hot key.
+def merged_runs(first: DataFrame, runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
+    """One run of all digests from first (run, key, least, place, n), in which a run has a digest once.
 
-    Null texts count as empty. A null doc_id never is the smallest unless all of a group are null; then
-    keep_id is null and its rows are kept. Rows that repeat a doc_id with the same text are alike: all
-    or none of them are kept. An empty table gives an empty result.
+    In each round, fan_in neighbouring runs are dealt by digest and merged in sorted order; of a digest's rows, at most one from each
+    run, the first is kept: the smallest identifier, verified by length and a second hash. What a round leaves is sorted, so that the
+    next one sorts runs that are in order already, which is a merge of them. No round puts a whole run or group into one task.
     """
-    key = ["text_sha256", "n_bytes", "check_hash"]
+    merged, left = first, runs
+    while left > 1:
+        merged = merged.withColumn("run", (F.col("run") / fan_in).cast("int"))
+        order = Window.partitionBy("run", *_KEY).orderBy(F.col("least").asc_nulls_last(), "place")
+        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        merged = merged.withColumns({"n": F.sum("n").over(whole), "nth": F.row_number().over(order)}).where("nth = 1").drop("nth")
+        left = -(-left // fan_in)
+    return merged
+
+
+def _grouped(docs: DataFrame, runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
+    """exact_groups with the mark of each row's own text."""
     text = normalised(F.col("text"))
-    rows = documents(docs).select("doc_id", text.alias("text")).select(
+    rows = documents(docs).select("doc_id", mark(F.col("text")).alias("mark"), text.alias("text")).select(
         "doc_id",
+        "mark",
         F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
         F.octet_length("text").cast("long").alias("n_bytes"),
         F.xxhash64("text").alias("check_hash"),
         (F.spark_partition_id() % runs).alias("run"),
+        F.monotonically_increasing_id().alias("place"),
     )
-    rows = stored(rows)
-    first = rows.groupBy("run", *key).agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    merged, left = first, runs
-    while left > 1:
-        merged = merged.groupBy((F.col("run") / fan_in).cast("int").alias("run"), *key).agg(F.min("least").alias("least"), F.sum("n").alias("n"))
-        left = -(-left // fan_in)
-    kept = stored(merged.select(*key, F.col("least").alias("keep_id"), F.col("n").alias("group_size")))
-    known = stored(first.select("run", *key).join(kept, key))
-    return rows.join(known, ["run", *key]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+    rows = stored(rows)  # fixes runs and places
+    place = F.coalesce(F.min_by("place", "doc_id"), F.min("place")).alias("place")
+    first = rows.groupBy("run", *_KEY).agg(F.min("doc_id").alias("least"), place, F.count("*").alias("n"))
+    kept = merged_runs(first, runs, fan_in).select(*_KEY, F.col("least").alias("keep_id"), F.col("place").alias("keep_place"), F.col("n").alias("group_size"))
+    known = stored(first.select("run", *_KEY).join(stored(kept), _KEY))
+    return rows.join(known, ["run", *_KEY]).select("doc_id", "mark", "keep_id", "group_size", (F.col("place") == F.col("keep_place")).alias("kept"), "text_sha256")
+
+
+def exact_groups(docs: DataFrame, runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 for every row of docs.
+
+    Each scan partition is a run; runs are merged as merged_runs says. A group with a third of all rows has one row for each
+    run, so neither the rounds nor the way back to the documents meets a hot key.
+
+    Null texts count as empty. A null doc_id never is the smallest unless all of a group are null; then keep_id is null.
+    kept marks one row of each group: the one with the smallest doc_id, and where several have that id (or none has one), any one of
+    them. Further columns aren't read. An empty table gives an empty result.
+    """
+    return _grouped(docs, runs, fan_in).drop("mark")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs without later copies, all columns carried: of equal texts, the smallest doc_id stays."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_keep"), "text_sha256").distinct()
-    digest = F.sha2(normalised(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)
-    rows = docs.withColumn("_digest", digest)
-    return rows.join(kept, (rows["doc_id"].cast("long").eqNullSafe(kept["_keep"])) & (rows["_digest"] == kept["text_sha256"]), "left_semi").drop("_digest")
+    """One row of docs for each different text, all columns carried: the row with the smallest doc_id, as exact_groups marks it.
+
+    Null ids sort last, rows alike in id and text leave one, null texts are empty ones; columns of any name stay; an empty table gives
+    an empty result.
+    """
+    rows = stored(_grouped(docs).select("doc_id", "mark", "kept"))
+    pairs = rows.groupBy("doc_id", "mark").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    pairs = stored(pairs.where("NOT kept OR n > 1"))
+    return without(docs, pairs.where("NOT kept"), pairs.where("kept"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

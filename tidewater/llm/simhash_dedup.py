@@ -6,15 +6,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import answered, documents, rows_of, stored, table
+from tidewater.llm.common import answered, documents, mark, rows_of, small, stored, table, without
 
 #: Words in a shingle, differing bits that still link, hash seed.
 WORDS, MAX_BITS, SEED = 4, 4, 42
-#: Bits in a segment, parts of the grid, members of a cell above which its work is split over tasks.
-SEGMENT, PARTS, CELL = 2, 6, 4096
+#: Bits in a segment, fingerprints that a cell of the grid may have by chance, members of a cell above which its work is split over tasks.
+SEGMENT, CHANCE, CELL = 2, 8, 4096
 #: Members up to which a cell gives all its links; a larger one gives a spanning forest of them.
 SMALL = 24
 #: Of drop_near_duplicates: words in a shingle and the Jaccard similarity that links; bands of a text and minima in a band; texts and shingles in a block.
@@ -72,6 +72,17 @@ def cells(parts: int, max_bits: int) -> np.ndarray:
     return np.array([sum(masks[i] for i in chosen) for chosen in itertools.combinations(range(parts), parts - max_bits)], np.uint64)
 
 
+def parts_for(n: int, max_bits: int = MAX_BITS) -> int:
+    """Parts of the grid for n different fingerprints: the fewest with which a cell has at most CHANCE of them by chance.
+
+    A segment's count has 1.5 bits, so max_bits of parts parts left out leave 48 * (1 - max_bits / parts) bits. A fingerprint goes to
+    one cell for each choice of those parts: the work grows as n times a polynomial of degree max_bits in the number of parts,
+    and pairs that meet by chance grow as n, not as its square.
+    """
+    bits = 1.5 * 64 / SEGMENT
+    return next((p for p in range(max_bits + 1, 64 // SEGMENT + 1) if n <= CHANCE * 2 ** (bits * (1 - max_bits / p))), 64 // SEGMENT)
+
+
 def _links(left: np.ndarray, right: np.ndarray, same: bool, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the links between two blocks of fingerprints: pairs of positions, each joining parts not yet joined."""
     codes = embedding(right)
@@ -99,7 +110,7 @@ def _links(left: np.ndarray, right: np.ndarray, same: bool, max_bits: int) -> tu
     return np.array(a_out, np.int64), np.array(b_out, np.int64)
 
 
-def near_links(fps: DataFrame, parts: int = PARTS, max_bits: int = MAX_BITS, cell: int = CELL) -> DataFrame:
+def near_links(fps: DataFrame, parts: int | None = None, max_bits: int = MAX_BITS, cell: int = CELL) -> DataFrame:
     """Links (a, b) among different fingerprints (column fp), enough to connect all within max_bits of each other.
 
     Each fingerprint is dealt to its grid cells. A cell compares the embeddings of its members, the
@@ -107,7 +118,7 @@ def near_links(fps: DataFrame, parts: int = PARTS, max_bits: int = MAX_BITS, cel
     links, at most one row for each member. A cell with more members than cell is split into blocks; each two
     blocks meet in a task of their own, so no link is lost and no task holds more than two blocks.
     """
-    masks = cells(parts, max_bits)
+    masks = cells(parts or parts_for(fps.count(), max_bits), max_bits)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,11 +181,11 @@ def near_links(fps: DataFrame, parts: int = PARTS, max_bits: int = MAX_BITS, cel
     return grouped.mapInArrow(compare, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node) for every node of edges (a, b).
 
     Large-star and small-star steps in turn: each is a minimum over the neighbours of a node, combined
-    before its shuffle, then a join back. Stops when a round changes nothing.
+    before its shuffle, then a join back. Goes on until a round changes nothing.
     """
     edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
 
@@ -191,15 +202,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    before = state(edges)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    before, now = None, state(edges)
+    while now[0] and now != before:
         edges = star(star(edges, True), False)
-        now = state(edges)
-        if now == before:
-            break
-        before = now
+        before, now = now, state(edges)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots).distinct()
 
@@ -264,13 +270,14 @@ def similar_links(sets: list[np.ndarray], side: np.ndarray | None = None, share:
 
 
 def similar_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id and component_id for every row: groups linked by a Jaccard similarity of SIMILAR over shingles of SHINGLE words.
+    """doc_id, mark, component_id and component_mark for every row: groups linked by a Jaccard similarity of SIMILAR over shingles of SHINGLE words.
 
     SimHash has no radius for this: five-word fingerprints at a similarity of 0.8 differ by 8 bits on average, and a grid
     that is sure of 12 or more has cells of a few bits. So candidates come from MinHash bands, which find a pair of similarity 0.8 with
     probability 0.9993 and more similar ones more surely. Texts connected by candidates meet once, and all their pairs are
     verified on their whole shingle sets. A larger set of them is split into blocks; each two blocks meet in a task
-    of their own. Texts with equal shingle sets are compared once (by a hash of 64 bits). Null ids as in near_duplicates.
+    of their own. Texts with equal shingle sets are compared once (by a hash of 64 bits). Null ids as in near_duplicates. A mark is a
+    hash of a row's text; component_id and component_mark together name the text that stands for its group.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +285,7 @@ def similar_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
             sets = [shingles(t) for t in texts]
             keys = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             found = [bands(s).view(np.int64) if len(s) else [] for s in sets]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": pa.array(keys), "size": pa.array([len(s) for s in sets], pa.int64()), "bands": pa.array(found, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": pa.array(keys), "mark": batch.column("mark"), "size": pa.array([len(s) for s in sets], pa.int64()), "bands": pa.array(found, pa.list_(pa.int64()))})
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in rows_of(batches):
@@ -293,32 +300,42 @@ def similar_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         links = similar_links(sets, None if same else lo)
         return pa.table({"a": pa.array([keys[i] for i, _ in links], pa.int64()), "b": pa.array([keys[j] for _, j in links], pa.int64())})
 
+    def least(of: str, by: str) -> Column:
+        """The of that goes with the smallest by; the smallest of where there is none."""
+        return F.coalesce(F.min_by(of, by), F.min(of))
+
     docs = documents(docs)
-    signed = stored(docs.mapInArrow(sign, "doc_id long, key long, size long, bands array<long>"))
-    reps = stored(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    signed = stored(docs.withColumn("mark", mark(F.col("text"))).mapInArrow(sign, "doc_id long, key long, mark long, size long, bands array<long>"))
+    reps = stored(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), least("mark", "doc_id").alias("rep_mark"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     dealt = answered(reps.select("key", F.explode("bands").alias("band")), ["band"], [F.min("key").alias("least"), F.count("*").alias("n")], F.col("n") > 1)
     near = components(dealt.select(F.col("key").alias("a"), F.col("least").alias("b")))
-    near = stored(near.join(reps.select("key", "rep", "size"), near["node"] == reps["key"]).select("key", "rep", "size", "component"))
+    near = stored(near.join(reps.select("key", "rep", "rep_mark", "size"), near["node"] == reps["key"]).select("key", "rep", "rep_mark", "size", "component"))
     near = answered(near, ["component"], [F.count("*").alias("n"), F.sum("size").alias("words")])
     blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
     near = stored(near.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))
-    texts = docs.join(near.select(F.col("rep").alias("_rep")).distinct(), docs["doc_id"].eqNullSafe(F.col("_rep")), "left_semi")
+    wanted, own = small(stored(near.select("rep", "rep_mark").distinct()), 64), docs.withColumn("mark", mark(F.col("text")))
+    texts = own.join(wanted, own["doc_id"].eqNullSafe(F.col("rep")) & (own["mark"] == F.col("rep_mark")), "left_semi").select("doc_id", "text")
     sets = stored(texts.mapInArrow(gather, "key long, own binary")).dropDuplicates(["key"])
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("mine", j).alias("lo"), F.greatest("mine", j).alias("hi")))
     met = near.join(sets, "key").withColumn("meet", F.explode(meets))
     met = met.select("component", "meet.lo", "meet.hi", (F.col("mine") == F.col("meet.lo")).alias("is_lo"), "key", "own")
     links = met.groupBy("component", "lo", "hi").applyInArrow(verify, "a long, b long")
     found = components(links)
-    named = reps.join(found, reps["key"] == found["node"], "left").select("key", "rep", "component")
-    least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"))
-    known = stored(named.join(stored(least), "component", "left").select("key", F.coalesce("least", "rep").alias("component_id")))
-    return signed.select("doc_id", "key").join(known, "key").select("doc_id", "component_id")
+    named = reps.join(found, reps["key"] == found["node"], "left").select("key", "rep", "rep_mark", "component")
+    first = named.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"), least("rep_mark", "rep").alias("least_mark"))
+    known = named.join(stored(first), "component", "left").select("key", F.coalesce("least", "rep").alias("component_id"), F.coalesce("least_mark", "rep_mark").alias("component_mark"))
+    return signed.select("doc_id", "mark", "key").join(stored(known), "key").select("doc_id", "mark", "component_id", "component_mark")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id names their group of similar texts: one document of each group stays, all columns carried."""
-    kept = similar_groups(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_keep"]), "left_semi")
+    """One row of docs for each group of similar texts, all columns carried: the one with the smallest doc_id.
+
+    Rows are told apart by id and text: null ids sort last, a repeated id keeps only the row whose text stands for its group, rows
+    alike in both leave one. Null and empty texts are one group; columns of any name stay; an empty table gives an empty result.
+    """
+    rows = stored(similar_groups(docs).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("mark") == F.col("component_mark"))))
+    pairs = stored(rows.groupBy("doc_id", "mark").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1"))
+    return without(docs, pairs.where("NOT kept"), pairs.where("kept"))
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
