@@ -8,14 +8,15 @@ from tidewater.functions.checksum import checksum
 from tidewater.functions.text import clean_string, epoch_to_timestamp
 from tidewater.sources.envelope import explode_records, validate_envelopes
 
+# Field names of an article, stored and raw.
 ARTICLE = ["id", "category", "published_at_utc", "headline", "source", "summary", "url", "image_url", "scraped_at", "source_file", "checksum_sha256"]
 REQUIRED = ["id", "category", "published_at_utc", "headline", "source", "url", "scraped_at", "source_file", "checksum_sha256"]
 RAW_FIELDS = ["id", "category", "datetime", "headline", "source", "summary", "url", "image", "related"]
 
 
-def project_news(items: DataFrame) -> DataFrame:
-    """The nine fields that ingestion keeps."""
-    return items.select(*RAW_FIELDS)
+def project_news(items: DataFrame, *keep: str) -> DataFrame:
+    """The nine fields that ingestion keeps, and the columns in keep."""
+    return items.select(*keep, *RAW_FIELDS)
 
 
 def clean_articles(df: DataFrame, of_file: Column, known: list[str] | None = None) -> DataFrame:

@@ -23,3 +23,8 @@ def latest_posts_order() -> list[Column]:
 def newest_articles(df: DataFrame, position: str) -> DataFrame:
     """By id the article published last; of equally late ones, the first by position."""
     return keep_latest(df, ["id"], [F.col("published_at_utc").desc_nulls_last(), F.col(position).asc()])
+
+
+def first_rows(df: DataFrame, order: list[Column], n: int = 1) -> DataFrame:
+    """The first n rows of a total order; each task keeps n of its own, so nothing is sorted as a whole."""
+    return df.orderBy(*order).limit(n)

@@ -72,12 +72,22 @@ def tick_volume(volume: Column, ts: Column, before: Column, before_ts: Column) -
     return F.when((volume >= before) & (ts > before_ts), volume - before).otherwise(volume)
 
 
-def per_tick_volume(bars: DataFrame, order: list[str], ts: str = "timestamp", volume: str = "volume") -> DataFrame:
-    """bars with per_tick_volume, by symbol in the order of arrival; rows without a volume or time are dropped."""
-    w = Window.partitionBy("symbol").orderBy(*order)
-    rows = bars.where(F.col(ts).isNotNull() & F.col(volume).isNotNull())
-    lag = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0))
-    return rows.withColumn("per_tick_volume", tick_volume(F.col(volume), F.col(ts), lag(volume), lag(ts)))
+def per_tick_volume(bars: DataFrame, order: list[str], ts: str = "timestamp", volume: str = "volume", every: int = 86_400_000) -> DataFrame:
+    """bars with per_tick_volume, by symbol in the order of arrival; rows without a volume or time are dropped, and no symbol is a symbol too.
+
+    The row before is looked for inside a bucket of every units of the first column of order; the last row of each bucket, a small
+    table, carries over to the next, so that a symbol with most of the rows is spread over its buckets. Their width changes no result.
+    """
+    rows = bars.where(F.col(ts).isNotNull() & F.col(volume).isNotNull()).withColumn("_bucket", F.floor(F.col(order[0]) / every))
+    last = F.max_by(F.struct(F.col(volume).alias("volume"), F.col(ts).alias("ts")), F.struct(*order)).alias("_last")
+    ends = rows.groupBy("symbol", "_bucket").agg(last)
+    carried = ends.select(F.col("symbol").alias("_symbol"), F.col("_bucket").alias("_of"), F.lag("_last").over(Window.partitionBy("symbol").orderBy("_bucket")).alias("_carried"))
+    w = Window.partitionBy("symbol", "_bucket").orderBy(*order)
+    rows = rows.withColumns({"_v": F.lag(volume).over(w), "_t": F.lag(ts).over(w)})
+    rows = rows.join(carried, F.col("symbol").eqNullSafe(F.col("_symbol")) & F.col("_bucket").eqNullSafe(F.col("_of")), "left")
+    before = lambda own, of: F.coalesce(F.col(own), F.col(f"_carried.{of}"), F.lit(0))
+    made = tick_volume(F.col(volume), F.col(ts), before("_v", "volume"), before("_t", "ts"))
+    return rows.select(*bars.columns, made.alias("per_tick_volume"))
 
 
 def interval_join(left: DataFrame, right: DataFrame, width_ms: int = 1000, ts: str = "timestamp", on: str = "symbol") -> DataFrame:
@@ -95,16 +105,25 @@ def interval_join(left: DataFrame, right: DataFrame, width_ms: int = 1000, ts: s
 
 
 def vwap(pairs: DataFrame, window_ms: int = 60_000, ts: str = "ts", price: str = "price", volume: str = "volume") -> DataFrame:
-    """Volume-weighted mean price by symbol and tumbling window of the pair's time; 0 where the volumes add up to 0 or less."""
+    """Volume-weighted mean price by symbol and tumbling window of the pair's time; 0 where the volumes add up to 0 or less.
+
+    data_source, where the pairs have it, is that of the window's last pair (of equally late ones, the last in text order).
+    """
     end = ((F.floor(F.col(ts) / window_ms) + 1) * window_ms).alias("window_end")
+    return pairs.groupBy("symbol", end).agg(*vwap_columns(pairs, ts, price, volume))
+
+
+def vwap_columns(pairs: DataFrame, ts: str = "ts", price: str = "price", volume: str = "volume") -> list[Column]:
+    """Aggregates of one window of pairs, in batch and stream alike."""
     total = F.sum(volume)
     value = F.round(F.when(total > 0, F.sum(F.round(price, 6) * F.col(volume)) / total).otherwise(0.0), 6)
-    source = [F.max("data_source").alias("data_source")] if "data_source" in pairs.columns else []
-    return pairs.groupBy("symbol", end).agg(value.alias("vwap"), F.count("*").alias("n_pairs"), *source)
+    source = [F.max(F.struct(ts, "data_source"))["data_source"].alias("data_source")] if "data_source" in pairs.columns else []
+    return [value.alias("vwap"), F.count("*").alias("n_pairs"), *source]
 
 
 def tick_bar_vwap(ticks: DataFrame, bars: DataFrame, width_ms: int = 1000, window_ms: int = 60_000, order: tuple[str, ...] = ("timestamp",)) -> DataFrame:
-    """The whole flow: per-bar volume, interval join, mean by window of the later of both times."""
-    volumes = per_tick_volume(bars, list(order)).select("symbol", "timestamp", F.col("per_tick_volume").alias("volume"))
+    """The whole flow: per-bar volume, interval join, mean by window of the later of both times; the bars' data_source is carried."""
+    source = ["data_source"] if "data_source" in bars.columns else []
+    volumes = per_tick_volume(bars, list(order)).select("symbol", "timestamp", F.col("per_tick_volume").alias("volume"), *source)
     pairs = interval_join(ticks.select("symbol", "timestamp", "price"), volumes, width_ms)
     return vwap(pairs.withColumn("ts", F.greatest("timestamp", "right_timestamp")), window_ms)

@@ -31,17 +31,28 @@ def judged_item(item: Column, mime: Column, size: Column, failure: Column, bucke
     )
 
 
+def one_fact(facts: DataFrame) -> DataFrame:
+    """One row for each address: of several, the first in the order of its columns."""
+    return facts.groupBy("lz_url").agg(F.min(F.struct("true_mime", "processed_bytes", "failure")).alias("_fact")).select("lz_url", "_fact.*")
+
+
 def judge_media(posts: DataFrame, facts: DataFrame, key: list[str], bucket: str = "trusted-zone", max_bytes: int = M.MAX_BYTES) -> DataFrame:
     """key, pos and item for each media item of posts; null items are skipped. Items meet facts in a join on their address."""
     items = posts.select(*key, F.posexplode("media").alias("pos", "item")).where("item IS NOT NULL")
-    rows = items.join(facts, items["item.lz_url"] == facts["lz_url"], "left")
+    rows = items.join(one_fact(facts), items["item.lz_url"] == F.col("lz_url"), "left")
     return rows.select(*key, "pos", judged_item(F.col("item"), F.col("true_mime"), F.col("processed_bytes"), F.col("failure"), bucket, max_bytes).alias("item"))
 
 
-def process_media(posts: DataFrame, facts: DataFrame, key: list[str]) -> DataFrame:
-    """posts with media_items: null for null media, else its items without any error, in order, maybe none."""
-    judged = judge_media(posts, facts, key).where("item.tz_url IS NOT NULL").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "item"))).alias("_items"))
-    rows = posts.join(judged, key, "left")
-    kind = judged.schema["_items"].dataType.elementType["item"].dataType.simpleString()
-    items = F.coalesce(F.transform("_items", lambda x: x["item"]), F.array().cast(f"array<{kind}>"))
-    return rows.withColumn("media_items", F.when(F.col("media").isNotNull(), items)).drop("_items")
+def process_media(posts: DataFrame, facts: DataFrame) -> DataFrame:
+    """posts with media_items: null for null media, else its items without any error, in order, maybe none.
+
+    What becomes of a list depends on the list alone, so each different list is judged once, whatever posts have it: posts with
+    the same id, and whole posts that repeat, keep their own items.
+    """
+    digest = F.sha2(F.to_json("media", {"ignoreNullFields": "false"}), 256)
+    lists = posts.where("media IS NOT NULL").select(digest.alias("_list"), "media").dropDuplicates(["_list"])
+    judged = judge_media(lists, facts, ["_list"]).where("item.tz_url IS NOT NULL").groupBy("_list").agg(F.array_sort(F.collect_list(F.struct("pos", "item"))).alias("_made"))
+    kind = judged.schema["_made"].dataType.elementType["item"].dataType.simpleString()
+    items = F.coalesce(F.transform("_made", lambda x: x["item"]), F.array().cast(f"array<{kind}>"))
+    rows = posts.withColumn("_own", digest).join(judged, F.col("_own") == F.col("_list"), "left")
+    return rows.select(*posts.columns, F.when(F.col("media").isNotNull(), items).alias("media_items"))

@@ -10,14 +10,15 @@ from tidewater.operators.articles import accepted
 from tidewater.operators.media_items import process_media
 from tidewater.sources.envelope import explode_records, validate_envelopes
 
+# Field names of a post, stored and raw.
 POST = ["id", "title", "author", "created_utc", "score", "url", "selftext", "num_comments", "permalink", "upvote_ratio", "is_original_content", "is_self", "subreddit", "scraped_at", "source_file", "checksum_sha256", "media_items"]
 REQUIRED = [c for c in POST if c not in ("selftext", "media_items")]
 RAW_FIELDS = ["id", "title", "author", "created_utc", "score", "url", "selftext", "num_comments", "permalink", "upvote_ratio", "is_original_content", "is_self"]
 
 
-def project_posts(items: DataFrame) -> DataFrame:
-    """The twelve fields that ingestion keeps."""
-    return items.select(*RAW_FIELDS)
+def project_posts(items: DataFrame, *keep: str) -> DataFrame:
+    """The twelve fields that ingestion keeps, and the columns in keep."""
+    return items.select(*keep, *RAW_FIELDS)
 
 
 def clean_posts(df: DataFrame) -> DataFrame:
@@ -47,4 +48,4 @@ def posts_from_files(raw: DataFrame, facts: DataFrame) -> DataFrame:
     """Posts of all valid files in raw (value, source_file), media processed against facts, in one plan."""
     files = validate_envelopes(raw, "posts").where("envelope_ok")
     rows = explode_records(files, "posts", keep=["source_file"]).select("source_file", "scraped_at", F.col("meta.subreddit").alias("subreddit"), "record.*")
-    return finish_posts(process_media(accepted(clean_posts(rows)), facts, ["source_file", "id"]))
+    return finish_posts(process_media(accepted(clean_posts(rows)), facts))

@@ -1,9 +1,13 @@
 """Registered queries, named after the inventory lines they cover, and their SQL."""
 
+import uuid
+from collections.abc import Iterator
 from functools import partial
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tidewater.functions import media as M
 from tidewater.functions.text import epoch_to_iso
@@ -86,7 +90,7 @@ def a6_mean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vwap_points(spark: SparkSession, d: str) -> DataFrame:
-    return stored(a3_vwap(spark, d).select("symbol", F.timestamp_millis("window_end").alias("ts"), "vwap", F.lit("replay").alias("data_source")))
+    return stored(a3_vwap(spark, d).select("symbol", F.timestamp_millis("window_end").alias("ts"), "vwap", "data_source"))
 
 
 def q1_names(spark: SparkSession, d: str) -> DataFrame:
@@ -120,36 +124,110 @@ def k7_retain(spark: SparkSession, d: str) -> DataFrame:
     return sinks.retain(points(spark, d), "2 DAYS").select("event_id", "timestamp", "price")
 
 
-def t3_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The stateful stream over stored bars, run to its end."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    path = shared_dir(spark)
-    S.bars(spark, d).write.parquet(f"{path}/bars")
-    stream = spark.readStream.schema("event_id long, symbol string, timestamp long, volume long").parquet(f"{path}/bars")
-    out = market_stream.per_tick_volume_stream(market_stream.event_time(stream))
-    query = out.select("event_id", "symbol", "timestamp", "per_tick_volume").writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").trigger(availableNow=True).start()
-    query.awaitTermination()
+def _to_end(writer) -> None:
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def _arrivals(spark: SparkSession, d: str, path: str, parts: int) -> list[DataFrame]:
+    """Bars in the order of their ids, as parts that arrive one after another."""
+    rows = S.bars(spark, d)
+    last = rows.agg(F.max("event_id")).first()[0] or 0
+    return [rows.where(F.floor(F.col("event_id") * parts / (last + 1)) == i) for i in range(parts)]
+
+
+def _volumes_by_state(spark: SparkSession, d: str, restarts: int) -> DataFrame:
+    """The stateful stream over bars that arrive in parts; each part starts the query anew from its checkpoint."""
+    path, key = shared_dir(spark), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in _arrivals(spark, d, path, restarts):
+            part.write.mode("append").parquet(f"{path}/bars")
+            stream = spark.readStream.schema("event_id long, symbol string, timestamp long, volume long").parquet(f"{path}/bars")
+            out = market_stream.per_tick_volume_stream(stream).select("event_id", "symbol", "timestamp", "per_tick_volume")
+            _to_end(out.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out"))
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
     return spark.read.schema("event_id long, symbol string, timestamp long, per_tick_volume long").parquet(f"{path}/out")
 
 
+def t3_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The stateful stream over stored bars in the order of arrival, run to its end."""
+    return _volumes_by_state(spark, d, 1)
+
+
+def t10_restart(spark: SparkSession, d: str) -> DataFrame:
+    """The same in three runs: the state of each is restored from the checkpoint of the one before."""
+    return _volumes_by_state(spark, d, 3)
+
+
+def _stream_vwap(spark: SparkSession, d: str, path: str) -> DataFrame:
+    S.ticks(spark, d).write.parquet(f"{path}/ticks")
+    market.per_tick_volume(S.bars(spark, d), ["timestamp", "event_id"]).select("symbol", "timestamp", "per_tick_volume", "data_source").write.parquet(f"{path}/volumes")
+    ticks = spark.readStream.schema("event_id long, symbol string, timestamp long, price double").parquet(f"{path}/ticks")
+    volumes = spark.readStream.schema("symbol string, timestamp long, per_tick_volume long, data_source string").parquet(f"{path}/volumes")
+    pairs = market_stream.interval_join_stream(market_stream.event_time(ticks), market_stream.event_time(volumes), S.WIDTH_MS // 1000)
+    return market_stream.vwap_stream(pairs, "1 day")
+
+
 def j1_t6_stream(spark: SparkSession, d: str) -> DataFrame:
     """Stream-stream interval join and windowed mean over stored ticks and volumes; windows that the watermark has closed."""
     path = shared_dir(spark)
-    S.ticks(spark, d).write.parquet(f"{path}/ticks")
-    t4_volume(spark, d).write.parquet(f"{path}/volumes")
-    ticks = spark.readStream.schema("event_id long, symbol string, timestamp long, price double").parquet(f"{path}/ticks")
-    volumes = spark.readStream.schema("event_id long, symbol string, timestamp long, per_tick_volume long").parquet(f"{path}/volumes")
-    pairs = market_stream.interval_join_stream(market_stream.event_time(ticks), market_stream.event_time(volumes), "10 minutes")
-    query = market_stream.vwap_stream(pairs, "1 day").writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema("symbol string, window_end long, vwap double, n_pairs long").parquet(f"{path}/out")
+    _to_end(_stream_vwap(spark, d, path).writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out"))
+    return spark.read.schema("symbol string, window_end long, vwap double, n_pairs long, data_source string").parquet(f"{path}/out")
+
+
+def k5_points(spark: SparkSession, d: str) -> DataFrame:
+    """The same means in a point sink keyed by symbol and window end."""
+    path = shared_dir(spark)
+    _to_end(sinks.point_sink(_stream_vwap(spark, d, path), f"{path}/out", f"{path}/state", ["symbol", "window_end"]))
+    return spark.read.schema("symbol string, window_end long, vwap double").parquet(f"{path}/out").select("symbol", "window_end", "vwap")
+
+
+def t9_fan_out(spark: SparkSession, d: str) -> DataFrame:
+    """One stream of tick messages, validated once, to the sink's table and to the join's input."""
+    path = shared_dir(spark)
+    tick_messages(spark, d).write.parquet(f"{path}/in")
+    valid = market.parse_ticks(spark.readStream.schema("event_id long, value string").parquet(f"{path}/in"))
+    branches = {"sink": (f"{path}/sink", ["event_id", "symbol", "price"]), "join": (f"{path}/join", ["event_id", "symbol", "timestamp", "price"])}
+    _to_end(market_stream.fan_out(valid, f"{path}/state", branches))
+    kinds = {"sink": "event_id long, symbol string, price double", "join": "event_id long, symbol string, timestamp long, price double"}
+    rows = [spark.read.schema(kinds[b]).parquet(folder).withColumn("branch", F.lit(b)) for b, (folder, _) in branches.items()]
+    return rows[0].unionByName(rows[1], allowMissingColumns=True).select("branch", "event_id", "symbol", "price", "timestamp")
+
+
+def t7_late(spark: SparkSession, d: str) -> DataFrame:
+    """Ticks that come again when the watermark has passed them: windows stay as they were, and the query tells that rows were dropped."""
+    path, rows = shared_dir(spark), S.ticks(spark, d)
+    query = None
+    for _ in range(2):
+        rows.write.mode("append").parquet(f"{path}/in")
+        ticks = market_stream.event_time(spark.readStream.schema("event_id long, symbol string, timestamp long, price double").parquet(f"{path}/in"))
+        means = ticks.groupBy("symbol", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n")).select("symbol", F.unix_millis(F.col("w.end")).alias("window_end"), "n")
+        query = means.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").trigger(availableNow=True).start()
+        query.awaitTermination()
+    out = spark.read.schema("symbol string, window_end long, n long").parquet(f"{path}/out")
+    return out.withColumn("some_dropped", F.lit(market_stream.dropped_as_late(query) > 0))
+
+
+def k11_topic(spark: SparkSession, d: str) -> DataFrame:
+    """Ticks as messages to a topic and read from it again; the topic is a folder here."""
+    path = shared_dir(spark)
+    S.ticks(spark, d).write.parquet(f"{path}/in")
+    ticks = spark.readStream.schema("event_id long, symbol string, timestamp long, price double").parquet(f"{path}/in")
+    _to_end(sinks.publish(market.to_message(ticks, "symbol", "timestamp", "price"), "ticks", path, f"{path}/sent", sink="text"))
+    got = market.parse_ticks(files.read_topic(spark, "ticks", path, source="text"))
+    _to_end(got.writeStream.format("parquet").option("checkpointLocation", f"{path}/read").option("path", f"{path}/out"))
+    rows = spark.read.schema("symbol string, timestamp long, price double").parquet(f"{path}/out")
+    return rows.groupBy("symbol").agg(F.count("*").alias("n"), F.sum("timestamp").alias("sum_timestamp"), F.round(F.sum("price"), 4).alias("sum_price"))
 
 
 # News
 
 
 def news_rules(spark: SparkSession, d: str) -> DataFrame:
-    rows = articles.clean_articles(S.raw_news(spark, d), F.col("of_file"), S.KNOWN)
+    raw = articles.project_news(S.raw_news(spark, d), "doc_id", "of_file", "scraped_at")
+    rows = articles.clean_articles(raw, F.col("of_file"), S.KNOWN)
     return rows.select("doc_id", "reject_reason", "category", "headline", "source", "url", "image_url", "summary", ms("published_at_utc"))
 
 
@@ -161,30 +239,41 @@ def h1_checksum(spark: SparkSession, d: str) -> DataFrame:
     return news_table(spark, d).select("id", "source_file", "checksum_sha256")
 
 
+def _scraped(part: str = "part"):
+    """When a file of a part was scraped."""
+    return F.timestamp_seconds(F.lit(1700003000) + F.col(part) % 4 * 60)
+
+
 def news_files(spark: SparkSession, d: str) -> DataFrame:
-    return envelope.build_envelopes(S.raw_news(spark, d), "news", "of_file", [f for f in articles.RAW_FIELDS if f != "related"], F.timestamp_seconds(F.lit(1700003000)))
+    return envelope.build_envelopes(S.raw_news(spark, d), "news", "of_file", [f for f in articles.RAW_FIELDS if f != "related"], _scraped(), part="part")
 
 
 def p1_news(spark: SparkSession, d: str) -> DataFrame:
-    raw = news_files(spark, d).select("value", F.concat(F.lit("news/"), "of_file").alias("source_path"))
+    raw = news_files(spark, d).select("value", F.concat(F.lit("news/"), "of_file", F.lit("/"), "part").alias("source_path"))
     return articles.articles_from_files(raw, S.KNOWN).select("id", "category", "headline", "source_file", "checksum_sha256")
 
 
 def p1_gate(spark: SparkSession, d: str) -> DataFrame:
-    return envelope.validate_envelopes(news_files(spark, d), "news").select("of_file", "envelope_ok")
+    return envelope.validate_envelopes(news_files(spark, d), "news").select("of_file", "part", "envelope_ok")
 
 
 def s1_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Files in the landing layout, scanned again: records, different files and counts in the metadata of each group."""
     path = shared_dir(spark)
-    sinks.write_envelopes(news_files(spark, d), path, "of_file")
-    raw = files.read_envelopes(spark, f"{path}/*/*.txt").withColumn("value", F.trim("value"))
-    return envelope.explode_records(raw, "news", keep=["source_path"]).groupBy("meta.category").agg(F.count("*").alias("n"), F.count_distinct("source_path").alias("n_files"), F.max("meta.article_count").alias("article_count"))
+    sinks.write_envelopes(news_files(spark, d), path, envelope.envelope_key("news", F.col("of_file"), _scraped(), "daily", F.col("part")))
+    raw = files.read_envelopes(spark, f"{path}/news/daily/*/*.json").withColumn("value", F.trim("value"))
+    objects = files.input_objects(raw).groupBy(F.element_at(F.split("source_path", "/"), -2).alias("category")).agg(F.count("*").alias("n_files"))
+    named = raw.withColumn("name", F.regexp_extract("source_path", r"/(news/daily/[^/]+/\d{8}_\d{6}(?:-\d+)?\.json)$", 1))
+    rows = envelope.explode_records(named, "news", keep=["name"]).groupBy("meta.category").agg(
+        F.count("*").alias("n"), F.max("meta.article_count").alias("article_count"), F.min("name").alias("first_name"), F.max("name").alias("last_name")
+    )
+    return rows.join(objects, "category")
 
 
 def k1_append(spark: SparkSession, d: str) -> DataFrame:
     path = shared_dir(spark)
     sinks.append(news_table(spark, d), path)
-    return files.scan_partition(spark.read.parquet(path), "2023-11-14", "news/en").select("id", "headline", "checksum_sha256")
+    return files.scan_partition(spark.read.parquet(path), "2023-11-14", "news/en/0").select("id", "headline", "checksum_sha256")
 
 
 def s5_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -208,7 +297,9 @@ def v_report(spark: SparkSession, d: str) -> DataFrame:
     rows = stored(news_table(spark, d).unionByName(news_table(spark, d)).dropDuplicates())
     clean = articles.accepted(articles.clean_articles(S.raw_news(spark, d), F.col("of_file"), S.KNOWN)).groupBy("source_file").agg(F.count("*").alias("n_clean"))
     spoiled = rows.withColumn("checksum_sha256", F.when(F.col("id") % 50 == 1, F.lit("x")).otherwise(F.col("checksum_sha256")))
-    return verify.verify_write(spoiled, clean.withColumn("n_expected", F.col("n_clean")), "news")
+    spoiled = spoiled.withColumn("checksum_sha256", F.when(F.col("id") % 50 != 2, F.col("checksum_sha256"))).where("source_file <> 'news/en/1'")
+    expected = clean.where("source_file <> 'news/en/0'").withColumn("n_expected", F.col("n_clean"))
+    return verify.verify_write(spoiled, expected, "news")
 
 
 def a7_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -224,6 +315,63 @@ def k12_handoff(spark: SparkSession, d: str) -> DataFrame:
     return verify.high_watermark(news_table(spark, d)).select(ms("first_scraped_at"), ms("latest_scraped_at"))
 
 
+def k8_table(spark: SparkSession, d: str) -> DataFrame:
+    """Articles in a table made by DDL, partitioned by day."""
+    path, name = shared_dir(spark), f"articles_{uuid.uuid4().hex}"
+    rows = news_table(spark, d)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}{' NOT NULL' if f.name in articles.REQUIRED else ''}" for f in rows.schema)
+    sinks.create_table(spark, name, schema, path)
+    try:
+        sinks.with_day(rows).write.insertInto(name)
+        made = spark.table(name).schema
+    finally:
+        spark.sql(f"DROP TABLE {name}")  # the files stay at their place
+    days = spark.read.schema(made).parquet(path)
+    return days.groupBy("scraped_day", "source_file").agg(F.count("*").alias("n"), F.min("checksum_sha256").alias("first_checksum")).withColumn("scraped_day", F.col("scraped_day").cast("string"))
+
+
+def k4_jdbc(spark: SparkSession, d: str) -> DataFrame:
+    """Serving rows written over JDBC, then upserted: some new, some replaced. The database is one inside this process."""
+    url = f"jdbc:derby:memory:t{uuid.uuid4().hex};create=true"
+    properties = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = e_enrich(spark, d).select(F.col("id").alias("ID"), F.col("sentiment_label").alias("LABEL"))
+    sinks.write_jdbc(rows.where("ID % 3 > 0"), url, "GOLD", **properties)
+    sinks.write_jdbc(rows.where("ID % 3 < 2").withColumn("LABEL", F.concat("LABEL", F.lit("!"))), url, "GOLD", key=["ID"], mode="upsert", **properties)
+    return spark.read.jdbc(url, "GOLD", properties=properties).select(F.col("ID").alias("id"), F.col("LABEL").alias("label"))
+
+
+def w6_first(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.first_rows(news_table(spark, d), [F.col("published_at_utc").desc(), F.col("id")], 10).select("id", "headline")
+
+
+@F.pandas_udf(StringType())
+def _first_words(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A summariser as a model would plug in: set up once a task, then batches of texts."""
+    for batch in texts:
+        yield batch.map(lambda t: " ".join(t.split(" ")[:10]), na_action="ignore")
+
+
+@F.pandas_udf(StructType([StructField("label", StringType()), StructField("confidence", DoubleType())]))
+def _long_is_good(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for batch in texts:
+        n = batch.str.len()
+        yield pd.DataFrame({"label": (n % 3).map({0: "positive", 1: "negative", 2: "neutral"}), "confidence": 1 / (1 + n % 4)})
+
+
+def e2_plugin(spark: SparkSession, d: str) -> DataFrame:
+    """Enrichment with scorers that run in Python over Arrow batches."""
+    out = enrich.enrich(news_table(spark, d), _first_words, _long_is_good)
+    return out.select("id", "summary", F.round("sentiment_score", 6).alias("sentiment_score"), "sentiment_label")
+
+
+def e6_annotation(spark: SparkSession, d: str) -> DataFrame:
+    """The first annotation of a list: none for some documents, and a confidence that isn't there, or is no number, for others."""
+    note = "named_struct('result', lang, 'metadata', map(CASE WHEN doc_id % 3 = 0 THEN 'other' ELSE 'confidence' END, CASE WHEN doc_id % 5 = 0 THEN 'high' ELSE cast(doc_id % 7 AS string) END))"
+    rows = S.table(spark, d, "documents").selectExpr("doc_id", f"CASE WHEN doc_id % 4 = 0 THEN array() WHEN doc_id % 4 <> 1 THEN array({note}) END AS notes")
+    label, score = enrich.annotation(F.col("notes"))
+    return rows.select("doc_id", label.alias("label"), score.alias("confidence"))
+
+
 def e_enrich(spark: SparkSession, d: str) -> DataFrame:
     mood = partial(enrich.lexicon_sentiment, positive=["the", "of"], negative=["and", "in"])
     out = enrich.enrich(news_table(spark, d), scorer=mood)
@@ -234,7 +382,7 @@ def e_enrich(spark: SparkSession, d: str) -> DataFrame:
 
 
 def post_rules(spark: SparkSession, d: str) -> DataFrame:
-    rows = posts.clean_posts(S.raw_posts(spark, d))
+    rows = posts.clean_posts(posts.project_posts(S.raw_posts(spark, d), "doc_id", "scraped_at"))
     return rows.select("doc_id", "reject_reason", "title", "author", ms("created_utc"), "score", "num_comments", "url", "selftext", "permalink", F.round("upvote_ratio", 6).alias("upvote_ratio"), "is_original_content", "is_self")
 
 
@@ -248,17 +396,18 @@ def h2_checksum(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_posts(spark: SparkSession, d: str) -> DataFrame:
-    """Envelopes of posts, of which one has a record that the file gate rejects."""
-    rows = S.raw_posts(spark, d).where("doc_id % 19 <> 0").withColumns({
-        "title": F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit("x")), "num_comments": F.greatest("num_comments", F.lit(0)), "selftext": F.coalesce("selftext", F.lit("")),
-        "upvote_ratio": F.when(F.col("subreddit") == "es", 1.5).otherwise(F.abs("upvote_ratio") % 1), "is_original_content": F.coalesce("is_original_content", F.lit(False)),
-    })
-    made = envelope.build_envelopes(rows, "posts", "subreddit", posts.RAW_FIELDS, F.timestamp_seconds(F.lit(1700003000)), {"sort_by": F.lit("new"), "time_filter": envelope.kept_time_filter(F.lit("new"), F.lit("day"))})
-    raw = made.select("value", F.concat(F.lit("posts/"), "subreddit").alias("source_file"))
+    """Envelopes of all posts; a file with a record that breaks the file gate (its id, a count, a ratio, a missing text or flag) is rejected whole."""
+    part = F.col("doc_id")  # a file for each post and language: most files then have no bad record
+    made = envelope.build_envelopes(S.raw_posts(spark, d).withColumn("of", part), "posts", "subreddit", posts.RAW_FIELDS, _scraped_of_post(), {"sort_by": F.lit("new"), "time_filter": envelope.kept_time_filter(F.lit("new"), F.lit("day"))}, part="of")
+    raw = made.select("value", F.concat(F.lit("posts/"), "subreddit", F.lit("/"), "of").alias("source_file"))
     out = posts.posts_from_files(raw, spark.createDataFrame([], media_items.FACTS))
     return out.select("id", "subreddit", "title", "score", "num_comments", "source_file")
 
 
+def _scraped_of_post():
+    return F.timestamp_seconds(F.lit(1700003000) + F.floor(F.col("of") / 100) % 4 * 60)
+
+
 def _ranked_posts(spark: SparkSession, d: str) -> DataFrame:
     """Posts in a few groups, scraped at a few times."""
     n = F.substring("id", 2, 20).cast("long")
@@ -300,7 +449,9 @@ def m1_urls(spark: SparkSession, d: str) -> DataFrame:
 
 def m8_post_media(spark: SparkSession, d: str) -> DataFrame:
     rows = S.media_urls(spark, d).selectExpr("page_id", "url", "page_id % 3 = 0 AS is_self", "CASE WHEN page_id % 5 = 0 THEN map('a', named_struct('e', 'Image', 's', named_struct('u', url)), 'b', named_struct('e', 'Video', 's', named_struct('u', 'x'))) END AS gallery")
-    return rows.select("page_id", F.coalesce(F.size(M.post_media(F.col("url"), F.col("is_self"), F.col("gallery"), F.lit("sub"))), F.lit(-1)).alias("n"))
+    rows = rows.withColumn("media", M.post_media(F.col("url"), F.col("is_self"), F.col("gallery"), F.lit("sub")))
+    field = lambda f: F.array_join(F.transform("media", lambda x: x[f]), "|").alias(f)
+    return rows.select("page_id", F.coalesce(F.size("media"), F.lit(-1)).alias("n"), field("media_type"), field("source_url"), field("lz_url"), field("content_type"))
 
 
 def m9_items(spark: SparkSession, d: str) -> DataFrame:
@@ -309,10 +460,19 @@ def m9_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def m9_posts(spark: SparkSession, d: str) -> DataFrame:
-    rows = media_items.process_media(S.media_posts(spark, d), S.media_facts(spark, d), ["id"])
+    rows = media_items.process_media(S.media_posts(spark, d), S.media_facts(spark, d))
     return rows.select("id", F.when(F.col("media_items").isNull(), -1).otherwise(F.size("media_items")).alias("n"))
 
 
+def m14_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Facts from real bytes: pages written as binary files' content, with the heads of known formats, some of them too short."""
+    heads = ["FFD8FFE0", "89504E470D0A1A0A", "474946383961", "524946460000000057454250", "000000186674797069736F6D", "1A45DFA3", "524946460000000041564920", "3C68746D6C3E"]
+    head = F.unhex(F.element_at(F.array(*map(F.lit, heads)), (F.col("page_id") % 8 + 1).cast("int")))
+    content = F.concat(head, F.when(F.col("page_id") % 5 > 0, F.col("html").cast("binary")).otherwise(F.lit(b"")))
+    rows = S.table(spark, d, "pages").select(F.concat(F.lit("s3a://lz/"), "page_id").alias("path"), content.alias("content"))
+    return media_items.media_facts(rows).select("lz_url", "true_mime", "processed_bytes", "failure")
+
+
 def a4_stats(spark: SparkSession, d: str) -> DataFrame:
     return posts.media_stats(S.media_posts(spark, d))
 
@@ -320,21 +480,30 @@ def a4_stats(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "A3_vwap": a3_vwap, "T4_per_tick_volume": t4_volume, "J2_interval_join": j2_pairs, "P12_P13_bars": p12_bars, "R17_T5_ticks": r17_ticks, "T8_bars_to_ticks": t8_ticks, "T2_latency": t2_latency,
     "A6_bucket_mean": a6_mean, "Q1_W5_series_names": q1_names, "Q2_mean_latency": q2_latency, "Q3_mean_price": q3_price, "Q4_vwap_series": q4_series, "K6_last_write_wins": k6_points, "K7_S7_retention": k7_retain,
-    "T3_T1_stream_volume": t3_stream, "J1_T6_stream_vwap": j1_t6_stream,
+    "T3_T1_stream_volume": t3_stream, "J1_T6_stream_vwap": j1_t6_stream, "T10_restart": t10_restart, "K5_vwap_points": k5_points, "T9_fan_out": t9_fan_out, "T7_late_rows": t7_late, "S4_K11_topic": k11_topic,
+    "K8_table": k8_table, "K4_jdbc_upsert": k4_jdbc, "W6_first_rows": w6_first, "E2_E5_plugin": e2_plugin, "E6_annotation": e6_annotation, "M14_M16_media_facts": m14_facts,
     "R1_R8_P14_article_rules": news_rules, "H1_H3_article_checksum": h1_checksum, "P1_P8_news_files": p1_news, "P1_file_gate": p1_gate, "S1_S3_K10_file_scan": s1_scan, "K1_K3_S6_append": k1_append, "S5_table_scan": s5_scan,
     "W4_newest_article": w4_newest, "V1_V4_H4_write_report": v_report, "A7_A1_batch_summary": a7_summary, "K9_K8_gate": k9_gate, "K12_A2_handoff": k12_handoff, "E1_E7_enrich": e_enrich,
     "R9_R16_P15_post_rules": post_rules, "H2_post_checksum": h2_checksum, "P2_P9_A5_post_files": p2_posts, "W1_keep_latest": w1_latest, "K2_upsert": k2_upsert, "W2_merge_latest": w2_merge, "W3_whole_row_dedup": w3_distinct, "P10_P11_times": p10_times,
     "M1_M5_media_urls": m1_urls, "M6_M8_post_media": m8_post_media, "M9_M15_media_items": m9_items, "M9_post_items": m9_posts, "A4_media_stats": a4_stats,
 }
 
-_PAIRS = f"""pairs AS (SELECT t.event_id, b.event_id AS bar_id, t.symbol, greatest(t."timestamp", b."timestamp") AS ts, t.price, b.per_tick_volume FROM ticks t JOIN volumes b ON t.symbol = b.symbol AND b."timestamp" BETWEEN t."timestamp" - {S.WIDTH_MS} AND t."timestamp" + {S.WIDTH_MS})"""
-_VWAP = f"""vwap AS (SELECT symbol, (ts // {S.DAY_MS} + 1) * {S.DAY_MS} AS window_end, round(CASE WHEN sum(per_tick_volume) > 0 THEN sum(round(price, 6) * per_tick_volume) / sum(per_tick_volume) ELSE 0.0 END, 6) AS vwap, count(*) AS n_pairs FROM pairs GROUP BY 1, 2)"""
+_ARRIVED = """late AS (SELECT *, coalesce(lag(volume) OVER w, 0) AS pv, coalesce(lag("timestamp") OVER w, 0) AS pt FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY event_id)),
+arrived AS (SELECT event_id, symbol, "timestamp", CASE WHEN volume >= pv AND "timestamp" > pt THEN volume - pv ELSE volume END AS per_tick_volume FROM late)"""
+_PAIRS = f"""pairs AS (SELECT t.event_id, b.event_id AS bar_id, t.symbol, greatest(t."timestamp", b."timestamp") AS ts, t.price, b.per_tick_volume, b.data_source FROM ticks t JOIN volumes b ON t.symbol = b.symbol AND b."timestamp" BETWEEN t."timestamp" - {S.WIDTH_MS} AND t."timestamp" + {S.WIDTH_MS})"""
+_VWAP = f"""vwap AS (SELECT symbol, (ts // {S.DAY_MS} + 1) * {S.DAY_MS} AS window_end, round(CASE WHEN sum(per_tick_volume) > 0 THEN sum(round(price, 6) * per_tick_volume) / sum(per_tick_volume) ELSE 0.0 END, 6) AS vwap, count(*) AS n_pairs, arg_max(data_source, (ts, data_source)) AS data_source FROM pairs GROUP BY 1, 2)"""
 _RANKED = f"""{P}, kept AS (SELECT 'g' || (doc_id % 61) AS id, doc_id AS n, score, selftext FROM posts WHERE reject_reason IS NULL
 QUALIFY row_number() OVER (PARTITION BY doc_id % 61 ORDER BY doc_id % 5 DESC, created DESC, title) = 1)"""
 SQL = {
     "A3_vwap": f"WITH {E}, {_PAIRS}, {_VWAP} SELECT * FROM vwap",
-    "T4_per_tick_volume": f"WITH {E} SELECT * FROM volumes",
-    "T3_T1_stream_volume": f"WITH {E} SELECT * FROM volumes",
+    "T4_per_tick_volume": f"WITH {E} SELECT event_id, symbol, timestamp, per_tick_volume FROM volumes",
+    "T3_T1_stream_volume": f"WITH {E}, {_ARRIVED} SELECT * FROM arrived",
+    "T10_restart": f"WITH {E}, {_ARRIVED} SELECT * FROM arrived",
+    "K5_vwap_points": f"WITH {E}, {_PAIRS}, {_VWAP} SELECT symbol, window_end, vwap FROM vwap WHERE window_end < (SELECT max(window_end) FROM vwap)",
+    "T9_fan_out": f"""WITH {E}, x AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN symbol ELSE 'unknown' END AS symbol, CAST(event_id % 100 AS DOUBLE) AS price, "timestamp" FROM ev WHERE event_id % 50 <> 7 AND event_id % 10 > 3)
+SELECT 'sink' AS branch, event_id, symbol, price, NULL AS "timestamp" FROM x UNION ALL SELECT 'join', event_id, symbol, price, "timestamp" FROM x""",
+    "T7_late_rows": f"""WITH {E}, w AS (SELECT symbol, ("timestamp" // {S.DAY_MS} + 1) * {S.DAY_MS} AS window_end, count(*) AS n FROM ticks GROUP BY 1, 2) SELECT *, true AS some_dropped FROM w WHERE window_end <= (SELECT max("timestamp") - 3000 FROM ticks)""",
+    "S4_K11_topic": f"""WITH {E} SELECT symbol, count(*) AS n, CAST(sum("timestamp") AS BIGINT) AS sum_timestamp, round(sum(price), 4) AS sum_price FROM ticks WHERE price >= 0 GROUP BY 1""",
     "J2_interval_join": f"WITH {E}, {_PAIRS} SELECT event_id, bar_id, symbol, ts FROM pairs",
     "P12_P13_bars": f"""WITH {E} SELECT event_id, symbol, "timestamp", round(value, 4) AS open_price, CASE WHEN event_id % 7 <> 1 THEN event_id END AS volume, 'Finazon' AS provider, 'bars' AS channel, '1s' AS frequency, '1m' AS aggregation, CAST(NULL AS VARCHAR) AS data_source FROM ev WHERE event_id % 7 <> 0""",
     "R17_T5_ticks": f"""WITH {E}, x AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN symbol ELSE 'unknown' END AS symbol, CASE WHEN event_id % 10 > 3 THEN CAST(event_id % 100 AS DOUBLE) END AS p, event_id % 10 AS k FROM ev WHERE event_id % 50 <> 7)
@@ -343,7 +512,7 @@ SELECT 'strict' AS mode, event_id, symbol, p AS price FROM x WHERE k > 3 UNION A
 SELECT symbol, t + i * 11 AS "timestamp", round(round(o + i * (c - o) / 90, 5), 4) AS price FROM b, range(90) r(i)""",
     "T2_latency": f"""WITH {E} SELECT event_id, (SELECT max("timestamp") FROM ticks) - "timestamp" AS latency_ms FROM ticks""",
     "A6_bucket_mean": f"""WITH {E} SELECT symbol, ("timestamp" // 3600000 + 1) * 3600000 AS bucket_end, round(avg(price), 6) AS mean_price FROM ticks GROUP BY 1, 2""",
-    "Q1_W5_series_names": f"WITH {E}, {_PAIRS}, {_VWAP} SELECT DISTINCT symbol, 'replay' AS data_source FROM vwap WHERE window_end >= (SELECT max(window_end) FROM vwap) - 10 * {S.DAY_MS}",
+    "Q1_W5_series_names": f"WITH {E}, {_PAIRS}, {_VWAP} SELECT DISTINCT symbol, data_source FROM vwap WHERE window_end >= (SELECT max(window_end) FROM vwap) - 10 * {S.DAY_MS}",
     "Q2_mean_latency": f"""WITH {E}, x AS (SELECT *, (SELECT max("timestamp") FROM ticks) - "timestamp" AS late FROM ticks) SELECT symbol, ("timestamp" // 3600000 + 1) * 3600000 AS bucket_end, round(avg(late), 3) AS mean_latency_ms FROM x WHERE late <= 5 * {S.DAY_MS} GROUP BY 1, 2""",
     "Q3_mean_price": f"""WITH {E} SELECT symbol, ("timestamp" // 3600000 + 1) * 3600000 AS bucket_end, round(avg(price), 6) AS mean_price FROM ticks WHERE "timestamp" >= (SELECT max("timestamp") FROM ticks) - 5 * {S.DAY_MS} GROUP BY 1, 2""",
     "Q4_vwap_series": f"WITH {E}, {_PAIRS}, {_VWAP} SELECT symbol, window_end AS ts, vwap FROM vwap WHERE window_end >= (SELECT max(window_end) FROM vwap) - 10 * {S.DAY_MS} ORDER BY 1, 2",
@@ -351,26 +520,34 @@ SELECT symbol, t + i * 11 AS "timestamp", round(round(o + i * (c - o) / 90, 5),
     "K7_S7_retention": f"""WITH {E} SELECT event_id, "timestamp", price FROM ticks WHERE "timestamp" >= (SELECT max("timestamp") FROM ticks) - 2 * {S.DAY_MS}""",
     "R1_R8_P14_article_rules": f"WITH {N} SELECT doc_id, reject_reason, category, headline, source, url, image_url, summary, dt * 1000 AS published_at_utc FROM news",
     "H1_H3_article_checksum": f"WITH {N} SELECT id, source_file, checksum_sha256 FROM articles",
-    "P1_P8_news_files": f"WITH {N} SELECT id, category, headline, source_file, checksum_sha256 FROM articles WHERE of_file NOT IN (SELECT of_file FROM raw WHERE id < 0)",
-    "P1_file_gate": f"WITH {N} SELECT of_file, bool_and(id >= 0 AND length(substr(headline, 1, 1)) = 1) AS envelope_ok FROM raw GROUP BY 1",
-    "S1_S3_K10_file_scan": "SELECT lang AS category, count(*) AS n, 1 AS n_files, count(*) AS article_count FROM documents GROUP BY 1",
-    "K1_K3_S6_append": f"WITH {N} SELECT id, headline, checksum_sha256 FROM articles WHERE source_file = 'news/en'",
-    "S5_table_scan": f"WITH {N}, n AS (SELECT count(*) AS n FROM articles) SELECT 'same' AS mode, n FROM n UNION ALL SELECT 'bad', n FROM n UNION ALL SELECT 'none', n FROM n UNION ALL SELECT 'other', 0",
+    "P1_P8_news_files": f"WITH {N} SELECT id, category, headline, source_file, checksum_sha256 FROM articles WHERE source_file NOT IN (SELECT source_file FROM raw WHERE id < 0)",
+    "P1_file_gate": f"WITH {N} SELECT of_file, part, bool_and(id >= 0 AND length(substr(headline, 1, 1)) = 1) AS envelope_ok FROM raw GROUP BY 1, 2",
+    "S1_S3_K10_file_scan": f"""WITH {N}, f AS (SELECT of_file, part, count(*) AS n, 'news/daily/' || lower(of_file) || '/' || strftime(to_timestamp(min(scraped)) AT TIME ZONE 'UTC', '%Y%m%d_%H%M%S') || CASE WHEN part > 0 THEN '-' || part ELSE '' END || '.json' AS name FROM raw GROUP BY 1, 2)
+SELECT of_file AS category, CAST(sum(n) AS BIGINT) AS n, max(n) AS article_count, min(name) AS first_name, max(name) AS last_name, count(*) AS n_files FROM f GROUP BY 1""",
+    "K1_K3_S6_append": f"WITH {N} SELECT id, headline, checksum_sha256 FROM articles WHERE source_file = 'news/en/0'",
+    "S5_table_scan": f"WITH {N}, n AS (SELECT count(*) AS n FROM articles) SELECT 'same' AS mode, count(*) AS n FROM articles WHERE scraped = 1700003000 UNION ALL SELECT 'bad', n FROM n UNION ALL SELECT 'none', n FROM n UNION ALL SELECT 'other', 0",
     "W4_newest_article": f"WITH {N}, x AS (SELECT id % 97 AS g, id, id % 7 AS p FROM articles) SELECT g AS id, id AS pos FROM x QUALIFY row_number() OVER (PARTITION BY g ORDER BY p DESC, id) = 1",
-    "V1_V4_H4_write_report": f"""WITH {N}, g AS (SELECT source_file, count(*) AS n, count(*) FILTER (id % 50 = 1) AS bad FROM articles GROUP BY 1)
-SELECT source_file, n AS n_clean, n AS n_expected, n AS n_written, bad AS n_bad_checksum, 0 AS n_dropped, true AS count_ok, bad = 0 AS checksum_ok FROM g""",
-    "A7_A1_batch_summary": f"WITH {N} SELECT source_file, count(*) AS n_written, 1700003000000 AS latest_scraped_at FROM articles GROUP BY 1",
+    "V1_V4_H4_write_report": f"""WITH {N}, g AS (SELECT source_file, count(*) AS n, count(*) FILTER (id % 50 IN (1, 2)) AS bad FROM articles GROUP BY 1),
+h AS (SELECT source_file, CASE WHEN source_file = 'news/en/0' THEN 0 ELSE n END AS n_clean, CASE WHEN source_file = 'news/en/1' THEN 0 ELSE n END AS n_written, CASE WHEN source_file = 'news/en/1' THEN 0 ELSE bad END AS bad FROM g)
+SELECT source_file, n_clean, n_clean AS n_expected, n_written, bad AS n_bad_checksum, n_clean - n_written AS n_dropped, n_written = n_clean AS count_ok, n_clean = 0 OR bad = 0 AS checksum_ok FROM h""",
+    "A7_A1_batch_summary": f"WITH {N} SELECT source_file, count(*) AS n_written, max(scraped) * 1000 AS latest_scraped_at FROM articles GROUP BY 1",
     "K9_K8_gate": f"""WITH {N} SELECT 'not_null:id' AS rule, 0 AS n_bad UNION ALL SELECT 'not_null:headline', 0 UNION ALL SELECT 'not_null:image_url', count(*) FROM articles WHERE image_url IS NULL
 UNION ALL SELECT 'enum:category', count(*) FROM articles WHERE category NOT IN ('en', 'fr', 'EN') UNION ALL SELECT 'unique:image_key', count(*) FROM (SELECT id % 100 FROM articles GROUP BY 1 HAVING count(*) > 1)""",
-    "K12_A2_handoff": "SELECT 1700003000000 AS first_scraped_at, 1700003000000 AS latest_scraped_at",
+    "K12_A2_handoff": f"WITH {N} SELECT min(scraped) * 1000 AS first_scraped_at, max(scraped) * 1000 AS latest_scraped_at FROM articles",
+    "K8_table": f"WITH {N} SELECT '2023-11-14' AS scraped_day, source_file, count(*) AS n, min(checksum_sha256) AS first_checksum FROM articles GROUP BY 2",
+    "W6_first_rows": f"WITH {N} SELECT id, headline FROM articles ORDER BY dt DESC, id LIMIT 10",
+    "E6_annotation": "SELECT doc_id, CASE WHEN doc_id % 4 > 1 THEN lang END AS label, CASE WHEN doc_id % 4 > 1 AND doc_id % 3 > 0 AND doc_id % 5 > 0 THEN CAST(doc_id % 7 AS DOUBLE) END AS confidence FROM documents",
+    "E2_E5_plugin": rf"""WITH {N}, s AS (SELECT *, CASE WHEN length(summary) < 50 THEN array_to_string(string_split(headline, ' ')[1:10], ' ') ELSE summary END AS final FROM articles), c AS (SELECT *, length(headline || '. ' || final) AS n FROM s)
+SELECT id, final AS summary, round(1 / (1 + n % 4), 6) AS sentiment_score, (['positive', 'negative', 'neutral'])[n % 3 + 1] AS sentiment_label FROM c""",
     "E1_E7_enrich": rf"""WITH {N}, s AS (SELECT *, CASE WHEN length(summary) < 50 THEN array_to_string(string_split(regexp_replace(headline, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))[1:2], ' ') ELSE summary END AS final FROM articles),
 w AS (SELECT *, string_split_regex(lower(headline || '. ' || final), '[^\p{{L}}]+') AS ws FROM s), c AS (SELECT *, len(list_filter(ws, lambda x: x IN ('the', 'of'))) AS good, len(list_filter(ws, lambda x: x IN ('and', 'in'))) AS bad FROM w)
 SELECT id, category, dt * 1000 AS published_at, headline, final AS summary, url, round(CASE WHEN good + bad > 0 THEN greatest(good, bad) / (good + bad) ELSE 1.0 END, 6) AS sentiment_score,
 CASE WHEN good > bad THEN 'positive' WHEN bad > good THEN 'negative' ELSE 'neutral' END AS sentiment_label FROM c""",
     "R9_R16_P15_post_rules": f"WITH {P} SELECT doc_id, reject_reason, title, author, CAST(floor(created * 1000) AS BIGINT) AS created_utc, score, num_comments, url, selftext, permalink, round(upvote_ratio, 6) AS upvote_ratio, is_original_content, is_self FROM posts",
     "H2_post_checksum": f"""WITH {P} SELECT id, sha256(CAST(to_json({{'author': author, 'created_utc': strftime(to_timestamp(floor(created)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ'), 'id': id, 'is_original_content': is_original_content, 'is_self': is_self, 'num_comments': num_comments,
-'permalink': permalink, 'score': score, 'selftext': selftext, 'subreddit': subreddit, 'scraped_at': '2023-11-14T23:03:20Z', 'title': title, 'upvote_ratio': upvote_ratio, 'url': url, 'source_file': source_file}}) AS VARCHAR)) AS checksum_sha256 FROM posts WHERE reject_reason IS NULL""",
-    "P2_P9_A5_post_files": f"WITH {P} SELECT id, subreddit, title, score, num_comments, source_file FROM posts WHERE reject_reason IS NULL AND subreddit <> 'es'",
+'permalink': permalink, 'score': score, 'selftext': selftext, 'subreddit': subreddit, 'scraped_at': strftime(to_timestamp(scraped) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ'), 'title': title, 'upvote_ratio': upvote_ratio, 'url': url, 'source_file': source_file}}) AS VARCHAR)) AS checksum_sha256 FROM posts WHERE reject_reason IS NULL""",
+    "P2_P9_A5_post_files": f"""WITH {P} SELECT id, subreddit, title, score, num_comments, 'posts/' || subreddit || '/' || doc_id AS source_file FROM posts
+WHERE reject_reason IS NULL AND doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 5 <> 0 AND doc_id % 130 BETWEEN 10 AND 110""",
     "W1_keep_latest": f"WITH {_RANKED} SELECT id, n FROM kept",
     "K2_upsert": f"WITH {_RANKED} SELECT id, n FROM kept",
     "W2_merge_latest": f"WITH {_RANKED} SELECT id, n, score <= 3 OR selftext IS NULL AS no_text FROM kept",
@@ -383,10 +560,22 @@ x AS (SELECT page_id, CASE WHEN k = 0 THEN 'image' WHEN k = 1 THEN 'image' WHEN
 y AS (SELECT *, CASE WHEN k = 0 THEN '.jpg' WHEN k = 4 AND kind = 'image' AND NOT p5 LIKE '%/' THEN '.png' WHEN k IN (2, 6) THEN '.mp4' WHEN k = 3 THEN '.gif' ELSE '.jpg' END AS ext FROM x)
 SELECT page_id, kind, kind IS NOT NULL AS is_media, ext, CASE ext WHEN '.png' THEN 'image/png' WHEN '.gif' THEN 'image/gif' WHEN '.mp4' THEN 'video/mp4' ELSE 'image/jpeg' END AS mime,
 'reddit/sub/' || coalesce(kind || 's/', '') || 'f' AS key FROM y""",
-    "M6_M8_post_media": r"""WITH u AS (SELECT page_id, page_id % 8 AS k, NOT regexp_matches(url, '[?#]') AS plain, url FROM pages), x AS (SELECT page_id,
-CASE WHEN page_id % 3 <> 0 AND (k IN (0, 1, 2, 3, 6) OR (k = 4 AND plain)) THEN 1 ELSE 0 END AS direct, CASE WHEN page_id % 5 = 0 AND k <> 7 THEN 1 ELSE 0 END AS gallery FROM u)
-SELECT page_id, CASE WHEN direct + gallery > 0 THEN direct + gallery ELSE -1 END AS n FROM x""",
+    "M6_M8_post_media": r"""WITH p AS (SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'https://i.redd.it/' || page_id || '.jpg' WHEN 1 THEN 'https://imgur.com/' || page_id WHEN 2 THEN 'https://v.redd.it/' || page_id
+WHEN 3 THEN 'https://gfycat.com/' || page_id WHEN 4 THEN url || '.png' WHEN 5 THEN url WHEN 6 THEN 'https://example.com/' || page_id || '.MP4' ELSE '' END AS url, page_id % 8 AS k, NOT regexp_matches(url, '[?#]') AS plain,
+regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1) AS p5 FROM pages),
+x AS (SELECT *, CASE WHEN k IN (0, 1) THEN 'image' WHEN k = 2 THEN 'video' WHEN k = 3 THEN 'gif' WHEN k = 4 AND plain THEN 'image' WHEN k = 6 THEN 'video' END AS kind, page_id % 5 = 0 AND url <> '' AS has_gallery FROM p),
+i AS (SELECT page_id, 0 AS pos, kind, url, k, plain, p5 FROM x WHERE kind IS NOT NULL AND page_id % 3 <> 0 UNION ALL SELECT page_id, 1, 'image', url, k, plain, p5 FROM x WHERE has_gallery),
+e AS (SELECT *, CASE WHEN k = 0 THEN '.jpg' WHEN k = 4 AND plain AND NOT p5 LIKE '%/' THEN '.png' WHEN k = 6 THEN '.mp4' WHEN kind = 'gif' THEN '.gif' WHEN kind = 'video' THEN '.mp4' ELSE '.jpg' END AS ext FROM i),
+g AS (SELECT page_id, count(*) AS n, string_agg(kind, '|' ORDER BY pos) AS media_type, string_agg(url, '|' ORDER BY pos) AS source_url, string_agg('s3a://landing-zone/reddit/sub/' || kind || 's/' || substr(sha256(url), 1, 32) || ext, '|' ORDER BY pos) AS lz_url,
+string_agg(CASE ext WHEN '.png' THEN 'image/png' WHEN '.gif' THEN 'image/gif' WHEN '.mp4' THEN 'video/mp4' ELSE 'image/jpeg' END, '|' ORDER BY pos) AS content_type FROM e GROUP BY 1)
+SELECT p.page_id, coalesce(n, -1) AS n, media_type, source_url, lz_url, content_type FROM p LEFT JOIN g USING (page_id)""",
 }
+_LABEL = SQL["E1_E7_enrich"].rpartition("SELECT id, category")[0]
+SQL |= {
+    "K4_jdbc_upsert": f"""{_LABEL} SELECT id, (CASE WHEN good > bad THEN 'positive' WHEN bad > good THEN 'negative' ELSE 'neutral' END) || (CASE WHEN id % 3 < 2 THEN '!' ELSE '' END) AS label FROM c""",
+    "M14_M16_media_facts": """WITH x AS (SELECT page_id, page_id % 8 AS k, ([4, 8, 6, 12, 12, 4, 12, 6])[page_id % 8 + 1] + CASE WHEN page_id % 5 > 0 THEN coalesce(strlen(html), 0) ELSE 0 END AS n FROM pages)
+SELECT 's3a://lz/' || page_id AS lz_url, (['image/jpeg', 'image/png', 'image/gif', 'image/webp', 'video/mp4', 'video/webm', 'video/x-msvideo', NULL])[k + 1] AS true_mime, n AS processed_bytes, CASE WHEN n < 100 THEN 'content too small' END AS failure FROM x""",
+}
 _ITEMS = """i AS (SELECT doc_id AS id, p AS pos, (['image', 'gif', 'video', 'other'])[(doc_id + p) % 4 + 1] AS kind, CASE WHEN (doc_id + p) % 6 <> 0 THEN (['image/png', 'image/gif', 'video/mp4', 'image/jpeg', NULL])[(doc_id + 2 * p) % 5 + 1] END AS mime,
 CASE WHEN (doc_id + p) % 6 <> 0 THEN (doc_id * 7 + p) % 10 * 10000000 END AS size, CASE WHEN (doc_id + p) % 6 <> 0 AND (doc_id + p) % 11 = 0 THEN 'broken' END AS failure FROM documents, range(3) r(p) WHERE doc_id % 5 <> 0 AND p < doc_id % 4),
 v AS (SELECT *, CASE WHEN mime IS NULL THEN 'content not found or of unknown type' WHEN NOT ((kind = 'image' AND mime LIKE 'image/%' AND mime <> 'image/gif') OR (kind = 'gif' AND mime = 'image/gif') OR (kind = 'video' AND mime LIKE 'video/%')) THEN 'content is ' || mime || ', not ' || kind END AS ve FROM i),

@@ -87,16 +87,22 @@ def kept_time_filter(sort_by: Column, time_filter: Column) -> Column:
     return F.when(sort_by.isin("top", "controversial"), time_filter)
 
 
-def build_envelopes(records: DataFrame, kind: str, group: str, fields: list[str], scraped_at: Column, extra: dict[str, Column] | None = None) -> DataFrame:
-    """group and value: one envelope as JSON text for each group of records. A group is one file, so its size is the caller's choice."""
+def build_envelopes(records: DataFrame, kind: str, group: str, fields: list[str], scraped_at: Column, extra: dict[str, Column] | None = None, part: str | None = None) -> DataFrame:
+    """group, part and value: one envelope as JSON text for each group of records, and each part of it.
+
+    A file is one row, put together by one task: part, a column that cuts a group into pieces of bounded size, keeps it small
+    however large the group is. Counts in the metadata are those of the file.
+    """
     name = {"news": "category", "posts": "subreddit"}[kind]
     records = records if "media" in records.columns or kind == "news" else records.withColumn("media", F.lit(None).cast(MEDIA))
-    files = records.groupBy(group).agg(*group_metadata(kind), F.collect_list(F.struct(*fields)).alias("_items"))
-    counts = [c for c in files.columns if c not in (group, "_items")]
+    files = records.groupBy(group, F.col(part) if part else F.lit(0).alias("part")).agg(*group_metadata(kind), F.collect_list(F.struct(*fields)).alias("_items"))
+    part = part or "part"
+    counts = [c for c in files.columns if c not in (group, part, "_items")]
     meta = F.struct(F.col(group).alias(name), *(c.alias(k) for k, c in (extra or {}).items()), *counts, F.date_format(scraped_at, "yyyy-MM-dd'T'HH:mm:ss").alias("scraped_at"))
-    return files.select(group, F.to_json(F.struct(meta.alias("metadata"), F.col("_items").alias(KINDS[kind]["list"]))).alias("value"))
+    return files.select(group, part, F.to_json(F.struct(meta.alias("metadata"), F.col("_items").alias(KINDS[kind]["list"]))).alias("value"))
 
 
-def envelope_key(source: str, group: Column, at: Column, prefix: str = "") -> Column:
-    """source/[prefix/]group/YYYYMMDD_HHMMSS.json, the group in lower case."""
-    return F.concat(F.lit(f"{source}/" + (f"{prefix}/" if prefix else "")), F.lower(clean_string(group)), F.lit("/"), F.date_format(at, "yyyyMMdd_HHmmss"), F.lit(".json"))
+def envelope_key(source: str, group: Column, at: Column, prefix: str = "", part: Column | None = None) -> Column:
+    """source/[prefix/]group/YYYYMMDD_HHMMSS.json, the group in lower case; parts of a group but the first (0) add -part to the time."""
+    more = F.lit("") if part is None else F.when(part > 0, F.concat(F.lit("-"), part.cast("string"))).otherwise("")
+    return F.concat(F.lit(f"{source}/" + (f"{prefix}/" if prefix else "")), F.lower(clean_string(group)), F.lit("/"), F.date_format(at, "yyyyMMdd_HHmmss"), more, F.lit(".json"))

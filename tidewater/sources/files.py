@@ -54,7 +54,10 @@ def time_range(df: DataFrame, last: str, now: datetime | None = None, ts: str =
     return df.where((F.col(ts) >= end - F.expr(f"INTERVAL {last}")) & (F.col(ts) <= end))
 
 
-def read_topic(spark: SparkSession, topic: str, servers: str, **options: str) -> DataFrame:
-    """A stream of a Kafka topic's messages as text; needs the connector's jar on the class path."""
-    rows = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).options(**options).load()
+def read_topic(spark: SparkSession, topic: str, servers: str, source: str = "kafka", **options: str) -> DataFrame:
+    """A stream of a topic's messages as text. Kafka needs the connector's jar on the class path; with source text, a topic is a folder
+    below servers, as publish() writes it."""
+    if source == "text":
+        return spark.readStream.schema("value string").options(**options).text(f"{servers}/{topic}")
+    rows = spark.readStream.format(source).option("kafka.bootstrap.servers", servers).option("subscribe", topic).options(**options).load()
     return rows.select(F.col("value").cast("string").alias("value"))

@@ -1,12 +1,14 @@
-"""The market flow on streams: watermarks, keyed state, interval join, windowed mean."""
+"""The market flow on streams: watermarks, keyed state, interval join, windowed mean, fan-out, what was late."""
 
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from tidewater.operators.market import vwap_columns
 
 LATE = "3 seconds"
 
@@ -18,48 +20,77 @@ def event_time(df: DataFrame, late: str = LATE, ts: str = "timestamp", unit: str
 
 
 class TickVolume(StatefulProcessor):
-    """Per-bar volume from cumulative volume, with the last volume and time of a symbol as state. Rows of a batch go in event-time order."""
+    """Per-bar volume from cumulative volume, with the last volume and time of a symbol as state.
+
+    Rows go in the order of arrival, which event_id tells (a topic's offset); their times may go back. A batch has as many rows as its
+    trigger lets in, and those of one symbol are put in that order together.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "volume long, timestamp long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        bars = pd.concat(list(rows)).dropna(subset=["volume", "timestamp"]).sort_values(["timestamp", "event_id"], kind="stable")
-        before, before_ts = self.last.get() if self.last.exists() else (0, 0)
-        made = []
-        for volume, at in zip(bars["volume"], bars["timestamp"], strict=True):
-            made.append(volume - before if volume >= before and at > before_ts else volume)
-            before, before_ts = int(volume), int(at)
-        self.last.update((before, before_ts))
-        yield bars.assign(symbol=key[0], per_tick_volume=made)[["symbol", "event_id", "timestamp", "ts", "per_tick_volume"]]
+        bars = pd.concat(rows).dropna(subset=["volume", "timestamp"]).sort_values("event_id", kind="stable")
+        if bars.empty:
+            return
+        volume, at = bars["volume"].astype("int64"), bars["timestamp"].astype("int64")
+        first, first_at = self.last.get() if self.last.exists() else (0, 0)
+        before, before_at = volume.shift(fill_value=first), at.shift(fill_value=first_at)
+        made = volume.where((volume < before) | (at <= before_at), volume - before)
+        self.last.update((int(volume.iloc[-1]), int(at.iloc[-1])))
+        yield bars.assign(symbol=key[0], per_tick_volume=made)[["symbol", "event_id", "timestamp", "per_tick_volume"]]
 
     def close(self) -> None:
         pass
 
 
 def per_tick_volume_stream(bars: DataFrame) -> DataFrame:
-    """The stream (symbol, event_id, timestamp, volume, ts with a watermark) with per_tick_volume. Needs the RocksDB state store."""
-    schema = "symbol string, event_id long, timestamp long, ts timestamp, per_tick_volume long"
-    return bars.groupBy("symbol").transformWithStateInPandas(TickVolume(), schema, "Append", "eventTime", eventTimeColumnName="ts")
+    """The stream (symbol, event_id, timestamp, volume) with per_tick_volume; late rows count as they arrive. Needs the RocksDB state store."""
+    schema = "symbol string, event_id long, timestamp long, per_tick_volume long"
+    return bars.groupBy("symbol").transformWithStateInPandas(TickVolume(), schema, "Append", "None")
 
 
-def interval_join_stream(ticks: DataFrame, volumes: DataFrame, width: str = "1 second") -> DataFrame:
-    """Pairs of one symbol at most width apart, stamped with the later time.
+def interval_join_stream(ticks: DataFrame, volumes: DataFrame, width_s: int = 1) -> DataFrame:
+    """Pairs of one symbol at most width_s seconds apart, stamped with the later time; data_source of the volumes is carried where they have it.
 
     Two joins, one for each order of the two times: each keeps the column that carries the watermark, so
-    that a window over the pair's time can close.
+    that a window over the pair's time can close. An equality on a time bucket beside that on the symbol spreads the state of a
+    symbol over tasks; volumes go to their own bucket and both neighbours.
     """
-    h = ticks.select("symbol", F.col("ts").alias("h_ts"), "price")
-    w = volumes.select(F.col("symbol").alias("w_symbol"), F.col("ts").alias("w_ts"), F.col("per_tick_volume").alias("volume"))
-    same, by = F.col("symbol") == F.col("w_symbol"), F.expr(f"INTERVAL {width}")
-    later = h.join(w, same & (F.col("w_ts") >= F.col("h_ts")) & (F.col("w_ts") <= F.col("h_ts") + by)).select("symbol", F.col("w_ts").alias("ts"), "price", "volume")
-    sooner = h.join(w, same & (F.col("w_ts") < F.col("h_ts")) & (F.col("w_ts") >= F.col("h_ts") - by)).select("symbol", F.col("h_ts").alias("ts"), "price", "volume")
+    source = ["data_source"] if "data_source" in volumes.columns else []
+    bucket = lambda ts: F.floor(F.unix_seconds(F.col(ts)) / max(1, width_s))
+    h = ticks.select("symbol", F.col("ts").alias("h_ts"), "price", bucket("ts").alias("h_bucket"))
+    w = volumes.select(F.col("symbol").alias("w_symbol"), F.col("ts").alias("w_ts"), F.col("per_tick_volume").alias("volume"), *source, F.explode(F.array(*(bucket("ts") + i for i in (-1, 0, 1)))).alias("w_bucket"))
+    same, by = (F.col("symbol") == F.col("w_symbol")) & (F.col("h_bucket") == F.col("w_bucket")), F.expr(f"INTERVAL {width_s} SECONDS")
+    later = h.join(w, same & (F.col("w_ts") >= F.col("h_ts")) & (F.col("w_ts") <= F.col("h_ts") + by)).select("symbol", F.col("w_ts").alias("ts"), "price", "volume", *source)
+    sooner = h.join(w, same & (F.col("w_ts") < F.col("h_ts")) & (F.col("w_ts") >= F.col("h_ts") - by)).select("symbol", F.col("h_ts").alias("ts"), "price", "volume", *source)
     return later.union(sooner)
 
 
 def vwap_stream(pairs: DataFrame, window: str = "1 minute") -> DataFrame:
     """Volume-weighted mean by symbol and tumbling window of event time, in append mode; rows behind the watermark are dropped."""
-    total = F.sum("volume")
-    value = F.round(F.when(total > 0, F.sum(F.round("price", 6) * F.col("volume")) / total).otherwise(0.0), 6)
-    rows = pairs.groupBy("symbol", F.window("ts", window).alias("w")).agg(value.alias("vwap"), F.count("*").alias("n_pairs"))
-    return rows.select("symbol", F.unix_millis(F.col("w.end")).alias("window_end"), "vwap", "n_pairs")
+    rows = pairs.groupBy("symbol", F.window("ts", window).alias("w")).agg(*vwap_columns(pairs))
+    return rows.select("symbol", F.unix_millis(F.col("w.end")).alias("window_end"), *(c for c in rows.columns if c not in ("symbol", "w")))
+
+
+def fan_out(stream: DataFrame, checkpoint: str, branches: dict[str, tuple[str, list[Column | str]]]) -> DataStreamWriter:
+    """One validated stream, read and validated once, to several tables: branches names a folder and the columns of each.
+
+    A batch is kept while its branches are written, and each goes to a folder of the batch's number: a batch that is retried overwrites itself.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            for path, columns in branches.values():
+                batch.select(*columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def dropped_as_late(query: StreamingQuery) -> int:
+    """Rows that the stateful operators of a query have dropped as late, over the progress that it still knows; rows that a partial
+    aggregation has put together count once."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
