@@ -18,7 +18,7 @@ SEGMENT, CHANCE, CELL = 2, 8, 4096
 #: Members up to which a cell gives all its links; a larger one gives a spanning forest of them.
 SMALL = 24
 #: Of drop_near_duplicates: words in a shingle and the Jaccard similarity that links; bands of a text and minima in a band; texts and shingles in a block.
-SHINGLE, SIMILAR, BANDS, ROWS, BLOCK, BLOCK_WORDS = 5, 0.8, 24, 6, 1024, 4 << 20
+SHINGLE, SIMILAR, BANDS, ROWS, BLOCK, BLOCK_WORDS = 5, 0.8, 24, 6, 1024, 1 << 20
 _FACTORS, _OFFSETS = (np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.uint64(1))
 
 

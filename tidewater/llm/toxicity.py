@@ -221,8 +221,11 @@ class ToxicityModel:
 
 
 def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    for batch in batches:
-        yield batch, [t or "" for t in batch.column("text").to_pylist()]
+    """A few rows at a time, so that a worker holds the features of few texts."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, COUNTED):
+            batch = whole.slice(start, COUNTED)
+            yield batch, [t or "" for t in batch.column("text").to_pylist()]
 
 
 def _vote_frame(texts: DataFrame, mined: list[frozenset[str]], keep: str = "") -> DataFrame:
@@ -242,25 +245,24 @@ def _count(sample: DataFrame) -> DataFrame:
     kinds = [f"{x}{half}{label}" for half in (0, 1) for label in (0, 1) for x in "sq"]
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, all_texts in _texts_of(batches):
+        for batch, texts in _texts_of(batches):
             kind_of = 2 * batch.column("half").to_numpy() + batch.column("label").to_numpy()
-            for start in range(0, len(all_texts), COUNTED):
-                counted, words, features = [words_of(t) for t in all_texts[start : start + COUNTED]], {}, {}
-                word = np.array([words.setdefault(w, len(words)) for c in counted for w in c], int)
-                n, size = np.array([x for c in counted for x in c.values()], int), np.array([c.total() for c in counted])
-                forms = [[features.setdefault(f, len(features)) for f in forms_of(w)] for w in words]
-                length, form = np.array([len(f) for f in forms], int), np.array(list(chain.from_iterable(forms)), int)
-                # a row for each form of each word of each text, then one for each form and text
-                times = length[word]
-                place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat((np.cumsum(length) - length)[word], times)
-                text = np.repeat(np.repeat(np.arange(len(counted)), [len(c) for c in counted]), times)
-                key, at = np.unique(form[place] * len(counted) + text, return_inverse=True)
-                f, text = np.divmod(key, max(1, len(counted)))
-                x = np.minimum(MOST, UNIT * np.bincount(at, np.repeat(n, times)) / (size[text] + EASE)) if len(key) else np.zeros(0)
-                out = {"f": pa.array(list(features), pa.string()), "n": pa.array(np.bincount(f, minlength=len(features)).astype(np.int64))}
-                for k, name in enumerate(kinds):
-                    out[name] = pa.array(np.bincount(f, x ** (1 + k % 2) * (kind_of[start:][text] == k // 2), len(features)))
-                yield pa.RecordBatch.from_pydict(out)
+            counted, words, features = [words_of(t) for t in texts], {}, {}
+            word = np.array([words.setdefault(w, len(words)) for c in counted for w in c], int)
+            n, size = np.array([x for c in counted for x in c.values()], int), np.array([c.total() for c in counted])
+            forms = [[features.setdefault(f, len(features)) for f in forms_of(w)] for w in words]
+            length, form = np.array([len(f) for f in forms], int), np.array(list(chain.from_iterable(forms)), int)
+            # a row for each form of each word of each text, then one for each form and text
+            times = length[word]
+            place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat((np.cumsum(length) - length)[word], times)
+            text = np.repeat(np.repeat(np.arange(len(counted)), [len(c) for c in counted]), times)
+            key, at = np.unique(form[place] * len(counted) + text, return_inverse=True)
+            f, text = np.divmod(key, max(1, len(counted)))
+            x = np.minimum(MOST, UNIT * np.bincount(at, np.repeat(n, times)) / (size[text] + EASE)) if len(key) else np.zeros(0)
+            out = {"f": pa.array(list(features), pa.string()), "n": pa.array(np.bincount(f, minlength=len(features)).astype(np.int64))}
+            for k, name in enumerate(kinds):
+                out[name] = pa.array(np.bincount(f, x ** (1 + k % 2) * (kind_of[text] == k // 2), len(features)))
+            yield pa.RecordBatch.from_pydict(out)
 
     sums = [F.sum(k).alias(k) for k in ("n", *kinds)]
     return sample.mapInArrow(explode, "f string, n long, " + ", ".join(f"{k} double" for k in kinds)).groupBy("f").agg(*sums).where("n >= 3")
