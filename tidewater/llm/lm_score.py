@@ -66,13 +66,15 @@ def string_scores(totals: DataFrame) -> DataFrame:
         above = level[j + 1]
         level[j] = above.groupBy((F.col(f"c{j + 1}") % (1 << 8 * j)).alias(f"c{j}"), "s").agg(F.sum(f"n{j + 1}").alias(f"n{j}"))
     out = totals.select("string", (F.col("string") % byte).alias("s"), *(((F.col("string") / byte).cast("long") % (1 << 8 * j)).alias(f"c{j}") for j in range(ORDER, -1, -1)))
+    # levels 0 and 1 have 256 and 65,536 rows at most; a join on so few keys would put many strings into one task
+    few = lambda rows, j: F.broadcast(rows) if j < 2 else rows
     for j in range(ORDER, -1, -1):
         rows = level[j]
         if j:
-            rows = rows.withColumn(f"c{j - 1}", F.col(f"c{j}") % (1 << 8 * (j - 1))).join(level[j - 1], [f"c{j - 1}", "s"])
+            rows = rows.withColumn(f"c{j - 1}", F.col(f"c{j}") % (1 << 8 * (j - 1))).join(few(level[j - 1], j - 1), [f"c{j - 1}", "s"])
         below = F.sum(f"n{j - 1}") if j else F.lit(0)
         contexts = rows.groupBy(f"c{j}").agg(F.sum(f"n{j}").alias(f"t{j}"), F.count("*").alias(f"q{j}"), below.alias(f"x{j}"))
-        out = out.join(contexts, f"c{j}", "left").join(level[j], [f"c{j}", "s"], "left")
+        out = out.join(few(contexts, j), f"c{j}", "left").join(few(level[j], j), [f"c{j}", "s"], "left")
     lp, found = F.lit(0.0), F.lit(False)
     for j in range(ORDER, -1, -1):
         longer_q, longer_x = (F.coalesce(f"q{j + 1}", F.lit(0)), F.coalesce(f"x{j + 1}", F.lit(0))) if j < ORDER else (F.lit(0), F.lit(0))
