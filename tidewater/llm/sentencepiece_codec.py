@@ -17,8 +17,8 @@ from tidewater.llm.common import documents, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Characters of text worked on at once, and different words (and pairs of pieces) that a Python worker keeps.
-SPAN, KEPT_WORDS = 2 << 20, 500_000
+#: Characters of text worked on at once; different pairs of pieces, and characters of different words, that a Python worker keeps.
+SPAN, KEPT_PAIRS, KEPT_CHARACTERS = 2 << 20, 500_000, 8 << 20
 
 
 class Vocabulary:
@@ -61,6 +61,7 @@ class Vocabulary:
         self.joins: dict[tuple[str, str], bool] = {}
         #: Ids of words, kept from one span and task of a Python worker to the next.
         self.known: dict[str, bytes] = {}
+        self.kept = 0
 
     def marked(self, text: str) -> list[str]:
         return self.words_of(MARK + text.replace(" ", MARK)) if text else []
@@ -83,7 +84,7 @@ class Vocabulary:
         """Whether the merges of both pieces together leave them as they are."""
         known = self.joins.get((last, piece))
         if known is None:
-            if len(self.joins) > KEPT_WORDS:
+            if len(self.joins) > KEPT_PAIRS:
                 self.joins.clear()
             known = self.joins[(last, piece)] = self.merged(last + piece) == ([last, piece] if last else [piece])
         return known
@@ -170,10 +171,12 @@ def encoded_batches(batches: Iterator[pa.RecordBatch], model: str, kind: str) ->
             column = pa.array(chain.from_iterable(split), pa.large_string()).dictionary_encode()
             del split
             words = column.dictionary.to_pylist()
-            if len(v.known) > KEPT_WORDS:
-                v.known = {w: v.known[w] for w in words if w in v.known}
-            known = v.known
-            known.update(v.encode_words([w for w in words if w not in known]))
+            known, new = v.known, [w for w in words if w not in v.known]
+            v.kept += sum(map(len, new))
+            if v.kept > KEPT_CHARACTERS:  # however long a word is: a text in a script without spaces is one
+                known = v.known = {w: known[w] for w in words if w in known}
+                v.kept = sum(map(len, words))
+            known.update(v.encode_words(new))
             # taking the ids of each word in turn leaves those of the whole span side by side
             taken = pa.array([known[w] for w in words], pa.large_binary()).take(column.indices)
             data, ends = parts_of(taken)
@@ -209,7 +212,7 @@ def encode(docs: DataFrame, model: str = MODEL, kind: str = "bpe") -> DataFrame:
 
     Words are told apart where a mark follows another character; no piece crosses that. The distinct
     words of a span of texts are sorted into a trie once, by the task that reads them, so nothing is shuffled, and a
-    Python worker keeps about KEPT_WORDS words. Null texts count as empty and have no pieces; characters
+    Python worker keeps words of KEPT_CHARACTERS characters and a span beside. Null texts count as empty and have no pieces; characters
     outside the vocabulary become bytes. A mark that a text itself holds is read as a space. Null ids are carried;
     repeated rows repeat their result; an empty table gives an empty result.
     """
