@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tidewater.functions import media as M
 from tidewater.functions.checksum import checksum
 from tidewater.functions.text import clean_string, is_uri, is_web_uri, parse_iso
-from tidewater.operators import articles, posts, verify
+from tidewater.operators import articles, media_items, posts, verify
 from tidewater.sources.envelope import build_envelopes, envelope_key, kept_time_filter, validate_envelopes
+from tidewater.sources import sinks
 from tidewater.sources.files import read_envelopes
 
 SCRAPED = 1_700_000_000
@@ -111,6 +112,40 @@ def test_media_stats(spark):
     assert tuple(posts.media_stats(spark.createDataFrame([], "media array<int>")).first()) == (0, 0)
 
 
+def test_media_of_repeated_posts(spark):
+    """Posts with one key, and whole posts that repeat, keep their own items; facts that repeat count once."""
+    item = "struct<media_type:string,lz_url:string,source_url:string,filename:string,content_type:string>"
+    one, other = ("image", "s3a://lz/a.png", "u", "f", None), ("image", "s3a://lz/b.png", "u", "f", "c")
+    posts_ = spark.createDataFrame([(1, [one]), (1, [other]), (1, [one]), (2, [one, None, other]), (3, []), (4, None)], f"id int, media array<{item}>")
+    facts = spark.createDataFrame([("s3a://lz/a.png", "image/png", 5, None)] * 2 + [("s3a://lz/b.png", "image/png", 5, None)], media_items.FACTS)
+    got = media_items.process_media(posts_, facts)
+    rows = sorted((r["id"], None if r["media_items"] is None else [x["lz_url"][-5] for x in r["media_items"]]) for r in got.collect())
+    assert rows == [(1, ["a"]), (1, ["a"]), (1, ["b"]), (2, ["a", "b"]), (3, []), (4, None)] and got.columns == ["id", "media", "media_items"]
+
+
+def test_verify_write(spark):
+    """A missing checksum is a bad one, and files that weren't expected are told."""
+    row = {"category": "c", "headline": "h", "id": 1, "image_url": None, "published_at_utc": None, "scraped_at": None, "source": "s", "summary": "", "url": "u"}
+    schema = "category string, headline string, id long, image_url string, published_at_utc timestamp, scraped_at timestamp, source string, summary string, url string, source_file string"
+    rows = spark.createDataFrame([(*row.values(), f) for f in ("a", "b", "x")], schema).withColumn("checksum_sha256", checksum("news"))
+    rows = rows.withColumn("checksum_sha256", F.when(F.col("source_file") != "b", F.col("checksum_sha256")))
+    expected = spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("none", 0, 0)], "source_file string, n_clean long, n_expected long")
+    got = {r["source_file"]: (r["n_written"], r["n_bad_checksum"], r["count_ok"], r["checksum_ok"]) for r in verify.verify_write(rows, expected, "news").collect()}
+    assert got == {"a": (1, 0, True, True), "b": (1, 1, True, False), "none": (0, 0, True, True), "x": (1, 0, False, True)}
+
+
+def test_landing_layout(spark, tmp_path):
+    """Golden keys of the landing layout, as files; a second write of a file is an error."""
+    records = spark.createDataFrame([(1, "AskReddit"), (2, "AskReddit"), (3, "News")], "id long, g string")
+    at = F.lit("2023-04-01 12:30:45").cast("timestamp")
+    files = build_envelopes(records.withColumn("p", (F.col("id") % 2 == 0).cast("int")), "news", "g", ["id"], at, part="p")
+    sinks.write_envelopes(files, f"file://{tmp_path}", envelope_key("reddit", F.col("g"), at, "daily", F.col("p")))
+    found = sorted(str(f.relative_to(tmp_path)) for f in tmp_path.rglob("*.json"))
+    assert found == ["reddit/daily/askreddit/20230401_123045-1.json", "reddit/daily/askreddit/20230401_123045.json", "reddit/daily/news/20230401_123045.json"]
+    assert json.loads((tmp_path / found[1]).read_text())["metadata"] == {"category": "AskReddit", "article_count": 1, "scraped_at": "2023-04-01T12:30:45"}
+    assert not list(tmp_path.glob("_making*")) and read_envelopes(spark, f"file://{tmp_path}/reddit/daily/*/*.json").count() == 3
+
+
 def test_compat_checksum(spark):
     import hashlib
 

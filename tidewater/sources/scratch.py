@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -9,6 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 _MADE: list[str] = []
 
 
+@lru_cache(1)
+def _local() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tidewater-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors see.
 
@@ -20,8 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
-        base = "file://" + tempfile.mkdtemp(prefix="tidewater-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local()
     _MADE.append(f"{base.rstrip('/')}/tidewater-{uuid.uuid4().hex}")
     return _MADE[-1]
 
