@@ -247,6 +247,28 @@ def test_overlaps_with_substitutions_and_short_items():
     assert found([], around([])) == set()
 
 
+def test_overlaps_against_all_shifts():
+    """Items and texts of few different words, so that much overlaps by chance: the same pairs as a search of every stretch at every shift."""
+    r = random.Random(17)
+    items = [(i, " ".join(r.choice("abcde") for _ in range(r.choice((3, 6, 8, 10, 13, 20, 30))))) for i in range(40)]
+    texts = [" ".join(r.choice("abcdefg") for _ in range(r.randrange(5, 60))) for _ in range(60)]
+    texts += [f"x y {' '.join(w if r.random() > 0.15 else 'z' for w in t.split())} x" for _, t in items for _ in range(3)]
+    index, pairs = decontaminate.build_index(items), 0
+    for text in texts:
+        words, want = text.split(), set()
+        for i, item in items:
+            own = item.split()
+            need, share = min(13, len(own)), 0.8 if len(own) >= 8 else 1.0
+            for shift in range(1 - len(own), len(words)):
+                lo, hi = max(0, -shift), min(len(own), len(words) - shift)
+                equal = [own[k] == words[k + shift] for k in range(lo, hi)]
+                if any(sum(equal[a:b]) >= share * (b - a) - 1e-9 for a in range(len(equal)) for b in range(a + need, len(equal) + 1)):
+                    want.add(i)
+        assert {o[0] for o in decontaminate.overlaps(index, text.encode())} == want
+        pairs += len(want)
+    assert pairs > 100
+
+
 def test_each_overlap_of_one_shift():
     """Two passages of an item with other words between, at one relative position: both are found."""
     item = [f"w{i}" for i in range(80)]
@@ -264,6 +286,30 @@ def test_sentencepiece(docs):
     assert all(list(r["ids"]) == sp.encode(texts[r["doc_id"]]) for r in rows if r["doc_id"] is not None)
 
 
+def test_sentencepiece_on_documents(spark):
+    """Every document of a table, ids as the library gives them."""
+    sp = __import__("sentencepiece").SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in table.collect()}
+    rows = sentencepiece_codec.round_trip(table).collect()
+    assert len(rows) == len(texts) and all(r["round_trip"] and list(r["ids"]) == sp.encode(texts[r["doc_id"]]) for r in rows)
+
+
+def test_unigram_on_whole_texts(spark, docs):
+    """The sum of scores is that of the best segmentation of the whole text, found without tries or words."""
+    v = sentencepiece_codec.Vocabulary(kind="unigram")
+    back = {i: p for p, i in v.ids.items()}
+    bytes_of = set(v.byte_ids)
+    for r in sentencepiece_codec.encode(docs.where("length(text) < 3000"), kind="unigram").collect():
+        text = "▁" + r["text"].replace(" ", "▁") if r["text"] else ""
+        best = [0.0]
+        for end in range(1, len(text) + 1):
+            best.append(max(best[s] + v.scores.get(text[s:end], v.lowest if end - s == 1 else -math.inf) for s in range(max(0, end - v.longest), end)))
+        known = [back[i] for i in r["ids"] if i not in bytes_of]
+        unknown = len(text) - sum(map(len, known))  # characters that became bytes
+        assert math.isclose(sum(v.scores[p] for p in known) + unknown * v.lowest, best[-1], rel_tol=1e-9, abs_tol=1e-9)
+
+
 def test_sentencepiece_encode_and_decode_alone(spark):
     sp = __import__("sentencepiece").SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
     for texts in (["", ""], [None, "a", "two words"], []):
@@ -304,6 +350,52 @@ def test_licence_method():
         assert set(index.labels(words, b" " + b" ".join(words) + b" ")) == want
 
 
+def plain_licences(index, words):
+    """Labels with their score: every template at every relative position."""
+    text, best = " " + " ".join(w.decode() for w in words) + " ", {}
+    for k, (label, notice, phrases) in enumerate(license_scan.TEMPLATES):
+        if not any(f" {p} " in text for p in phrases):
+            continue
+        own = [w.encode() for w in notice.split()]
+        met = {shift: {i for i, w in enumerate(own) if 0 <= i + shift < len(words) and words[i + shift] == w} for shift in range(-len(own) - 2, len(words) + 3)}
+        for shift in range(-len(own), len(words) + 1):
+            near = set().union(*(met[shift + d] for d in range(-2, 3)))
+            share = sum(index.idf[own[i]] for i in near) / sum(index.idf[w] for w in own)
+            if met[shift] and len(near) >= 2 and share >= 0.5:
+                best[label] = max(best.get(label, 0.0), min(1.0, share))
+    return best
+
+
+def test_licence_labels_and_score(spark):
+    """All documents of a table, and notices with words changed, left out and put in, against the plain scan."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    r, changed = random.Random(9), []
+    for _, notice, _ in license_scan.TEMPLATES * 3:
+        words = notice.split()
+        for _ in range(r.randrange(4)):
+            at = r.randrange(len(words))
+            words[at : at + r.randrange(2)] = [r.choice(WORDS)] * r.randrange(2)
+        changed.append(f"{prose(r.randrange(9))} {' '.join(words)} {prose(r.randrange(9))}")
+    table = table.union(spark.createDataFrame([(100_000 + i, t) for i, t in enumerate(changed)], table.schema))
+    index = license_scan.TemplateIndex.build(license_scan.licence_idf(table))
+    texts, labelled = {d["doc_id"]: d["text"] or "" for d in table.collect()}, 0
+    for row in license_scan.scan_licences(table).collect():
+        want = plain_licences(index, license_scan.words_of(texts[row["doc_id"]].encode()))
+        base = set(filter(None, row["base_labels"].split(",")))
+        assert set(filter(None, row["labels"].split(","))) == base | set(want)
+        assert math.isclose(row["score"], 1.0 if base else max(want.values(), default=0.0))
+        labelled += bool(want)
+    assert labelled > 30
+
+
+def test_licence_pairs():
+    """Two notices in one text, in either order: both labels."""
+    index = license_scan.TemplateIndex.build({w: random.Random(w).uniform(0.01, 9) for w in license_scan.VOCABULARY})
+    for (a, first, _), (b, second, _) in itertools.permutations(license_scan.TEMPLATES, 2):
+        words = f"{prose(5)} {first} {prose(12)} {second}".encode().split()
+        assert {a, b} <= set(index.labels(words, b" " + b" ".join(words) + b" "))
+
+
 def test_licence_of_many_notices():
     """A text with all notices has all labels, at their full score, whatever the weights."""
     for seed in range(4):
@@ -404,6 +496,85 @@ def test_classifiers_held_out(spark, target):
     assert auc([(r["score"], r[target]) for r in rows if r["held_out"]]) > 0.75
 
 
+@pytest.fixture(scope="module")
+def labels(spark):
+    rows = [(i, int(i % 3 > 0), int("Idiot" in (t or ""))) for i, t in enumerate(TEXTS)] + [(None, 1, 1), (4, None, None), (5, 1, 0), (5, 0, 1), (10_000, 1, 1)]
+    return spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id long, quality int, toxic int, text string, score double")
+
+
+@pytest.mark.parametrize("kind", ["toxic", "quality"])
+def test_classifier_rows(spark, docs, labels, kind):
+    """Null, empty and very long texts, null and repeated ids, columns with the names of the result: one row each, alike for alike texts."""
+    docs = docs.withColumns({"score": docs["n_chars"], "predicted": docs["lang"]})
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)) if kind == "toxic" else quality.score_quality(docs, quality.fit_quality(docs, labels))
+    rows = scored.collect()
+    assert scored.columns == ["doc_id", "held_out", "score", "predicted"] and Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in docs.collect())
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= (0.5 if kind == "toxic" else 0.3)) and r["held_out"] == (zlib.crc32(b"" if r["doc_id"] is None else str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    by = {r["doc_id"]: r["score"] for r in rows if r["doc_id"] is not None}
+    empty = [i for i, t in enumerate(TEXTS) if not (t or "").strip(" ")][:2]
+    assert by[empty[0]] == by[empty[1]] and by[0] == by[12] and len({r["score"] for r in rows if r["doc_id"] == 3}) == 1
+
+
+def test_drop_toxic_carries_rows(spark, docs, labels):
+    kept = toxicity.drop_toxic(docs, labels)
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels))
+    assert kept.columns == docs.columns and as_set(kept, "doc_id") == as_set(scored.where("predicted = 0"), "doc_id")
+
+
+def test_toxicity_of_an_unknown_vocabulary(spark):
+    """No word of any lexicon: two stems with many endings, which clean texts have too, but far less often."""
+    r, rows = random.Random(21), []
+    ends = [a + b for a in ("el", "or", "un", "ik", "as", "to") for b in ("na", "mi", "ru", "ves", "ko")]
+    for i in range(1500):
+        words, toxic = [r.choice(WORDS) for _ in range(r.randrange(30, 400))], i % 8 == 0
+        for _ in range(2 + len(words) // 60 if toxic else r.random() < len(words) / 1500):
+            words[r.randrange(len(words))] = r.choice(("zarq", "plom")) + r.choice(ends)
+        rows.append((i, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {x["doc_id"]: x for x in toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).collect()}
+    held = [(got[i]["predicted"], y) for i, _, y in rows if got[i]["held_out"]]
+    assert sum(p for p, y in held if y) >= 0.9 * sum(y for _, y in held) and sum(p for p, y in held if not y) <= 0.03 * len(held)
+
+
+def test_posterior_is_that_of_the_tables():
+    """Every pattern, with and without a given label, and with silent voters: Bayes' rule by hand."""
+    rng = np.random.default_rng(2)
+    model = toxicity.LabelModel(4, prior=0.2, parent=[-1, 0, -1, 2], rate=rng.uniform(0.05, 0.9, (2, 4, 2)), given=np.array([0.03, 0.9]))
+    for silent in (0, 0b0100, 0b1001):
+        for label in (-1, 0, 1):
+            for pattern in range(16):
+                joint = []
+                for y in (0, 1):
+                    p = model.prior if y else 1 - model.prior
+                    for v in range(4):
+                        if not silent >> v & 1:
+                            above = model.parent[v]
+                            a = (pattern >> above & 1) if above >= 0 and not silent >> above & 1 else 0
+                            p *= model.rate[y, v, a] if pattern >> v & 1 else 1 - model.rate[y, v, a]
+                    p *= 1 if label < 0 else model.given[y] if label else 1 - model.given[y]
+                    joint.append(p)
+                got = model.posterior(np.array([pattern]), np.array([label]), np.array([silent]))[0]
+                assert math.isclose(got, joint[1] / sum(joint), rel_tol=1e-9)
+
+
+def test_quality_inputs_are_compressed_sizes():
+    """The inputs of the calibration from fresh compressors, with a trained dictionary and with raw text as one."""
+    zstandard = __import__("zstandard")
+    texts = [prose(60).encode() for _ in range(400)]
+    trained, raw = quality._dictionary(texts), quality._dictionary([b"one short text"])
+    assert trained[:4] == b"\x37\xa4\x30\xec" and raw == b"one short text" and quality._dictionary([]) == b"no text to learn from "
+    model = quality.QualityModel(trained, raw, [0.1, 0.2, 0.3, 0.4])
+    for text in (b"", b"a", texts[0], b" ".join(texts)):
+        sizes = []
+        for d in (trained, raw):
+            c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(text[i : i + 2048])) for i in range(0, len(text), 2048)))
+        if text:
+            assert model.sizes(text) == tuple(sizes) and math.isclose(model.inputs(text)[0], 20 * (sizes[1] - sizes[0]) / len(text))
+        assert 0 < model.score(text) < 1
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.2
