@@ -200,7 +200,7 @@ def test_near_copies_by_shingle_similarity(spark):
             if s >= 0.8:
                 group[i] = group[j] = min(group[i], group[j])
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    for block in (1024, 7):
+    for block in (1024, 7, 1):
         assert {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_groups(docs, block).collect()} == dict(enumerate(group))
     assert sorted(r["doc_id"] for r in simhash_dedup.drop_near_duplicates(docs).collect()) == sorted(set(group))
 

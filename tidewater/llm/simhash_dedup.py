@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import answered, documents, mark, rows_of, small, stored, table, without
+from tidewater.llm.common import BROADCAST_BYTES, answered, documents, give_back, mark, rows_of, small, stored, table, without
 
 #: Words in a shingle, differing bits that still link, hash seed.
 WORDS, MAX_BITS, SEED = 4, 4, 42
@@ -18,7 +18,7 @@ SEGMENT, CHANCE, CELL = 2, 8, 4096
 #: Members up to which a cell gives all its links; a larger one gives a spanning forest of them.
 SMALL = 24
 #: Of drop_near_duplicates: words in a shingle and the Jaccard similarity that links; bands of a text and minima in a band; texts and shingles in a block.
-SHINGLE, SIMILAR, BANDS, ROWS, BLOCK, BLOCK_WORDS = 5, 0.8, 24, 6, 1024, 1 << 20
+SHINGLE, SIMILAR, BANDS, ROWS, BLOCK, BLOCK_WORDS = 5, 0.8, 24, 6, 1024, 1 << 19
 _FACTORS, _OFFSETS = (np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.uint64(1))
 
 
@@ -269,14 +269,44 @@ def similar_links(sets: list[np.ndarray], side: np.ndarray | None = None, share:
     return out
 
 
+def _blocks(block: int) -> Column:
+    """Blocks of a set of texts with the counts n and words."""
+    return F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
+
+
+def near_leaders(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """key and leader for the texts of large (key, component, leader, bytes) that are similar to their component's leader.
+
+    The leaders' shingle sets go to all tasks if their known sizes allow; else no text is near a leader, and blocks do all the work.
+    """
+    leaders = stored(large.where("key = leader").select("component", "key", "bytes"))
+    if not 0 < (leaders.agg(F.sum("bytes")).first()[0] or 0) <= BROADCAST_BYTES:
+        return large.where("false").select("key", "leader")
+    rows = leaders.join(sets, "key").select("component", "own").collect()
+    shared = large.sparkSession.sparkContext.broadcast({r["component"]: np.frombuffer(r["own"], np.uint64) for r in rows})
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for component, own in zip(batch.column("component").to_pylist(), batch.column("own"), strict=True):
+                a, b = np.frombuffer(own.as_buffer(), np.uint64), shared.value[component]
+                common = np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)
+                near.append(common >= SIMILAR * (len(a) + len(b) - common) - 1e-9)
+            yield batch.filter(pa.array(near, pa.bool_())).select(["key", "leader"])
+
+    rows = large.select("key", "component", "leader").join(sets, "key").select("key", "leader", "component", "own")
+    return rows.mapInArrow(compare, "key long, leader long")
+
+
 def similar_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, mark, component_id and component_mark for every row: groups linked by a Jaccard similarity of SIMILAR over shingles of SHINGLE words.
 
     SimHash has no radius for this: five-word fingerprints at a similarity of 0.8 differ by 8 bits on average, and a grid
     that is sure of 12 or more has cells of a few bits. So candidates come from MinHash bands, which find a pair of similarity 0.8 with
     probability 0.9993 and more similar ones more surely. Texts connected by candidates meet once, and all their pairs are
-    verified on their whole shingle sets. A larger set of them is split into blocks; each two blocks meet in a task
-    of their own. Texts with equal shingle sets are compared once (by a hash of 64 bits). Null ids as in near_duplicates. A mark is a
+    verified on their whole shingle sets. In a larger set of them, all texts first meet one, the leader, from the largest group of a
+    band: copies of one text are all linked to it in one pass. Those that aren't are split into blocks, which meet each other and the
+    blocks of those that are, each two in a task of their own: the work grows with the texts that are not near the leader times all. Texts with equal shingle sets are compared once (by a hash of 64 bits). Null ids as in near_duplicates. A mark is a
     hash of a row's text; component_id and component_mark together name the text that stands for its group.
     """
 
@@ -298,6 +328,8 @@ def similar_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("own")]
         same = rows.column("lo")[0] == rows.column("hi")[0]
         links = similar_links(sets, None if same else lo)
+        del sets
+        give_back()
         return pa.table({"a": pa.array([keys[i] for i, _ in links], pa.int64()), "b": pa.array([keys[j] for _, j in links], pa.int64())})
 
     def least(of: str, by: str) -> Column:
@@ -309,18 +341,29 @@ def similar_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     reps = stored(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), least("mark", "doc_id").alias("rep_mark"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     dealt = answered(reps.select("key", F.explode("bands").alias("band")), ["band"], [F.min("key").alias("least"), F.count("*").alias("n")], F.col("n") > 1)
     near = components(dealt.select(F.col("key").alias("a"), F.col("least").alias("b")))
-    near = stored(near.join(reps.select("key", "rep", "rep_mark", "size"), near["node"] == reps["key"]).select("key", "rep", "rep_mark", "size", "component"))
-    near = answered(near, ["component"], [F.count("*").alias("n"), F.sum("size").alias("words")])
-    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
-    near = stored(near.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))
+    tops = dealt.groupBy("least").agg(F.max("n").alias("top"))
+    near = near.join(reps.select("key", "rep", "rep_mark", "size"), near["node"] == reps["key"]).join(tops, F.col("key") == F.col("least"), "left")
+    near = stored(near.select("key", "rep", "rep_mark", "size", "component", F.coalesce("top", F.lit(0)).alias("top")))
+    near = answered(near, ["component"], [F.count("*").alias("n"), F.sum("size").alias("words"), F.max_by("key", "top").alias("leader")])
     wanted, own = small(stored(near.select("rep", "rep_mark").distinct()), 64), docs.withColumn("mark", mark(F.col("text")))
     texts = own.join(wanted, own["doc_id"].eqNullSafe(F.col("rep")) & (own["mark"] == F.col("rep_mark")), "left_semi").select("doc_id", "text")
-    sets = stored(texts.mapInArrow(gather, "key long, own binary")).dropDuplicates(["key"])
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("mine", j).alias("lo"), F.greatest("mine", j).alias("hi")))
-    met = near.join(sets, "key").withColumn("meet", F.explode(meets))
-    met = met.select("component", "meet.lo", "meet.hi", (F.col("mine") == F.col("meet.lo")).alias("is_lo"), "key", "own")
+    sets = stored(stored(texts.mapInArrow(gather, "key long, own binary")).dropDuplicates(["key"]))
+    near = stored(near.join(sets.withColumn("bytes", F.octet_length("own")).select("key", "bytes"), "key"))
+    led = stored(near_leaders(near.where(_blocks(block) > 1), sets))
+    # near the leader, a text has its link: such texts needn't meet each other, only those that aren't
+    near = near.join(led.select("key", F.lit(True).alias("is_led")), "key", "left").withColumn("is_led", F.coalesce("is_led", F.lit(False)))
+    count = lambda side: F.greatest(F.ceil(F.count_if(side) / block), F.ceil(F.sum(F.when(side, F.col("size")).otherwise(0)) / BLOCK_WORDS)).cast("int")
+    near = answered(near, ["component"], [count(~F.col("is_led")).alias("apart"), count(F.col("is_led")).alias("together")])
+    hashed = F.xxhash64("key")
+    mine = F.when(F.col("is_led"), F.col("apart") + F.pmod(hashed, F.greatest("together", F.lit(1)))).otherwise(F.pmod(hashed, F.greatest("apart", F.lit(1)))).cast("int")
+    near = stored(near.withColumn("mine", mine))
+    others = F.when(F.col("is_led"), F.col("apart")).otherwise(F.col("apart") + F.col("together"))
+    numbers = F.when(others > 0, F.sequence(F.lit(0), others - 1)).otherwise(F.array().cast("array<int>"))
+    meets = F.transform(numbers, lambda j: F.struct(F.least("mine", j).alias("lo"), F.greatest("mine", j).alias("hi")))
+    met = near.withColumn("meet", F.explode(meets)).select("component", "meet.lo", "meet.hi", (F.col("mine") == F.col("meet.lo")).alias("is_lo"), "key")
+    met = met.join(sets, "key")
     links = met.groupBy("component", "lo", "hi").applyInArrow(verify, "a long, b long")
-    found = components(links)
+    found = components(links.unionByName(led.select(F.col("key").alias("a"), F.col("leader").alias("b"))))
     named = reps.join(found, reps["key"] == found["node"], "left").select("key", "rep", "rep_mark", "component")
     first = named.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"), least("rep_mark", "rep").alias("least_mark"))
     known = named.join(stored(first), "component", "left").select("key", F.coalesce("least", "rep").alias("component_id"), F.coalesce("least_mark", "rep_mark").alias("component_mark"))
