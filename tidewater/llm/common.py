@@ -4,6 +4,7 @@ Contract for every operator: ids may be null or repeated, texts may be null (rea
 long, tables may be empty, and further columns are ignored unless an operator says it carries them.
 """
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +17,8 @@ from tidewater.sources.scratch import shared_dir, stored  # noqa: F401
 
 #: Text bytes in one chunk: bounds what one task holds in Python.
 CHUNK_BYTES = 16 << 20
+#: Rows that Python functions take from an Arrow batch at once.
+ROWS_AT_ONCE = 512
 #: Size up to which a table is broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -46,9 +49,20 @@ def labelled(labels: DataFrame, target: str, bound: int) -> DataFrame:
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Each Arrow batch with its texts as UTF-8 bytes."""
-    for batch in batches:
-        yield batch, batch.column("text").cast(pa.binary()).to_pylist()
+    """A few rows at a time with their texts as UTF-8 bytes; an empty batch is passed on as it is."""
+    for whole in batches:
+        for start in range(0, max(1, whole.num_rows), ROWS_AT_ONCE):
+            batch = whole.slice(start, ROWS_AT_ONCE)
+            yield batch, batch.column("text").cast(pa.binary()).to_pylist()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns what a Python worker has freed to the machine: workers live on from one stage to the next beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

@@ -18,7 +18,7 @@ from tidewater.llm.common import documents, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of text worked on at once; different pairs of pieces, and characters of different words, that a Python worker keeps.
-SPAN, KEPT_PAIRS, KEPT_CHARACTERS = 2 << 20, 500_000, 8 << 20
+SPAN, KEPT_PAIRS, KEPT_CHARACTERS = 2 << 20, 500_000, 2 << 20
 
 
 class Vocabulary:

@@ -85,8 +85,8 @@ def _digest(words: list[bytes]) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:16], "little", signed=True)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text, kept_sha256 and repeats (first word, words) for every row of docs.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, chunk_bytes: int = CHUNK_BYTES, texts: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text (null without texts), kept_sha256 and repeats (first word, words) for every row of docs.
 
     A window of length words is a repeat if the same words also start earlier (smaller doc_id, or the
     same document, earlier start), judged on the input; words under a repeat are removed.
@@ -204,7 +204,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
                     kept += words[at:s]
                     at = e
                 kept = b" ".join(kept + words[at:])
-                out.append((own, len(words), sum(e - s for s, e in spans), kept, hashlib.sha256(kept).hexdigest(), [{"first_word": s, "n_words": e - s} for s, e in spans]))
+                out.append((own, len(words), sum(e - s for s, e in spans), kept if texts else None, hashlib.sha256(kept).hexdigest(), [{"first_word": s, "n_words": e - s} for s, e in spans]))
         cols = list(zip(*out, strict=True)) or [()] * 6
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32())])))
         names = ("doc_id", "n_words", "n_removed", "kept_text", "kept_sha256", "repeats")
@@ -215,4 +215,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return remove_repeats(table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")

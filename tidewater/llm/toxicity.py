@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidewater.llm.common import documents, fold, labelled, stored, table
+from tidewater.llm.common import documents, fold, labelled, rows_of, stored, table
 from tidewater.llm.quality import logistic
 
 #: Labelled rows to learn from, at most.
@@ -53,8 +53,6 @@ AIMED = re.compile(r"\b(?:you|your|they|this|such an?) (?:are |re |is |all |just
 #: ASCII characters other than letters, and how many characters of a word's start stand for it beside the word itself.
 _SPACES = bytes(c if chr(c).isalpha() or c >= 0x80 else 0x20 for c in range(256))
 HEADS = (3, 4, 5, 6, 7)
-#: Texts whose features are counted at once.
-COUNTED = 256
 
 
 def words_of(text: str) -> Counter[str]:
@@ -221,11 +219,8 @@ class ToxicityModel:
 
 
 def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """A few rows at a time, so that a worker holds the features of few texts."""
-    for whole in batches:
-        for start in range(0, whole.num_rows, COUNTED):
-            batch = whole.slice(start, COUNTED)
-            yield batch, [t or "" for t in batch.column("text").to_pylist()]
+    for batch, texts in rows_of(batches):
+        yield batch, [(t or b"").decode() for t in texts]
 
 
 def _vote_frame(texts: DataFrame, mined: list[frozenset[str]], keep: str = "") -> DataFrame:
