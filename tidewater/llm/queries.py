@@ -1,13 +1,12 @@
 """The registered queries of this subpackage and their SQL."""
 
-from tidewater.llm import exact_dedup, url_filter
+from tidewater.llm import exact_dedup, substring_dedup, url_filter
 from tidewater.llm.decontaminate import op8_decontamination
 from tidewater.llm.license_scan import op7_license_scan
 from tidewater.llm.lm_score import op9_lm_score
 from tidewater.llm.quality import op2_quality
 from tidewater.llm.sentencepiece_codec import op4_sentencepiece
 from tidewater.llm.simhash_dedup import op5_simhash_dedup
-from tidewater.llm.substring_dedup import op10_substring_dedup
 from tidewater.llm.toxicity import op1_toxicity
 
 QUERIES = {
@@ -20,7 +19,7 @@ QUERIES = {
     "op7_license_scan": op7_license_scan,
     "op8_decontamination": op8_decontamination,
     "op9_lm_score": op9_lm_score,
-    "op10_substring_dedup": op10_substring_dedup,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
-SQL = {"op3_url_filter": url_filter.OP3_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL}
+SQL = {"op3_url_filter": url_filter.OP3_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op10_substring_dedup": substring_dedup.OP10_SQL}
