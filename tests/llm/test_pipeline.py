@@ -1,5 +1,6 @@
 """run() against plain versions of its stages on the smallest table."""
 
+import random
 import re
 
 import corpus_pipeline
@@ -41,3 +42,27 @@ def test_run(spark):
     assert sorted(r["doc_id"] for r in got) == [d for d in left if d not in dirty]
     assert all(r["round_trip"] for r in got)
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity" and len(corpus_pipeline.STAGES) == 5
+
+
+def test_run_on_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null, empty and very long texts, ties, columns of clashing names; and empty tables."""
+    r = random.Random(4)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(n))
+    long, passage = prose(30_000), prose(40)
+    texts = [(None, None), (None, "alone"), (1, ""), (2, "  "), (3, long), (4, long + " end"), (5, passage), (6, prose(50)), (6, prose(50)), (7, "twice"), (7, "twice"), (9, "x " + passage + " y"), (10, prose(80))]
+    rows = [(i, t, "en", "s", len(t or ""), 1, "k", True) for i, t in texts]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, mark int, key string, kept boolean"
+    labels = [(i, 1, i % 2) for i in range(4)]
+    for name, docs, given, bench in (("odd", rows, labels, [(1, passage), (2, None), (3, "")]), ("empty", [], [], [])):
+        d = f"file://{tmp_path}/{name}"
+        spark.createDataFrame(docs, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame(given, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        got, stage = corpus_pipeline.run(spark, d), table(spark, d, "documents")
+        for _, f in corpus_pipeline.STAGES[:-1]:
+            stage = f(spark, stage, d)
+            assert stage.columns == schema.replace(" long", "").replace(" string", "").replace(" int", "").replace(" boolean", "").split(", ")
+        if docs:
+            assert sorted(x["doc_id"] or 0 for x in got.collect()) == [0, 1, 3, 6, 6, 7, 10] and all(x["round_trip"] for x in got.collect())
+        else:
+            assert got.collect() == []
