@@ -13,12 +13,12 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm.common import documents, table
+from tidewater.llm.common import documents, give_back, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of text worked on at once; different pairs of pieces, and characters of different words, that a Python worker keeps.
-SPAN, KEPT_PAIRS, KEPT_CHARACTERS = 2 << 20, 500_000, 2 << 20
+SPAN, KEPT_PAIRS, KEPT_CHARACTERS = 1 << 20, 250_000, 2 << 20
 
 
 class Vocabulary:
@@ -59,7 +59,7 @@ class Vocabulary:
         self.words_of = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + (f"|[{alone}]" if alone else "")).findall
         self.lowest = min(self.scores.values(), default=0.0) - 10
         self.joins: dict[tuple[str, str], bool] = {}
-        #: Ids of words, kept from one span and task of a Python worker to the next.
+        #: Ids of words, kept from one span of a task to the next.
         self.known: dict[str, bytes] = {}
         self.kept = 0
 
@@ -185,6 +185,9 @@ def encoded_batches(batches: Iterator[pa.RecordBatch], model: str, kind: str) ->
             part = batch.slice(start, end - start)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), ids, pa.array(np.diff(offsets))], names=["doc_id", "text", "ids", "n_pieces"])
             start, size = end, 0
+    # the worker lives on, beside other stages: it keeps pairs, but no words
+    v.known, v.kept = {}, 0
+    give_back()
 
 
 def decoded_batches(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
@@ -212,7 +215,7 @@ def encode(docs: DataFrame, model: str = MODEL, kind: str = "bpe") -> DataFrame:
 
     Words are told apart where a mark follows another character; no piece crosses that. The distinct
     words of a span of texts are sorted into a trie once, by the task that reads them, so nothing is shuffled, and a
-    Python worker keeps words of KEPT_CHARACTERS characters and a span beside. Null texts count as empty and have no pieces; characters
+    task keeps words of KEPT_CHARACTERS characters and a span beside. Null texts count as empty and have no pieces; characters
     outside the vocabulary become bytes. A mark that a text itself holds is read as a space. Null ids are carried;
     repeated rows repeat their result; an empty table gives an empty result.
     """
