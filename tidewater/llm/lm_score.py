@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import CHUNK_BYTES, chunked, documents, fold, stored, table, unpacked
+from tidewater.llm.common import CHUNK_BYTES, chunked, documents, fold, give_back, stored, table, unpacked
 
 #: Bytes of context: four-byte strings are the trie's leaves.
 ORDER = 3
@@ -47,6 +47,8 @@ def _counts(chunks: DataFrame) -> DataFrame:
                 others = np.setdiff1d(np.concatenate(strings[True] or [np.zeros(0, np.uint32)]), learnt)
                 strings_all, n = np.concatenate([learnt, others]).astype(np.int64), np.concatenate([n, np.zeros(len(others), np.int64)])
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(n), chunk)), "word": pa.nulls(len(n), pa.binary()), "string": pa.array(strings_all), "n": pa.array(n.astype(np.int64))})
+                del rows, words, known, strings, keys
+                give_back()
 
     return chunks.mapInArrow(count, "chunk long, word binary, string long, n long")
 
@@ -122,6 +124,8 @@ def score_corpus(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, folds: int = 7
                 base = float(np.log10((c + 1) / (total + different + 1)).sum())
                 out.append((len(tokens), int(np.count_nonzero(c)), base, float(lp[np.searchsorted(string, byte_strings(text))].sum())))
         cols = list(zip(*out, strict=True)) or [()] * 4
+        del value, string, lp, string_rows, word_rows
+        give_back()
         return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(cols[0], pa.int64()), "n_known": pa.array(cols[1], pa.int64()), "base_score": pa.array(cols[2], pa.float64()), "score": pa.array(cols[3], pa.float64())})
 
     side = side.where("word IS NOT NULL").join(words, "word").select("chunk", "word", "string", "value").unionByName(

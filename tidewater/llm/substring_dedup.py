@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import CHUNK_BYTES, answered, chunked, documents, table, unpacked
+from tidewater.llm.common import CHUNK_BYTES, answered, chunked, documents, give_back, table, unpacked
 
 #: Words of a repeat at least, and words of an anchor. Any repeat holds LENGTH - ANCHOR + 1 anchors in a row.
 LENGTH, ANCHOR = 20, 6
@@ -125,6 +125,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
                 k = np.array(list(copies), np.int64).reshape(-1, 2)
                 v = np.array(list(copies.values()), np.int64).reshape(-1, 2)
                 yield rows(chunk, k[:, 0], k[:, 1], v[:, 1], v[:, 0], True)
+                give_back()
 
     def rows(chunk: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, first: np.ndarray, whole: bool) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(a), chunk, np.int64)), "whole": pa.array(np.full(len(a), whole)), "a": pa.array(a), "b": pa.array(b), "n": pa.array(n.astype(np.int64)), "first": pa.array(first)})
@@ -160,6 +161,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         # in the order of the text again: neighbouring rows then share most of their bytes, which the shuffle's compression uses
         order = np.lexsort((start[new], doc[new]))
         new, n = new[order], n[order]
+        del out
+        give_back()
         chunk = left.column("chunk")[0].as_py() if left.num_rows else 0
         return pa.table({"chunk": pa.array(np.full(len(new), chunk, np.int64)), "a": pa.array(a[new].view(np.int64)), "b": pa.array(b[new].view(np.int64)), "doc": pa.array(doc[new]), "start": pa.array(start[new]), "n": pa.array(n.astype(np.int64))})
 
@@ -209,6 +212,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32())])))
         names = ("doc_id", "n_words", "n_removed", "kept_text", "kept_sha256", "repeats")
         made = pa.table({n: pa.array(list(c), k) for n, c, k in zip(names, cols, kinds, strict=True)})
+        del out, cols
+        give_back()
         return made.set_column(3, "kept_text", made.column("kept_text").cast(pa.string()))
 
     return by_chunk(side, finish, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, repeats array<struct<first_word:int,n_words:int>>")
