@@ -58,9 +58,15 @@ def valid_ticks(df: DataFrame) -> DataFrame:
 
 
 def keyed(symbol: Column) -> Column:
+    """A bar or tick that says no symbol belongs to unknown."""
     return F.coalesce(symbol, F.lit("unknown"))
 
 
+def from_source() -> Column:
+    """data_source of a bar; one that says none is of an unknown one."""
+    return keyed(F.col("data_source")).alias("data_source")
+
+
 def with_latency(df: DataFrame, now: Column | None = None) -> DataFrame:
     """latency_ms: how long ago a tick's timestamp (ms) was, never below 0; a missing one counts from 1970."""
     end = F.unix_millis(F.current_timestamp() if now is None else now)
@@ -90,6 +96,13 @@ def per_tick_volume(bars: DataFrame, order: list[str], ts: str = "timestamp", vo
     return rows.select(*bars.columns, made.alias("per_tick_volume"))
 
 
+def last_bars(bars: DataFrame, order: list[str], ts: str = "timestamp", volume: str = "volume") -> DataFrame:
+    """symbol, volume and timestamp of each symbol's last bar in the order of arrival: where per-bar volume goes on from."""
+    rows = bars.where(F.col(ts).isNotNull() & F.col(volume).isNotNull())
+    last = F.max_by(F.struct(F.col(volume).alias("volume"), F.col(ts).alias("timestamp")), F.struct(*order)).alias("last")
+    return rows.groupBy("symbol").agg(last).select("symbol", "last.*")
+
+
 def interval_join(left: DataFrame, right: DataFrame, width_ms: int = 1000, ts: str = "timestamp", on: str = "symbol") -> DataFrame:
     """All pairs of left and right rows of one symbol at most width_ms apart (both ends count).
 
@@ -122,8 +135,12 @@ def vwap_columns(pairs: DataFrame, ts: str = "ts", price: str = "price", volume:
 
 
 def tick_bar_vwap(ticks: DataFrame, bars: DataFrame, width_ms: int = 1000, window_ms: int = 60_000, order: tuple[str, ...] = ("timestamp",)) -> DataFrame:
-    """The whole flow: per-bar volume, interval join, mean by window of the later of both times; the bars' data_source is carried."""
-    source = ["data_source"] if "data_source" in bars.columns else []
+    """The whole flow: per-bar volume, interval join, mean by window of the later of both times; the bars' data_source is carried.
+
+    Bars and ticks without a symbol are those of the symbol unknown, which counts its volume as any other does; no data_source is the source unknown.
+    """
+    source = [from_source()] if "data_source" in bars.columns else []
+    bars = bars.withColumn("symbol", keyed(F.col("symbol")))
     volumes = per_tick_volume(bars, list(order)).select("symbol", "timestamp", F.col("per_tick_volume").alias("volume"), *source)
-    pairs = interval_join(ticks.select("symbol", "timestamp", "price"), volumes, width_ms)
+    pairs = interval_join(ticks.select(keyed(F.col("symbol")).alias("symbol"), "timestamp", "price"), volumes, width_ms)
     return vwap(pairs.withColumn("ts", F.greatest("timestamp", "right_timestamp")), window_ms)

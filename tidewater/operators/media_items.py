@@ -1,6 +1,6 @@
 """Media items of posts against a table of what is known about their content."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import media as M
@@ -17,6 +17,15 @@ def media_facts(files: DataFrame, max_bytes: int = M.MAX_BYTES) -> DataFrame:
     )
 
 
+def facts_of_files(spark: SparkSession, path: str, max_bytes: int = M.MAX_BYTES) -> DataFrame:
+    """Facts about the binary files below path. Whether a file is too large is told by its length, before any of its content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    large = files.where(F.col("length") > max_bytes)
+    too_large = F.lit(f"exceeds limit of {max_bytes} bytes").alias("failure")
+    rows = large.select(F.col("path").alias("lz_url"), F.lit(None).cast("string").alias("true_mime"), F.col("length").alias("processed_bytes"), too_large)
+    return media_facts(files.where(F.col("length") <= max_bytes)).unionByName(rows)
+
+
 def judged_item(item: Column, mime: Column, size: Column, failure: Column, bucket: str, max_bytes: int) -> Column:
     """An item with its processed address and three error columns, of which the first failure alone is set."""
     kind, fmt = item["media_type"], M.target_format(item["media_type"])

@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from tidewater.functions import media as M
 from tidewater.functions.text import epoch_to_iso
 from tidewater.operators import articles, dedup, enrich, market, media_items, posts, timeseries, verify
+from tidewater.plans import flows
 from tidewater.plans import standins as S
 from tidewater.sources import envelope, files, sinks
 from tidewater.sources.scratch import shared_dir, stored
@@ -128,20 +129,18 @@ def _to_end(writer) -> None:
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def _arrivals(spark: SparkSession, d: str, path: str, parts: int) -> list[DataFrame]:
-    """Bars in the order of their ids, as parts that arrive one after another."""
-    rows = S.bars(spark, d)
-    last = rows.agg(F.max("event_id")).first()[0] or 0
-    return [rows.where(F.floor(F.col("event_id") * parts / (last + 1)) == i) for i in range(parts)]
+#: Rows in one micro-batch of the stateful streams.
+BATCH_ROWS = 25_000
 
 
 def _volumes_by_state(spark: SparkSession, d: str, restarts: int) -> DataFrame:
-    """The stateful stream over bars that arrive in parts; each part starts the query anew from its checkpoint."""
+    """The stateful stream over bars that arrive in parts of bounded size; each part starts the query anew from its checkpoint."""
     path, key = shared_dir(spark), "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        for part in _arrivals(spark, d, path, restarts):
+        parts = max(restarts, -(-S.table(spark, d, "events").count() // BATCH_ROWS))
+        for part in flows.by_arrival(S.bars(spark, d), parts):
             part.write.mode("append").parquet(f"{path}/bars")
             stream = spark.readStream.schema("event_id long, symbol string, timestamp long, volume long").parquet(f"{path}/bars")
             out = market_stream.per_tick_volume_stream(stream).select("event_id", "symbol", "timestamp", "per_tick_volume")
@@ -409,9 +408,9 @@ def _scraped_of_post():
 
 
 def _ranked_posts(spark: SparkSession, d: str) -> DataFrame:
-    """Posts in a few groups, scraped at a few times."""
+    """Posts in a few groups, scraped on a few days."""
     n = F.substring("id", 2, 20).cast("long")
-    return post_table(spark, d).drop("media_items").withColumns({"n": n, "scraped_at": F.timestamp_seconds(n % 5), "id": F.concat(F.lit("g"), n % 61)})
+    return post_table(spark, d).drop("media_items").withColumns({"n": n, "scraped_at": F.timestamp_seconds(n % 5 * 86_400), "id": F.concat(F.lit("g"), n % 61)})
 
 
 def w1_latest(spark: SparkSession, d: str) -> DataFrame:
@@ -478,6 +477,7 @@ def a4_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    **flows.QUERIES,
     "A3_vwap": a3_vwap, "T4_per_tick_volume": t4_volume, "J2_interval_join": j2_pairs, "P12_P13_bars": p12_bars, "R17_T5_ticks": r17_ticks, "T8_bars_to_ticks": t8_ticks, "T2_latency": t2_latency,
     "A6_bucket_mean": a6_mean, "Q1_W5_series_names": q1_names, "Q2_mean_latency": q2_latency, "Q3_mean_price": q3_price, "Q4_vwap_series": q4_series, "K6_last_write_wins": k6_points, "K7_S7_retention": k7_retain,
     "T3_T1_stream_volume": t3_stream, "J1_T6_stream_vwap": j1_t6_stream, "T10_restart": t10_restart, "K5_vwap_points": k5_points, "T9_fan_out": t9_fan_out, "T7_late_rows": t7_late, "S4_K11_topic": k11_topic,
@@ -495,6 +495,7 @@ _VWAP = f"""vwap AS (SELECT symbol, (ts // {S.DAY_MS} + 1) * {S.DAY_MS} AS windo
 _RANKED = f"""{P}, kept AS (SELECT 'g' || (doc_id % 61) AS id, doc_id AS n, score, selftext FROM posts WHERE reject_reason IS NULL
 QUALIFY row_number() OVER (PARTITION BY doc_id % 61 ORDER BY doc_id % 5 DESC, created DESC, title) = 1)"""
 SQL = {
+    **flows.SQL,
     "A3_vwap": f"WITH {E}, {_PAIRS}, {_VWAP} SELECT * FROM vwap",
     "T4_per_tick_volume": f"WITH {E} SELECT event_id, symbol, timestamp, per_tick_volume FROM volumes",
     "T3_T1_stream_volume": f"WITH {E}, {_ARRIVED} SELECT * FROM arrived",

@@ -52,6 +52,38 @@ def envelope_ok(raw: str, kind: str) -> Column:
     return F.expr(" AND ".join(meta) + f" AND coalesce(forall(try_variant_get({doc}, '$.{k['list']}', 'array<variant>'), x -> {items}), false)")
 
 
+def rejections(df: DataFrame, kind: str, raw: str = "value", key: str = "source_path") -> DataFrame:
+    """key, at and rule for each file that envelope_ok refuses: the JSON path of the first field that fails, and what was asked of it.
+
+    Fields of the metadata come first, then the list itself, then its records in order, each field by field; text that is no JSON fails as a
+    whole. Records are rows of a lateral variant_explode; the first failure of a file is a minimum, combined before its shuffle. key tells
+    files apart.
+    """
+    k, rules = KINDS[kind], []
+
+    def rule(at: str, of: str, field: str, asked: str, required: bool, condition: str) -> Column:
+        rules.append((at, f"{asked}, {condition}" if condition else asked))
+        return F.when(~F.expr(_field_rule(of, field, asked, required, condition)), F.lit(len(rules) - 1))
+
+    doc = f"try_parse_json({raw})"
+    rules += [("$", "JSON")]
+    checks = [F.when(F.expr(f"{doc} IS NULL"), F.lit(0))]
+    checks += [rule(f"$.metadata.{f}", "_doc", f"metadata.{f}", *rest) for f, *rest in k["metadata"]]
+    rules.append((f"$.{k['list']}", "array"))
+    checks.append(F.when(F.expr("NOT coalesce(schema_of_variant(_list) LIKE 'ARRAY<%', false)"), F.lit(len(rules) - 1)))
+    files = df.select(key, F.expr(doc).alias("_doc"), F.col(raw))
+    files = files.withColumn("_list", F.expr(f"try_variant_get(_doc, '$.{k['list']}', 'variant')"))
+    of_file = files.withColumn("_rule", F.coalesce(*checks))
+    whole = of_file.where("_rule IS NOT NULL").select(key, F.lit(-1).alias("_pos"), "_rule")
+    items = of_file.where("_rule IS NULL").select(key, "_list").lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_list").outer()))
+    failed = F.coalesce(*(rule(f, "value", f, *rest) for f, *rest in k["items"]))
+    records = items.select(key, F.col("pos").alias("_pos"), failed.alias("_rule")).where("_rule IS NOT NULL")
+    first = whole.unionByName(records).groupBy(key).agg(F.min(F.struct("_pos", "_rule")).alias("_first"))
+    names, asked = (F.element_at(F.array(*(F.lit(r[i]) for r in rules)), F.col("_first._rule") + 1) for i in (0, 1))
+    at = F.when(F.col("_first._pos") < 0, names).otherwise(F.concat(F.lit(f"$.{k['list']}["), F.col("_first._pos"), F.lit("]."), names))
+    return first.select(key, at.alias("at"), asked.alias("rule"))
+
+
 def validate_envelopes(df: DataFrame, kind: str, raw: str = "value") -> DataFrame:
     """df with envelope_ok: one bad record rejects its file."""
     return df.withColumn("envelope_ok", F.coalesce(envelope_ok(raw, kind), F.lit(False)))
@@ -91,11 +123,12 @@ def build_envelopes(records: DataFrame, kind: str, group: str, fields: list[str]
     """group, part and value: one envelope as JSON text for each group of records, and each part of it.
 
     A file is one row, put together by one task: part, a column that cuts a group into pieces of bounded size, keeps it small
-    however large the group is. Counts in the metadata are those of the file.
+    however large the group is. Counts in the metadata are those of the file. Records are in the order of their fields, so that a task that is
+    run again makes the same text.
     """
     name = {"news": "category", "posts": "subreddit"}[kind]
     records = records if "media" in records.columns or kind == "news" else records.withColumn("media", F.lit(None).cast(MEDIA))
-    files = records.groupBy(group, F.col(part) if part else F.lit(0).alias("part")).agg(*group_metadata(kind), F.collect_list(F.struct(*fields)).alias("_items"))
+    files = records.groupBy(group, F.col(part) if part else F.lit(0).alias("part")).agg(*group_metadata(kind), F.sort_array(F.collect_list(F.struct(*fields))).alias("_items"))
     part = part or "part"
     counts = [c for c in files.columns if c not in (group, part, "_items")]
     meta = F.struct(F.col(group).alias(name), *(c.alias(k) for k, c in (extra or {}).items()), *counts, F.date_format(scraped_at, "yyyy-MM-dd'T'HH:mm:ss").alias("scraped_at"))

@@ -3,12 +3,13 @@
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from tidewater.operators.market import vwap_columns
+from tidewater.operators.market import from_source, keyed, vwap_columns
 
 LATE = "3 seconds"
 
@@ -22,45 +23,74 @@ def event_time(df: DataFrame, late: str = LATE, ts: str = "timestamp", unit: str
 class TickVolume(StatefulProcessor):
     """Per-bar volume from cumulative volume, with the last volume and time of a symbol as state.
 
-    Rows go in the order of arrival, which event_id tells (a topic's offset); their times may go back. A batch has as many rows as its
-    trigger lets in, and those of one symbol are put in that order together.
+    Rows go in the order of arrival, which event_id tells (a topic's offset); their times may go back. Frames are taken one at a time: three
+    numbers of each row are held until those of a symbol in one batch are in order, and what is made goes out in frames of OUT rows. With idle_ms, the
+    state of a symbol that has been silent for so long goes.
     """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "volume long, timestamp long")
+    OUT = 10_000
+
+    def __init__(self, idle_ms: int | None = None) -> None:
+        self.idle_ms = idle_ms
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        bars = pd.concat(rows).dropna(subset=["volume", "timestamp"]).sort_values("event_id", kind="stable")
-        if bars.empty:
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "volume long, timestamp long", self.idle_ms)
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:  # noqa: N803
+        for volume, at in initialState[["volume", "timestamp"]].dropna().astype("int64").itertuples(index=False):
+            self.last.update((int(volume), int(at)))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N803
+        parts = [np.zeros((0, 4), np.int64)]
+        for frame in rows:
+            known = frame[frame["volume"].notna() & frame["timestamp"].notna()]
+            unnamed = known["event_id"].isna()  # rows that don't say when they arrived come last
+            parts.append(np.column_stack([unnamed, known["event_id"].fillna(0), known["timestamp"], known["volume"]]).astype(np.int64))
+        bars = np.concatenate(parts)
+        bars = bars[np.lexsort((bars[:, 1], bars[:, 0]))]
+        if not len(bars):
             return
-        volume, at = bars["volume"].astype("int64"), bars["timestamp"].astype("int64")
+        at, volume = bars[:, 2], bars[:, 3]
         first, first_at = self.last.get() if self.last.exists() else (0, 0)
-        before, before_at = volume.shift(fill_value=first), at.shift(fill_value=first_at)
-        made = volume.where((volume < before) | (at <= before_at), volume - before)
-        self.last.update((int(volume.iloc[-1]), int(at.iloc[-1])))
-        yield bars.assign(symbol=key[0], per_tick_volume=made)[["symbol", "event_id", "timestamp", "per_tick_volume"]]
+        before, before_at = np.concatenate(([first], volume[:-1])), np.concatenate(([first_at], at[:-1]))
+        made = np.where((volume < before) | (at <= before_at), volume, volume - before)
+        self.last.update((int(volume[-1]), int(at[-1])))
+        for i in range(0, len(bars), self.OUT):
+            some = slice(i, i + self.OUT)
+            ids = pd.array(bars[some, 1], dtype="Int64")
+            ids[bars[some, 0] == 1] = pd.NA
+            yield pd.DataFrame({"symbol": key[0], "event_id": ids, "timestamp": at[some], "per_tick_volume": made[some]})
 
     def close(self) -> None:
         pass
 
 
-def per_tick_volume_stream(bars: DataFrame) -> DataFrame:
-    """The stream (symbol, event_id, timestamp, volume) with per_tick_volume; late rows count as they arrive. Needs the RocksDB state store."""
+def per_tick_volume_stream(bars: DataFrame, initial: DataFrame | None = None, idle_ms: int | None = None) -> DataFrame:
+    """The stream (symbol, event_id, timestamp, volume) with per_tick_volume; late rows count as they arrive. Needs the RocksDB state store.
+
+    initial (symbol, volume, timestamp), one row for each symbol, is where a stream that has no checkpoint yet goes on from: market.last_bars of what
+    a batch has done. idle_ms of silence, by the clock, end a symbol's state; such a query runs until it is stopped, as availableNow waits for clocks that
+    never end. How many rows a batch has is for the source to bound
+    (maxFilesPerTrigger).
+    """
     schema = "symbol string, event_id long, timestamp long, per_tick_volume long"
-    return bars.groupBy("symbol").transformWithStateInPandas(TickVolume(), schema, "Append", "None")
+    state = None if initial is None else initial.select("symbol", "volume", "timestamp").groupBy("symbol")
+    return bars.groupBy("symbol").transformWithStateInPandas(TickVolume(idle_ms), schema, "Append", "None" if idle_ms is None else "ProcessingTime", state)
 
 
 def interval_join_stream(ticks: DataFrame, volumes: DataFrame, width_s: int = 1) -> DataFrame:
-    """Pairs of one symbol at most width_s seconds apart, stamped with the later time; data_source of the volumes is carried where they have it.
+    """Pairs of one symbol at most width_s seconds apart, stamped with the later time; data_source of the volumes is carried where they have
+    it. No symbol, on either side, and no data_source read as unknown.
 
     Two joins, one for each order of the two times: each keeps the column that carries the watermark, so
     that a window over the pair's time can close. An equality on a time bucket beside that on the symbol spreads the state of a
     symbol over tasks; volumes go to their own bucket and both neighbours.
     """
-    source = ["data_source"] if "data_source" in volumes.columns else []
+    source = [from_source()] if "data_source" in volumes.columns else []
     bucket = lambda ts: F.floor(F.unix_seconds(F.col(ts)) / max(1, width_s))
-    h = ticks.select("symbol", F.col("ts").alias("h_ts"), "price", bucket("ts").alias("h_bucket"))
-    w = volumes.select(F.col("symbol").alias("w_symbol"), F.col("ts").alias("w_ts"), F.col("per_tick_volume").alias("volume"), *source, F.explode(F.array(*(bucket("ts") + i for i in (-1, 0, 1)))).alias("w_bucket"))
+    h = ticks.select(keyed(F.col("symbol")).alias("symbol"), F.col("ts").alias("h_ts"), "price", bucket("ts").alias("h_bucket"))
+    w = volumes.select(keyed(F.col("symbol")).alias("w_symbol"), F.col("ts").alias("w_ts"), F.col("per_tick_volume").alias("volume"), *source, F.explode(F.array(*(bucket("ts") + i for i in (-1, 0, 1)))).alias("w_bucket"))
+    source = ["data_source"] if source else []
     same, by = (F.col("symbol") == F.col("w_symbol")) & (F.col("h_bucket") == F.col("w_bucket")), F.expr(f"INTERVAL {width_s} SECONDS")
     later = h.join(w, same & (F.col("w_ts") >= F.col("h_ts")) & (F.col("w_ts") <= F.col("h_ts") + by)).select("symbol", F.col("w_ts").alias("ts"), "price", "volume", *source)
     sooner = h.join(w, same & (F.col("w_ts") < F.col("h_ts")) & (F.col("w_ts") >= F.col("h_ts") - by)).select("symbol", F.col("h_ts").alias("ts"), "price", "volume", *source)
