@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from tidewater.operators import articles, market, media_items, posts
+from tidewater.operators import articles, enrich, market, media_items, posts, summaries
 from tidewater.plans import standins as S
 from tidewater.sources import envelope, intake, objects, points, sinks
 from tidewater.sources.scratch import shared_dir, stored
@@ -256,9 +256,39 @@ def m14_files(spark: SparkSession, d: str) -> DataFrame:
     return facts.select(F.regexp_extract("lz_url", r"/lz/\d+/(\d+)$", 1).cast("long").alias("page_id"), "true_mime", "processed_bytes", "failure")
 
 
+# Enrichment by fitted models
+
+
+def e2_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """The three sentences of each whole text that are nearest to it, words weighed by how rare they are in all texts."""
+    docs = S.table(spark, d, "documents")
+    summarise = summaries.extractive_summariser(summaries.corpus_idf(docs))
+    return docs.select("doc_id", F.sha2(summarise(F.col("text")).cast("binary"), 256).alias("summary_sha256"))
+
+
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts with a label for good or bad; a fifth of them, by id, calibrates, and another fifth is for neither."""
+    labels = S.table(spark, d, "labels").where("quality IS NOT NULL").select("doc_id", F.col("quality").alias("label"))
+    rows = S.table(spark, d, "documents").select("doc_id", "text").join(labels, "doc_id")
+    fold = F.col("doc_id") % 5
+    return rows.withColumns({"held": fold == 1, "unseen": fold == 0})
+
+
+def e5_sentiment(spark: SparkSession, d: str) -> DataFrame:
+    """Articles enriched by both models, the scorer fitted on labelled texts, stored, and loaded again."""
+    path, rows = shared_dir(spark), labelled(spark, d)
+    summaries.save_sentiment(spark, summaries.fit_sentiment(rows.where("NOT unseen")), path)
+    scorer = summaries.sentiment_scorer(summaries.load_sentiment(spark, path))
+    news = articles.finish_articles(articles.accepted(articles.clean_articles(S.raw_news(spark, d), F.col("of_file"), S.KNOWN)))
+    summarise = summaries.extractive_summariser(summaries.corpus_idf(S.table(spark, d, "documents")), 1)
+    out = enrich.enrich(news, summarise, scorer)
+    return out.select("id", F.sha2("summary", 256).alias("summary_sha256"), "sentiment_label", F.round("sentiment_score", 9).alias("sentiment_score"))
+
+
 QUERIES = {
     "K6_tick_points": k6_ticks, "K5_vwap_points_by_batch": k5_vwap, "K7_partition_retention": k7_partitions, "A6_Q2_Q3_rollup": a6_rollup, "T7_exact_late": t7_exact, "T3_backfill_stream": t3_backfill,
     "T5_A3_unknown": t5_unknown, "S3_K12_intake": s3_intake, "K1_append_once": k1_once, "P2_many_posts": p2_many, "P7_rejected_files": p7_rejections, "M14_M16_binary_files": m14_files,
+    "E2_extractive_summaries": e2_summaries, "E5_fitted_sentiment": e5_sentiment,
 }
 
 _ARRIVED = """late AS (SELECT *, coalesce(lag(volume) OVER w, 0) AS pv, coalesce(lag("timestamp") OVER w, 0) AS pt FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY event_id)),
@@ -266,6 +296,24 @@ arrived AS (SELECT event_id, symbol, "timestamp", CASE WHEN volume >= pv AND "ti
 _PAIRS = f"""pairs AS (SELECT t.symbol, greatest(t."timestamp", b."timestamp") AS ts, t.price, b.per_tick_volume, b.data_source FROM ticks t JOIN volumes b ON t.symbol = b.symbol AND b."timestamp" BETWEEN t."timestamp" - {S.WIDTH_MS} AND t."timestamp" + {S.WIDTH_MS})"""
 _VWAP = f"""SELECT symbol, (ts // {S.DAY_MS} + 1) * {S.DAY_MS} AS window_end, round(CASE WHEN sum(per_tick_volume) > 0 THEN sum(round(price, 6) * per_tick_volume) / sum(per_tick_volume) ELSE 0.0 END, 6) AS vwap,
 count(*) AS n_pairs, arg_max(data_source, (ts, data_source)) AS data_source FROM pairs GROUP BY 1, 2"""
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+_BUCKET = "CAST('0x' || md5(w)[1:4] AS INTEGER)"
+_IDF = f"""b AS (SELECT DISTINCT doc_id, {_BUCKET} AS b FROM (SELECT doc_id, unnest({_WORDS.format("text")}) AS w FROM documents)),
+idf AS (SELECT b, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) + 1 AS idf FROM b GROUP BY 1)"""
+
+
+def _summary_sql(texts: str, n: int) -> str:
+    """SQL for k (doc_id, summary): the n best sentences of each text of a table (doc_id, t)."""
+    return rf"""t AS (SELECT doc_id, string_split(regexp_replace(t, '([.!?])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM {texts}),
+s AS (SELECT doc_id, unnest(ss) AS s, unnest(range(len(ss))) AS pos FROM t),
+v AS (SELECT doc_id, pos, {_BUCKET} AS b, count(*) AS n FROM (SELECT doc_id, pos, unnest({_WORDS.format("s")}) AS w FROM s) GROUP BY 1, 2, 3),
+w AS (SELECT v.*, coalesce(idf, ln((SELECT count(*) FROM documents) + 1) + 1) AS idf FROM v LEFT JOIN idf USING (b)),
+c AS (SELECT doc_id, b, sum(n) * any_value(idf) AS c FROM w GROUP BY 1, 2),
+z AS (SELECT doc_id, pos, round(sum(n * idf * c) / sqrt(sum(n * idf * n * idf)), 9) AS z FROM w JOIN c USING (doc_id, b) GROUP BY 1, 2),
+r AS (SELECT doc_id, pos, s, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(z, 0) DESC, pos) AS nth FROM s LEFT JOIN z USING (doc_id, pos)),
+k AS (SELECT doc_id, string_agg(s, ' ' ORDER BY pos) AS summary FROM r WHERE nth <= {n} GROUP BY 1)"""
+
+
 _NAMED = """'news/' || lower(of_file) || '/' || strftime(to_timestamp(min(scraped)) AT TIME ZONE 'UTC', '%Y%m%d_%H%M%S') || CASE WHEN part > 0 THEN '-' || part ELSE '' END || '.json'"""
 _DAYS = S.SCRAPED.replace("DIV", "//")
 _POST = """posts AS (SELECT doc_id, lang, doc_id // 32 AS f, (CASE WHEN doc_id % 37 = 0 THEN 'p_' ELSE 'p' END) || doc_id AS id, doc_id % 37 = 0 AS bad_id, doc_id % 41 = 0 AS bad_count,
@@ -304,6 +352,19 @@ o AS (SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY id) - 1 AS
 SELECT source_path, '$.posts[' || min(pos) || '].' || CASE WHEN arg_min(bad_id, pos) THEN 'id' ELSE 'num_comments' END AS at, CASE WHEN arg_min(bad_id, pos) THEN 'string, v rlike ''^[A-Za-z0-9]+$''' ELSE 'integer, v >= 0' END AS rule FROM b GROUP BY 1
 UNION ALL SELECT DISTINCT source_path, CASE k WHEN 3 THEN '$' ELSE '$.news' END, CASE k WHEN 3 THEN 'JSON' ELSE 'array' END FROM n WHERE k IN (3, 5)
 UNION ALL SELECT source_path, '$.news[' || min(pos) || '].' || CASE WHEN arg_min(id, pos) < 0 THEN 'id' ELSE 'headline' END, CASE WHEN arg_min(id, pos) < 0 THEN 'integer, v >= 0' ELSE 'string, length(v) >= 1' END FROM o WHERE k NOT IN (3, 5) AND (id < 0 OR headline = '') GROUP BY 1""",
+    "E2_extractive_summaries": f"WITH {_IDF}, {_summary_sql('(SELECT doc_id, text AS t FROM documents)', 3)} SELECT doc_id, sha256(summary) AS summary_sha256 FROM documents LEFT JOIN k USING (doc_id)",
+    "E5_fitted_sentiment": f"""WITH {N}, {_IDF}, {_summary_sql("(SELECT doc_id, headline AS t FROM articles WHERE length(summary) < 50)", 1)},
+fin AS (SELECT a.id, coalesce(k.summary, a.summary) AS summary, a.headline || '. ' || coalesce(k.summary, a.summary) AS text FROM articles a LEFT JOIN k USING (doc_id)),
+lab AS (SELECT doc_id, text, quality AS l, doc_id % 5 AS f FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+cnt AS (SELECT {_BUCKET} AS b, count(*) FILTER (l = 1) AS g, count(*) FILTER (l = 0) AS h FROM (SELECT l, unnest({_WORDS.format("text")}) AS w FROM lab WHERE f > 1) GROUP BY 1),
+tot AS (SELECT coalesce(sum(g), 0) AS g, coalesce(sum(h), 0) AS h FROM cnt),
+wgt AS (SELECT b, ln((cnt.g + 1) / (tot.g + {summaries.BUCKETS})) - ln((cnt.h + 1) / (tot.h + {summaries.BUCKETS})) AS x FROM cnt, tot),
+non AS (SELECT ln(1 / (g + {summaries.BUCKETS})) - ln(1 / (h + {summaries.BUCKETS})) AS x FROM tot),
+cal AS (SELECT doc_id, any_value(l) AS l, coalesce(avg(coalesce(wgt.x, non.x)) FILTER (w IS NOT NULL), 0) AS m FROM (SELECT doc_id, l, unnest(CASE WHEN len(ws) > 0 THEN ws ELSE [NULL] END) AS w FROM (SELECT *, {_WORDS.format("text")} AS ws FROM lab WHERE f = 1)) LEFT JOIN wgt ON {_BUCKET} = wgt.b, non GROUP BY 1),
+bin AS (SELECT least(greatest(floor((m + {summaries.RANGE}) / {2 * summaries.RANGE / summaries.BINS}), 0), {summaries.BINS - 1}) AS bin, count(*) FILTER (l = 1) AS good, count(*) AS n FROM cal GROUP BY 1),
+art AS (SELECT id, coalesce(avg(coalesce(wgt.x, non.x)) FILTER (w IS NOT NULL), 0) AS m FROM (SELECT id, unnest(CASE WHEN len(ws) > 0 THEN ws ELSE [NULL] END) AS w FROM (SELECT *, {_WORDS.format("text")} AS ws FROM fin)) LEFT JOIN wgt ON {_BUCKET} = wgt.b, non GROUP BY 1),
+fit AS (SELECT id, (coalesce(good, 0) + 2 / (1 + exp({-summaries.SLOPE} * ({-summaries.RANGE} + (bin + 0.5) * {2 * summaries.RANGE / summaries.BINS})))) / (coalesce(n, 0) + 2) AS p FROM (SELECT id, least(greatest(floor((m + {summaries.RANGE}) / {2 * summaries.RANGE / summaries.BINS}), 0), {summaries.BINS - 1}) AS bin FROM art) LEFT JOIN bin USING (bin))
+SELECT id, sha256(summary) AS summary_sha256, CASE WHEN p >= 0.5 THEN 'positive' ELSE 'negative' END AS sentiment_label, round(greatest(p, 1 - p), 9) AS sentiment_score FROM fin JOIN fit USING (id)""",
     "M14_M16_binary_files": """WITH x AS (SELECT page_id, page_id % 8 AS k, ([4, 8, 6, 12, 12, 4, 12, 6])[page_id % 8 + 1] + CASE WHEN page_id % 5 > 0 THEN coalesce(strlen(html), 0) ELSE 0 END AS n FROM pages)
 SELECT page_id, CASE WHEN n <= 4000 THEN (['image/jpeg', 'image/png', 'image/gif', 'image/webp', 'video/mp4', 'video/webm', 'video/x-msvideo', NULL])[k + 1] END AS true_mime, n AS processed_bytes,
 CASE WHEN n > 4000 THEN 'exceeds limit of 4000 bytes' WHEN n < 100 THEN 'content too small' END AS failure FROM x""",
