@@ -247,6 +247,20 @@ def test_overlaps_with_substitutions_and_short_items():
     assert found([], around([])) == set()
 
 
+def test_many_items_of_one_prompt(monkeypatch):
+    """A phrase that all items begin with costs no item its overlap and makes none, however little is compared at once."""
+    prompt, tails = WORDS[:5], [[R.choice(WORDS) for _ in range(R.randint(0, 20))] for _ in range(300)]
+    items = [(i, " ".join(prompt + t)) for i, t in enumerate(tails)]
+    index = decontaminate.build_index(items)
+    texts = [prose(50) + " " + " ".join(prompt) + " " + prose(50), " ".join(prompt + prompt * 40), *(f"{prose(9)} {items[i][1]} {prose(9)}" for i in range(0, 300, 60)), " ".join(prompt), ""]
+    alone = [{o for i, t in items for o in decontaminate.overlaps(decontaminate.build_index([(i, t)]), text.encode())} for text in texts]
+    for at_once in (1 << 20, 50, 1):
+        monkeypatch.setattr(decontaminate, "AT_ONCE", at_once)
+        assert [set(decontaminate.overlaps(index, text.encode())) for text in texts] == alone
+    assert all(any(o[0] == i for o in alone[2 + k]) for k, i in enumerate(range(0, 300, 60)))
+    assert {o[0] for o in alone[0]} == {i for i, t in enumerate(tails) if not t}
+
+
 def test_overlaps_against_all_shifts():
     """Items and texts of few different words, so that much overlaps by chance: the same pairs as a search of every stretch at every shift."""
     r = random.Random(17)

@@ -17,6 +17,8 @@ SEEDS = ("11111", "110111", "11001011")
 MIN_WORDS, SHORTEST, MIN_SHARE = 13, 8, 0.8
 #: Words of test items in one block: bounds what is broadcast; further blocks take further passes.
 BLOCK_WORDS = 2_000_000
+#: Words of items that are compared with a text at once.
+AT_ONCE = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,6 +49,11 @@ class Index:
     vocabulary: dict[bytes, int]
     items: list[tuple[int, np.ndarray]]
     tables: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]
+    #: The words of all items one after another, where each item begins, how many words it has, and how many must be equal at least.
+    words: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    least: np.ndarray
 
 
 def build_index(items: list[tuple[int, str]], masks: tuple[str, ...] = SEEDS) -> Index:
@@ -62,7 +69,51 @@ def build_index(items: list[tuple[int, str]], masks: tuple[str, ...] = SEEDS) ->
         hs, ks, at = (np.concatenate([p[i] for p in parts]) for i in range(3))
         order = np.argsort(hs, kind="stable")
         tables.append((mask, hs[order].astype(np.uint64), ks[order], at[order]))
-    return Index(vocabulary, coded, tables)
+    sizes = np.array([len(ids) for _, ids in coded], np.int64)
+    words = np.concatenate([np.zeros(0, np.int64), *(ids for _, ids in coded)])
+    least = np.where(sizes < SHORTEST, sizes, np.ceil(MIN_SHARE * np.minimum(sizes, MIN_WORDS) - 1e-9).astype(np.int64))
+    return Index(vocabulary, coded, tables, words, np.cumsum(sizes) - sizes, sizes, least)
+
+
+def _ramps(sizes: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n, one after another."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _spans(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Runs of neighbours whose sizes add up to about most, one of a larger size by itself."""
+    start, sums = 0, np.cumsum(sizes)
+    while start < len(sizes):
+        end = max(start + 1, int(np.searchsorted(sums, most + (sums[start - 1] if start else 0), side="right")))
+        yield slice(start, end)
+        start = end
+
+
+def _lines(index: Index, ids: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Items and shifts at which an overlap may lie: those that a mask hits and at which enough words of the item are equal.
+
+    However many items have what a place shows (a prompt that thousands begin with), their hits are taken and their equal words counted
+    together, AT_ONCE words at a time; what a line costs by itself is paid for lines with enough equal words alone.
+    """
+    for mask, hs, ks, at in index.tables:
+        h, good = _hashes(ids, mask)
+        places = np.flatnonzero(good)
+        lo, hi = (np.searchsorted(hs, h[places], side=s) for s in ("left", "right"))
+        places, lo, n = places[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        for some in _spans(n, AT_ONCE // 4):
+            entries = np.repeat(lo[some], n[some]) + _ramps(n[some])
+            shifts = np.repeat(places[some], n[some]) - at[entries]
+            lines = np.unique(np.column_stack((ks[entries], shifts)), axis=0)
+            k, shift = lines[:, 0], lines[:, 1]
+            first = np.maximum(0, -shift)
+            width = np.minimum(index.sizes[k], len(ids) - shift) - first
+            for part in _spans(width, AT_ONCE):
+                step = _ramps(width[part])
+                own = index.words[np.repeat(index.starts[k[part]] + first[part], width[part]) + step]
+                equal = own == ids[np.repeat(first[part] + shift[part], width[part]) + step]
+                counts = np.add.reduceat(equal, np.cumsum(width[part]) - width[part], dtype=np.int64)
+                enough = counts >= index.least[k[part]]
+                yield from zip(k[part][enough].tolist(), shift[part][enough].tolist(), strict=True)
 
 
 def _longest(equal: np.ndarray) -> tuple[int, int]:
@@ -78,20 +129,8 @@ def overlaps(index: Index, text: bytes) -> list[tuple[int, int, int, int]]:
     """(item_id, first word, words, equal words) for each verified overlap of a text with an item."""
     get = index.vocabulary.get
     ids = np.fromiter((get(w, 0) for w in words_of(text)), np.int64)
-    lines = set()
-    for mask, hs, ks, at in index.tables:
-        h, good = _hashes(ids, mask)
-        places = np.flatnonzero(good)
-        if not len(places) or not len(hs):
-            continue
-        lo = np.searchsorted(hs, h[places])
-        hit = (lo < len(hs)) & (hs[np.minimum(lo, len(hs) - 1)] == h[places])
-        for p, x in zip(places[hit].tolist(), lo[hit].tolist(), strict=True):
-            while x < len(hs) and hs[x] == h[p]:
-                lines.add((int(ks[x]), p - int(at[x])))
-                x += 1
     found = {}
-    for k, shift in lines:
+    for k, shift in sorted(set(_lines(index, ids))):
         item, own = index.items[k]
         lo, hi = max(0, -shift), min(len(own), len(ids) - shift)
         equal = (own[lo:hi] == ids[lo + shift : hi + shift]).astype(np.int64)
