@@ -82,17 +82,20 @@ def per_tick_volume(bars: DataFrame, order: list[str], ts: str = "timestamp", vo
     """bars with per_tick_volume, by symbol in the order of arrival; rows without a volume or time are dropped, and no symbol is a symbol too.
 
     The row before is looked for inside a bucket of every units of the first column of order; the last row of each bucket, a small
-    table, carries over to the next, so that a symbol with most of the rows is spread over its buckets. Their width changes no result.
+    table, carries over to the next, so that a symbol with most of the rows is spread over its buckets. Their width changes no result. The rows
+    cross the network once; for the bucket ends, four columns are read again and combined before their shuffle, so bars that are costly to make
+    are better stored first. Keys are never null, so that the join needs no keys of its own.
     """
-    rows = bars.where(F.col(ts).isNotNull() & F.col(volume).isNotNull()).withColumn("_bucket", F.floor(F.col(order[0]) / every))
+    key = ["_symbol", "_none", "_bucket"]
+    rows = bars.where(F.col(ts).isNotNull() & F.col(volume).isNotNull())
+    rows = rows.withColumns({"_symbol": F.coalesce(F.col("symbol"), F.lit("")), "_none": F.col("symbol").isNull(), "_bucket": F.coalesce(F.floor(F.col(order[0]) / every), F.lit(-(1 << 62)))})
     last = F.max_by(F.struct(F.col(volume).alias("volume"), F.col(ts).alias("ts")), F.struct(*order)).alias("_last")
-    ends = rows.groupBy("symbol", "_bucket").agg(last)
-    carried = ends.select(F.col("symbol").alias("_symbol"), F.col("_bucket").alias("_of"), F.lag("_last").over(Window.partitionBy("symbol").orderBy("_bucket")).alias("_carried"))
-    w = Window.partitionBy("symbol", "_bucket").orderBy(*order)
-    rows = rows.withColumns({"_v": F.lag(volume).over(w), "_t": F.lag(ts).over(w)})
-    rows = rows.join(carried, F.col("symbol").eqNullSafe(F.col("_symbol")) & F.col("_bucket").eqNullSafe(F.col("_of")), "left")
-    before = lambda own, of: F.coalesce(F.col(own), F.col(f"_carried.{of}"), F.lit(0))
-    made = tick_volume(F.col(volume), F.col(ts), before("_v", "volume"), before("_t", "ts"))
+    ends = rows.groupBy(*key).agg(last)
+    before = F.lag("_last").over(Window.partitionBy("_symbol", "_none").orderBy("_bucket"))
+    carried = ends.select(*key, before.alias("_carried")).select(*key, F.col("_carried.volume").alias("_cv"), F.col("_carried.ts").alias("_ct"))
+    w = Window.partitionBy(*key).orderBy(*order)
+    rows = rows.withColumns({"_v": F.lag(volume).over(w), "_t": F.lag(ts).over(w)}).join(carried, key, "left")
+    made = tick_volume(F.col(volume), F.col(ts), F.coalesce("_v", "_cv", F.lit(0)), F.coalesce("_t", "_ct", F.lit(0)))
     return rows.select(*bars.columns, made.alias("per_tick_volume"))
 
 

@@ -29,11 +29,11 @@ def ms(c: str):
 
 
 def a3_vwap(spark: SparkSession, d: str) -> DataFrame:
-    return market.tick_bar_vwap(S.ticks(spark, d), S.bars(spark, d), S.WIDTH_MS, S.DAY_MS, ("timestamp", "event_id"))
+    return market.tick_bar_vwap(S.ticks(spark, d), stored(S.bars(spark, d)), S.WIDTH_MS, S.DAY_MS, ("timestamp", "event_id"))
 
 
 def t4_volume(spark: SparkSession, d: str) -> DataFrame:
-    return market.per_tick_volume(S.bars(spark, d), ["timestamp", "event_id"]).select("event_id", "symbol", "timestamp", "per_tick_volume")
+    return market.per_tick_volume(stored(S.bars(spark, d)), ["timestamp", "event_id"]).select("event_id", "symbol", "timestamp", "per_tick_volume")
 
 
 def j2_pairs(spark: SparkSession, d: str) -> DataFrame:
