@@ -98,13 +98,21 @@ def _lines(index: Index, ids: np.ndarray) -> Iterator[tuple[int, int]]:
     for mask, hs, ks, at in index.tables:
         h, good = _hashes(ids, mask)
         places = np.flatnonzero(good)
-        lo, hi = (np.searchsorted(hs, h[places], side=s) for s in ("left", "right"))
-        places, lo, n = places[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        lo = np.searchsorted(hs, h[places])
+        hit = hs[np.minimum(lo, len(hs) - 1)] == h[places]
+        if not hit.any():
+            continue
+        places, lo = places[hit], lo[hit]
+        n = np.searchsorted(hs, h[places], side="right") - lo
         for some in _spans(n, AT_ONCE // 4):
             entries = np.repeat(lo[some], n[some]) + _ramps(n[some])
             shifts = np.repeat(places[some], n[some]) - at[entries]
-            lines = np.unique(np.column_stack((ks[entries], shifts)), axis=0)
-            k, shift = lines[:, 0], lines[:, 1]
+            k, shift = ks[entries], shifts
+            if len(k) > 1:  # hits of one line follow each other in a text, and are one
+                order = np.lexsort((shift, k))
+                k, shift = k[order], shift[order]
+                new = np.concatenate(([True], (np.diff(k) != 0) | (np.diff(shift) != 0)))
+                k, shift = k[new], shift[new]
             first = np.maximum(0, -shift)
             width = np.minimum(index.sizes[k], len(ids) - shift) - first
             for part in _spans(width, AT_ONCE):
