@@ -231,6 +231,26 @@ def test_masks_meet_every_overlap():
         assert met.all(), n
 
 
+def test_leaders_beyond_the_broadcast(spark):
+    """The same texts are near their leader, whether its shingles are broadcast or joined."""
+    base = [np.unique(np.array([R.getrandbits(60) for _ in range(200)], np.uint64)) for _ in range(3)]
+    rows, sets, want = [], [], set()
+    for component, leader in enumerate(base):
+        for i in range(30):
+            key = component * 100 + i
+            own = leader if i == 0 else np.unique(np.concatenate([leader[: 200 - 3 * i], np.array([R.getrandbits(60) for _ in range(i)], np.uint64)]))
+            common = len(np.intersect1d(own, leader))
+            want |= {(key, component * 100)} if common >= 0.8 * (len(own) + len(leader) - common) else set()
+            rows.append((key, component, component * 100, own.nbytes))
+            sets.append((key, own.tobytes()))
+    large = spark.createDataFrame(rows, "key long, component long, leader long, bytes long").repartition(3)
+    sets = spark.createDataFrame(sets, "key long, own binary")
+    assert 3 < len(want) < 90
+    for most in (32 << 20, 0):
+        assert {tuple(r) for r in simhash_dedup.near_leaders(large, sets, most).collect()} == want
+        assert simhash_dedup.near_leaders(large.limit(0), sets, most).collect() == []
+
+
 def test_overlaps_with_substitutions_and_short_items():
     r = random.Random(5)
     found = lambda item, text: {o[0] for o in decontaminate.overlaps(decontaminate.build_index([(1, " ".join(item))]), " ".join(text).encode())}

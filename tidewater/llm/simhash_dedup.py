@@ -274,27 +274,29 @@ def _blocks(block: int) -> Column:
     return F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
 
 
-def near_leaders(large: DataFrame, sets: DataFrame) -> DataFrame:
+def near_leaders(large: DataFrame, sets: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """key and leader for the texts of large (key, component, leader, bytes) that are similar to their component's leader.
 
-    The leaders' shingle sets go to all tasks if their known sizes allow; else no text is near a leader, and blocks do all the work.
+    The leaders' shingle sets go to all tasks while their known sizes allow. Beyond that a text meets its leader's set in a plain join on the
+    component, in which adaptive execution splits one that many texts have.
     """
     leaders = stored(large.where("key = leader").select("component", "key", "bytes"))
-    if not 0 < (leaders.agg(F.sum("bytes")).first()[0] or 0) <= BROADCAST_BYTES:
-        return large.where("false").select("key", "leader")
-    rows = leaders.join(sets, "key").select("component", "own").collect()
-    shared = large.sparkSession.sparkContext.broadcast({r["component"]: np.frombuffer(r["own"], np.uint64) for r in rows})
+    known = 0 < (leaders.agg(F.sum("bytes")).first()[0] or 0) <= broadcast_bytes
+    theirs = leaders.join(sets, "key").select("component", F.col("own").alias("theirs"))
+    of: dict[int, np.ndarray] = {r["component"]: np.frombuffer(r["theirs"], np.uint64) for r in theirs.collect()} if known else {}
+    shared = large.sparkSession.sparkContext.broadcast(of)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = []
-            for component, own in zip(batch.column("component").to_pylist(), batch.column("own"), strict=True):
-                a, b = np.frombuffer(own.as_buffer(), np.uint64), shared.value[component]
+            for i, (component, own) in enumerate(zip(batch.column("component").to_pylist(), batch.column("own"), strict=True)):
+                a, b = np.frombuffer(own.as_buffer(), np.uint64), shared.value[component] if known else np.frombuffer(batch.column("theirs")[i].as_buffer(), np.uint64)
                 common = np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)
                 near.append(common >= SIMILAR * (len(a) + len(b) - common) - 1e-9)
             yield batch.filter(pa.array(near, pa.bool_())).select(["key", "leader"])
 
     rows = large.select("key", "component", "leader").join(sets, "key").select("key", "leader", "component", "own")
+    rows = rows if known else stored(rows).join(stored(theirs), "component")
     return rows.mapInArrow(compare, "key long, leader long")
 
 
