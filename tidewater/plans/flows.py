@@ -8,7 +8,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from tidewater.operators import articles, enrich, market, media_items, posts, summaries
 from tidewater.plans import standins as S
-from tidewater.sources import envelope, intake, objects, points, sinks
+from tidewater.sources import envelope, files, intake, objects, points, sinks
 from tidewater.sources.scratch import shared_dir, stored
 from tidewater.streaming import late, market_stream
 
@@ -213,6 +213,26 @@ def k1_once(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("scraped_day").cast("string").alias("scraped_day"), "source_file", "n", "first_checksum", F.lit(written[0]["n_written"] + written[1]["n_written"]).alias("n_all"), F.lit(written[2]["n_bad_checksum"]).alias("n_bad"))
 
 
+def s6_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of single files of a table over several days: each scan names a day and a file, and reads one folder."""
+    path, rows = shared_dir(spark), news_over_days(spark, d)
+    intake.append_once(rows, path)
+    table = spark.read.schema(rows.schema.add("scraped_day", "date").add("file_key", "string")).parquet(path)
+    asked = [("2023-11-14", "news/en/0"), ("2023-11-15", "news/en/1"), ("2023-11-14", "news/en/1"), ("2023-11-14", "news/none")]
+    found = [intake.scan_file(table, day, file).select(F.lit(i).alias("scan"), "id", "checksum_sha256") for i, (day, file) in enumerate(asked)]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
+def s2_names(spark: SparkSession, d: str) -> DataFrame:
+    """Files by their base names, with the number of their records; a glob that no file fits adds nothing."""
+    path = shared_dir(spark)
+    made = envelope.build_envelopes(S.raw_news(spark, d), "news", "of_file", [f for f in articles.RAW_FIELDS if f != "related"], scraped(), part="part")
+    sinks.write_envelopes(made, path, envelope.envelope_key("news", F.col("of_file"), scraped(), part=F.col("part")))
+    raw = files.read_envelopes(spark, f"{path}/news/*/*.json").unionByName(files.read_envelopes(spark, f"{path}/other/*/*.json"))
+    rows = envelope.explode_records(raw, "news", keep=["source_file", "source_path"])
+    return rows.groupBy(F.element_at(F.split("source_path", "/"), -2).alias("of_file"), "source_file").agg(F.count("*").alias("n"))
+
+
 #: Posts that pass the file gate, but for two kinds of rows.
 _SOUND = {
     "id": "concat(CASE WHEN doc_id % 37 = 0 THEN 'p_' ELSE 'p' END, doc_id)", "num_comments": "cast(CASE WHEN doc_id % 41 = 0 THEN -1 ELSE doc_id % 11 END AS int)", "upvote_ratio": "(doc_id % 101) / 100.0D",
@@ -287,7 +307,7 @@ def e5_sentiment(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "K6_tick_points": k6_ticks, "K5_vwap_points_by_batch": k5_vwap, "K7_partition_retention": k7_partitions, "A6_Q2_Q3_rollup": a6_rollup, "T7_exact_late": t7_exact, "T3_backfill_stream": t3_backfill,
-    "T5_A3_unknown": t5_unknown, "S3_K12_intake": s3_intake, "K1_append_once": k1_once, "P2_many_posts": p2_many, "P7_rejected_files": p7_rejections, "M14_M16_binary_files": m14_files,
+    "T5_A3_unknown": t5_unknown, "S3_K12_intake": s3_intake, "K1_append_once": k1_once, "S6_file_scan": s6_scan, "S2_base_names": s2_names, "P2_many_posts": p2_many, "P7_rejected_files": p7_rejections, "M14_M16_binary_files": m14_files,
     "E2_extractive_summaries": e2_summaries, "E5_fitted_sentiment": e5_sentiment,
 }
 
@@ -343,6 +363,9 @@ a AS (SELECT source_file AS own, count(*) AS n FROM articles GROUP BY 1)
 SELECT source_file, 1 AS n_batches, CASE WHEN refused THEN 0 ELSE coalesce(n, 0) END AS n_written, CASE WHEN refused THEN 0 ELSE coalesce(n, 0) END AS n_rows, CASE WHEN NOT refused AND n > 0 THEN scraped_at END AS scraped_at, refused FROM f LEFT JOIN a USING (own)""",
     "K1_append_once": f"""WITH {N.replace(_DAYS, f"{_DAYS} + (doc_id // 100) % 3 * 86400")}
 SELECT strftime(to_timestamp(scraped) AT TIME ZONE 'UTC', '%Y-%m-%d') AS scraped_day, source_file, count(*) AS n, min(checksum_sha256) AS first_checksum, (SELECT count(*) FROM articles) AS n_all, 0 AS n_bad FROM articles GROUP BY 1, 2""",
+    "S6_file_scan": f"""WITH {N.replace(_DAYS, f"{_DAYS} + (doc_id // 100) % 3 * 86400")}
+SELECT CASE source_file WHEN 'news/en/0' THEN 0 ELSE 1 END AS scan, id, checksum_sha256 FROM articles WHERE source_file IN ('news/en/0', 'news/en/1')""",
+    "S2_base_names": f"""WITH {N} SELECT of_file, split_part({_NAMED}, '/', 3) AS source_file, count(*) AS n FROM raw GROUP BY of_file, part""",
     "P2_many_posts": f"""WITH {_POST}, f AS (SELECT lang, f, count(*) AS post_count FROM posts GROUP BY 1, 2 HAVING NOT bool_or(bad_id OR bad_count))
 SELECT id, lang AS subreddit, greatest(doc_id % 13 - 3, 0) AS score, doc_id % 11 AS num_comments, 'posts/' || lang || '/' || f AS source_file, post_count FROM posts JOIN f USING (lang, f)
 WHERE 1700000000 + doc_id * 10.5 <= 1700003000 + f * 400 + 3600""",

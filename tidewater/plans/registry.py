@@ -315,9 +315,9 @@ def k12_handoff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def k8_table(spark: SparkSession, d: str) -> DataFrame:
-    """Articles in a table made by DDL, partitioned by day."""
+    """Articles of several days in a table made by DDL, partitioned by day."""
     path, name = shared_dir(spark), f"articles_{uuid.uuid4().hex}"
-    rows = news_table(spark, d)
+    rows = flows.news_over_days(spark, d)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}{' NOT NULL' if f.name in articles.REQUIRED else ''}" for f in rows.schema)
     sinks.create_table(spark, name, schema, path)
     try:
@@ -535,7 +535,7 @@ SELECT source_file, n_clean, n_clean AS n_expected, n_written, bad AS n_bad_chec
     "K9_K8_gate": f"""WITH {N} SELECT 'not_null:id' AS rule, 0 AS n_bad UNION ALL SELECT 'not_null:headline', 0 UNION ALL SELECT 'not_null:image_url', count(*) FROM articles WHERE image_url IS NULL
 UNION ALL SELECT 'enum:category', count(*) FROM articles WHERE category NOT IN ('en', 'fr', 'EN') UNION ALL SELECT 'unique:image_key', count(*) FROM (SELECT id % 100 FROM articles GROUP BY 1 HAVING count(*) > 1)""",
     "K12_A2_handoff": f"WITH {N} SELECT min(scraped) * 1000 AS first_scraped_at, max(scraped) * 1000 AS latest_scraped_at FROM articles",
-    "K8_table": f"WITH {N} SELECT '2023-11-14' AS scraped_day, source_file, count(*) AS n, min(checksum_sha256) AS first_checksum FROM articles GROUP BY 2",
+    "K8_table": flows.SQL["K1_append_once"].replace(", (SELECT count(*) FROM articles) AS n_all, 0 AS n_bad", ""),
     "W6_first_rows": f"WITH {N} SELECT id, headline FROM articles ORDER BY dt DESC, id LIMIT 10",
     "E6_annotation": "SELECT doc_id, CASE WHEN doc_id % 4 > 1 THEN lang END AS label, CASE WHEN doc_id % 4 > 1 AND doc_id % 3 > 0 AND doc_id % 5 > 0 THEN CAST(doc_id % 7 AS DOUBLE) END AS confidence FROM documents",
     "E2_E5_plugin": rf"""WITH {N}, s AS (SELECT *, CASE WHEN length(summary) < 50 THEN array_to_string(string_split(headline, ' ')[1:10], ' ') ELSE summary END AS final FROM articles), c AS (SELECT *, length(headline || '. ' || final) AS n FROM s)
