@@ -231,6 +231,22 @@ def test_masks_meet_every_overlap():
         assert met.all(), n
 
 
+def test_recall_of_near_copies(spark):
+    """All pairs of a whole table at a similarity of 0.8 or more, found through the shingles that they share, are in one group each."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    group = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_groups(docs).collect()}
+    sets, holders = {d: frozenset(simhash_dedup.shingles(t.encode()).tolist()) for d, t in plain(docs)}, {}
+    for d, own in sets.items():
+        for s in own:
+            holders.setdefault(s, []).append(d)
+    near = Counter(pair for ids in holders.values() for pair in itertools.combinations(sorted(ids), 2))
+    found = [(a, b) for (a, b), n in near.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) - 1e-9]
+    assert sum(sets[a] != sets[b] for a, b in found) >= 10
+    assert all(group[a] == group[b] for a, b in found)
+    linked = {x for pair in found for x in pair}
+    assert all(group[d] == d for d in group if d not in linked and sets[d])
+
+
 def test_leaders_beyond_the_broadcast(spark):
     """The same texts are near their leader, whether its shingles are broadcast or joined."""
     base = [np.unique(np.array([R.getrandbits(60) for _ in range(200)], np.uint64)) for _ in range(3)]
