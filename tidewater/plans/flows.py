@@ -152,13 +152,31 @@ def t3_backfill(spark: SparkSession, d: str) -> DataFrame:
     return done.unionByName(spark.read.schema("event_id long, symbol string, timestamp long, per_tick_volume long").parquet(f"{path}/out"))
 
 
-def t5_unknown(spark: SparkSession, d: str) -> DataFrame:
-    """The whole market flow with bars and ticks that say no symbol, and bars that say no source."""
+def anonymous(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Ticks and bars, some of which say no symbol, and bars that say no source."""
     symbol = F.when(F.col("user_id") % 5 > 0, F.col("symbol")).alias("symbol")
     rows = S.events(spark, d)
     ticks = rows.select(symbol, "timestamp", F.col("value").alias("price"))
-    bars = rows.select("event_id", symbol, "timestamp", F.ceil("value").cast("long").alias("volume"), F.when(F.col("user_id") % 3 > 0, F.concat(F.lit("exchange"), F.col("user_id") % 3)).alias("data_source"))
-    return market.tick_bar_vwap(ticks, bars, S.WIDTH_MS, S.DAY_MS, ("timestamp", "event_id"))
+    source = F.when(F.col("user_id") % 3 > 0, F.concat(F.lit("exchange"), F.col("user_id") % 3)).alias("data_source")
+    return ticks, rows.select("event_id", symbol, "timestamp", F.ceil("value").cast("long").alias("volume"), source)
+
+
+def t5_unknown(spark: SparkSession, d: str) -> DataFrame:
+    """The whole market flow in batch form."""
+    return market.tick_bar_vwap(*anonymous(spark, d), S.WIDTH_MS, S.DAY_MS, ("timestamp", "event_id"))
+
+
+def j1_unknown(spark: SparkSession, d: str) -> DataFrame:
+    """The same over streams of ticks and of per-bar volumes: windows that the watermark has closed."""
+    path, (ticks, bars) = shared_dir(spark), anonymous(spark, d)
+    volumes = market.per_tick_volume(bars.withColumn("symbol", market.keyed(F.col("symbol"))), ["timestamp", "event_id"])
+    ticks.write.parquet(f"{path}/ticks")
+    volumes.select(F.nullif("symbol", F.lit("unknown")).alias("symbol"), "timestamp", "per_tick_volume", "data_source").write.parquet(f"{path}/volumes")
+    ticks = spark.readStream.schema("symbol string, timestamp long, price double").parquet(f"{path}/ticks")
+    volumes = spark.readStream.schema("symbol string, timestamp long, per_tick_volume long, data_source string").parquet(f"{path}/volumes")
+    pairs = market_stream.interval_join_stream(market_stream.event_time(ticks), market_stream.event_time(volumes), S.WIDTH_MS // 1000)
+    to_end(market_stream.vwap_stream(pairs, "1 day").writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out"))
+    return spark.read.schema("symbol string, window_end long, vwap double, n_pairs long, data_source string").parquet(f"{path}/out")
 
 
 # Files
@@ -307,7 +325,7 @@ def e5_sentiment(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "K6_tick_points": k6_ticks, "K5_vwap_points_by_batch": k5_vwap, "K7_partition_retention": k7_partitions, "A6_Q2_Q3_rollup": a6_rollup, "T7_exact_late": t7_exact, "T3_backfill_stream": t3_backfill,
-    "T5_A3_unknown": t5_unknown, "S3_K12_intake": s3_intake, "K1_append_once": k1_once, "S6_file_scan": s6_scan, "S2_base_names": s2_names, "P2_many_posts": p2_many, "P7_rejected_files": p7_rejections, "M14_M16_binary_files": m14_files,
+    "T5_A3_unknown": t5_unknown, "J1_T5_unknown_stream": j1_unknown, "S3_K12_intake": s3_intake, "K1_append_once": k1_once, "S6_file_scan": s6_scan, "S2_base_names": s2_names, "P2_many_posts": p2_many, "P7_rejected_files": p7_rejections, "M14_M16_binary_files": m14_files,
     "E2_extractive_summaries": e2_summaries, "E5_fitted_sentiment": e5_sentiment,
 }
 
@@ -392,3 +410,4 @@ SELECT id, sha256(summary) AS summary_sha256, CASE WHEN p >= 0.5 THEN 'positive'
 SELECT page_id, CASE WHEN n <= 4000 THEN (['image/jpeg', 'image/png', 'image/gif', 'image/webp', 'video/mp4', 'video/webm', 'video/x-msvideo', NULL])[k + 1] END AS true_mime, n AS processed_bytes,
 CASE WHEN n > 4000 THEN 'exceeds limit of 4000 bytes' WHEN n < 100 THEN 'content too small' END AS failure FROM x""",
 }
+SQL["J1_T5_unknown_stream"] = f"SELECT * FROM ({SQL['T5_A3_unknown']}) t WHERE window_end < (SELECT max(window_end) FROM ({SQL['T5_A3_unknown']}) u)"
