@@ -50,6 +50,16 @@ def test_against_plain(spark, monkeypatch, n, dims, every, settings):
     assert want and Counter(tuple(r[c] for c in COLUMNS) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("share", [1, 2])
+def test_sample_of_any_size(spark, monkeypatch, share):
+    """What the sample leaves out is never among the best: as many candidates as there are results where it has all rows, and the same results."""
+    monkeypatch.setattr(hn, "SHARE", share)
+    rows = table(400, 4)
+    df = spark.createDataFrame([(*r, *EXTRA) for r in rows], SCHEMA).repartition(7)
+    want = plain_version(rows, lambda i: i % 9 == 0, 5, 10, 30, 90)
+    assert Counter(tuple(r[c] for c in COLUMNS) for r in hn.mine_hard_negatives(df, df.where("vec_id % 9 = 0")).collect()) == want
+
+
 def test_empty(spark):
     df = spark.createDataFrame([(*r, *EXTRA) for r in table(20, 3)], SCHEMA)
     none = df.limit(0)
@@ -70,7 +80,7 @@ def test_best_cut(monkeypatch):
     monkeypatch.setattr(hn, "HELD", 7)
     import numpy as np
 
-    rows, best = [(R.randrange(4), R.randrange(6), i) for i in range(200)], hn.Best(4, 3)
+    rows, best = [(R.randrange(4), R.randrange(6), i) for i in range(200)], hn.Best(np.full(4, -1), 3)
     for at in range(0, 200, 9):
         best.add(*(np.array(c, np.int64) for c in zip(*rows[at : at + 9], strict=True)))
     group, score, own = best.cut()

@@ -15,6 +15,8 @@ POSITIVES, NEGATIVES, LOW, HIGH, SCALE = 5, 10, 30, 90, 256
 LIMIT = 1 << 28
 #: Bytes of vectors of the anchors that meet all rows in one pass.
 BLOCK_BYTES = 8 << 20
+#: One row of so many tells, before the whole search, what scores it need not look for.
+SHARE = 64
 #: Rows and anchors that are multiplied at once, and candidates that are held before they are cut to the best.
 ROWS, ANCHORS, HELD = 4096, 512, 1 << 19
 
@@ -46,8 +48,8 @@ def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 class Best:
     """The first k (score, id) of each group, higher scores first, ties by smaller id."""
 
-    def __init__(self, groups: int, k: int) -> None:
-        self.k, self.floor, self.size = k, np.full(groups, np.iinfo(np.int64).min), 0
+    def __init__(self, floor: np.ndarray, k: int) -> None:
+        self.k, self.floor, self.size = k, floor.copy(), 0
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, group: np.ndarray, score: np.ndarray, own: np.ndarray) -> None:
@@ -76,18 +78,24 @@ Scan = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 FOUND = "place long, slot int, score long, id long"
 
 
-def scanner(queries: pa.Table, slots: int, k: int, same_label: bool, scale: int) -> Scan:
+def scanner(queries: pa.Table, slots: int, k: int, same_label: bool, scale: int, known: pa.Table | None = None) -> Scan:
     """A task's part of the search: of all rows it reads, the k best of each slot of each query.
 
-    queries: place, vec_id, label, vector and, for each slot, uppers and lowers (both ends count). Rows of the query's own id are left out.
+    queries: place, vec_id, label, vector and, for each slot, uppers and lowers (both ends count). Rows of the query's own id are left out. known:
+    place, slot and a score that k rows of the slot reach; what is below it is left out.
     """
     at, ids, labels, q = integers(queries.combine_chunks().to_batches()[0], scale)
     place, limits = (queries.select(c).combine_chunks() for c in (["place"], ["uppers", "lowers"]))
     place = place.column(0).to_numpy()[at]
+    floors = np.full(len(at) * slots, np.iinfo(np.int64).min)
+    if known is not None:
+        of_place, spot, score = (known.column(c).to_numpy() for c in ("place", "slot", "score"))
+        order = np.argsort(place)
+        floors[order[np.searchsorted(place[order], of_place)] * slots + spot] = score
     high, low = (np.array(limits.column(c).to_pylist(), np.int64).reshape(-1, slots)[at] for c in ("uppers", "lowers"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, seen = Best(len(at) * slots, k), 0
+        best, seen = Best(floors, k), 0
         for batch in batches:
             start = 0
             while start < batch.num_rows:
@@ -115,16 +123,22 @@ def scanner(queries: pa.Table, slots: int, k: int, same_label: bool, scale: int)
 def search(rows: DataFrame, queries: DataFrame, blocks: int, slots: int, k: int, same_label: bool, scale: int) -> DataFrame:
     """The k best rows of each slot of each query: a pass over all rows for each block of queries, whose size is bounded.
 
-    Tasks keep the best of what they read, so at most k rows a slot and task are shuffled.
+    Before it, a pass over one row of SHARE, by a hash of its id, tells for each slot a score that k rows reach. No row below that is among the
+    best, so tasks leave it out: all of them together find about SHARE times k rows a slot, and each k at most, and the result is that of
+    all rows.
     """
     spark, path = rows.sparkSession, shared_dir(rows.sparkSession)
+    order = Window.partitionBy("place", "slot").orderBy(F.desc("score"), "id")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(SHARE)) == 0)
     for block in range(blocks):
-        some = queries.where(F.col("block") == block).drop("block").toArrow()
-        if some.num_rows:
-            rows.mapInArrow(scanner(some, slots, k, same_label, scale), FOUND).write.parquet(f"{path}/block={block}")
-    found = spark.createDataFrame([], FOUND) if not queries.count() else spark.read.schema(FOUND).parquet(path)
-    rank = F.row_number().over(Window.partitionBy("place", "slot").orderBy(F.desc("score"), "id"))
-    return found.select("place", "slot", "score", "id").withColumn("rank", rank).where(F.col("rank") <= k)
+        own = queries.where(F.col("block") == block).drop("block").toArrow()
+        if own.num_rows:
+            first = ranked(sample.mapInArrow(scanner(own, slots, k, same_label, scale), FOUND))
+            known = first.where(F.col("rank") == k).select("place", "slot", "score").toArrow()  # one row for each slot of the block, at most
+            rows.mapInArrow(scanner(own, slots, k, same_label, scale, known), FOUND).write.parquet(f"{path}/block={block}")
+    found = spark.createDataFrame([], FOUND) if queries.isEmpty() else spark.read.schema(FOUND).parquet(path)
+    return ranked(found.select("place", "slot", "score", "id"))
 
 
 def mine_hard_negatives(
@@ -138,8 +152,8 @@ def mine_hard_negatives(
 
     The positives' upper limits, in descending order, split scores into disjoint slots. Every task keeps the best of each slot, these are
     merged, and a positive's answer is the merge of its slot and all below it, up to the number of negatives, of which those under its lower limit
-    go: one scan answers all windows of an anchor, however they overlap. Anchors meet all rows in blocks of block_bytes of vectors; nothing
-    is sampled, and no label, however frequent, is gathered anywhere.
+    go: one scan answers all windows of an anchor, however they overlap. Anchors meet all rows in blocks of block_bytes of vectors; a sample
+    only tells what need not be looked for, and no label, however frequent, is gathered anywhere.
 
     Rows with a null vec_id, label, vector or component, or with a component that isn't finite, take no part. Repeated rows count each,
     but rows of the anchor's own vec_id never are its positives or negatives; anchors alike in all three columns are answered once. Missing components
