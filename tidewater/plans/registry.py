@@ -301,6 +301,14 @@ def v_report(spark: SparkSession, d: str) -> DataFrame:
     return verify.verify_write(spoiled, expected, "news")
 
 
+def v3_verified(spark: SparkSession, d: str) -> DataFrame:
+    """One verdict over the report of a write that was spoiled, and one over a write that wasn't."""
+    rows = stored(news_table(spark, d))
+    expected = rows.groupBy("source_file").agg(F.count("*").alias("n_clean")).withColumn("n_expected", F.col("n_clean"))
+    good = verify.all_verified(verify.verify_write(rows, expected, "news")).withColumn("report", F.lit("whole"))
+    return verify.all_verified(v_report(spark, d)).withColumn("report", F.lit("spoiled")).unionByName(good)
+
+
 def a7_summary(spark: SparkSession, d: str) -> DataFrame:
     return verify.batch_summary(news_table(spark, d)).select("source_file", "n_written", ms("latest_scraped_at"))
 
@@ -483,7 +491,7 @@ QUERIES = {
     "T3_T1_stream_volume": t3_stream, "J1_T6_stream_vwap": j1_t6_stream, "T10_restart": t10_restart, "K5_vwap_points": k5_points, "T9_fan_out": t9_fan_out, "T7_late_rows": t7_late, "S4_K11_topic": k11_topic,
     "K8_table": k8_table, "K4_jdbc_upsert": k4_jdbc, "W6_first_rows": w6_first, "E2_E5_plugin": e2_plugin, "E6_annotation": e6_annotation, "M14_M16_media_facts": m14_facts,
     "R1_R8_P14_article_rules": news_rules, "H1_H3_article_checksum": h1_checksum, "P1_P8_news_files": p1_news, "P1_file_gate": p1_gate, "S1_S3_K10_file_scan": s1_scan, "K1_K3_S6_append": k1_append, "S5_table_scan": s5_scan,
-    "W4_newest_article": w4_newest, "V1_V4_H4_write_report": v_report, "A7_A1_batch_summary": a7_summary, "K9_K8_gate": k9_gate, "K12_A2_handoff": k12_handoff, "E1_E7_enrich": e_enrich,
+    "W4_newest_article": w4_newest, "V1_V4_H4_write_report": v_report, "V3_verified": v3_verified, "A7_A1_batch_summary": a7_summary, "K9_K8_gate": k9_gate, "K12_A2_handoff": k12_handoff, "E1_E7_enrich": e_enrich,
     "R9_R16_P15_post_rules": post_rules, "H2_post_checksum": h2_checksum, "P2_P9_A5_post_files": p2_posts, "W1_keep_latest": w1_latest, "K2_upsert": k2_upsert, "W2_merge_latest": w2_merge, "W3_whole_row_dedup": w3_distinct, "P10_P11_times": p10_times,
     "M1_M5_media_urls": m1_urls, "M6_M8_post_media": m8_post_media, "M9_M15_media_items": m9_items, "M9_post_items": m9_posts, "A4_media_stats": a4_stats,
 }
@@ -583,6 +591,8 @@ v AS (SELECT *, CASE WHEN mime IS NULL THEN 'content not found or of unknown typ
 c AS (SELECT *, CASE WHEN ve IS NULL THEN failure END AS ce FROM v), s AS (SELECT *, CASE WHEN ve IS NULL AND ce IS NULL AND size > 52428800 THEN 'exceeds limit of 52428800 bytes' END AS se FROM c),
 o AS (SELECT id, pos, CASE kind WHEN 'image' THEN 'jpeg' ELSE 'mp4' END AS fmt, size, ve, ce, se, ve IS NULL AND ce IS NULL AND se IS NULL AS good FROM s)"""
 SQL |= {
+    "V3_verified": f"""SELECT 'spoiled' AS report, bool_and(count_ok AND checksum_ok) AS verified, CAST(sum(n_written) AS BIGINT) AS n_written FROM ({SQL["V1_V4_H4_write_report"]})
+UNION ALL SELECT 'whole', true, (SELECT count(*) FROM (WITH {N} SELECT 1 FROM articles))""",
     "M9_M15_media_items": f"""WITH {_ITEMS} SELECT id, pos, CASE WHEN good THEN 's3a://trusted-zone/processed_media/reddit/x/' || id || '-' || pos || '.' || fmt END AS tz_url, CASE WHEN good THEN fmt END AS tz_format,
 CASE WHEN good THEN size END AS tz_size_bytes, ve AS validation_error, ce AS conversion_error, se AS size_error FROM o""",
     "M9_post_items": f"WITH {_ITEMS} SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN -1 ELSE (SELECT count(*) FROM o WHERE o.id = doc_id AND good) END AS n FROM documents",
