@@ -587,6 +587,23 @@ def test_toxicity_of_an_unknown_vocabulary(spark):
     assert sum(p for p, y in held if y) >= 0.9 * sum(y for _, y in held) and sum(p for p, y in held if not y) <= 0.03 * len(held)
 
 
+def test_votes_overrule_wrong_labels(spark):
+    """One label of twenty is wrong: the classifier says of those rows what their texts are, and not what they are labelled."""
+    r, rows = random.Random(22), []
+    insults = [" ".join(r.sample(x.split(), 2)) for x in toxicity.LEXICONS.values() for _ in range(4)]
+    for i in range(1500):
+        words, toxic = [r.choice(WORDS) for _ in range(r.randrange(30, 200))], i % 6 == 0
+        for _ in range(3 + len(words) // 40 if toxic else 0):
+            words.insert(r.randrange(len(words)), r.choice(insults))
+        rows.append((i, " ".join(words), int(toxic), i % 20 == 7))
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, y ^ wrong) for i, _, y, wrong in rows], "doc_id long, toxic int")
+    got = {x["doc_id"]: x["predicted"] for x in toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).collect()}
+    wrong = [(i, y) for i, _, y, w in rows if w]
+    assert len(wrong) == 75 and sum(got[i] == y for i, y in wrong) >= 70
+    assert sum(got[i] == y for i, _, y, _ in rows) >= 0.97 * len(rows)
+
+
 def test_posterior_is_that_of_the_tables():
     """Every pattern, with and without a given label, and with silent voters: Bayes' rule by hand."""
     rng = np.random.default_rng(2)

@@ -291,8 +291,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> T
 
     At most bound labelled rows outside the held-out fold are learnt from, in five parts by a hash of the id. Two parts mine voters'
     stems, which are silent on those parts; two more tell, with the votes on all documents, how accurate and how
-    correlated voters and given labels are. The classifier is trained on the posteriors of these four parts; the last part, which
-    nothing else has seen, calibrates its score. With no labels, or those of one kind alone, all scores are low.
+    correlated voters and given labels are. The classifier is trained on the posteriors of these four parts that their votes have: the label
+    given to a row is not among them, so votes overrule it. The last part, which nothing else has seen, calibrates its score. With no labels, or those of one kind alone, all scores are low.
     """
     texts = documents(docs)
     chosen = stored(labelled(labels, "toxic", bound))
@@ -319,7 +319,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> T
     told = ys >= 0
     ws = np.where(told, ws, ws * min(1.0, LATENT * ws[told].sum() / max(1, ws[~told].sum())))
     model.label_model.fit(patterns, ys, ws, hidden)
-    p = model.label_model.posterior(patterns, ys, hidden)
+    p = model.label_model.posterior(patterns, None, hidden)  # of the votes: a given label tells how good voters are, and not what its row is
     soft = [(int(a), int(b == 0), int(y), float(q)) for a, y, b, q in zip(patterns, ys, hidden, p, strict=True) if y >= 0]
     soft = docs.sparkSession.createDataFrame(soft, "pattern long, half int, label int, p double")  # a row for each pattern at most
     train = seen.join(F.broadcast(soft), ["pattern", "half", "label"]).select("text", "p")
