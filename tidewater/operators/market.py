@@ -130,20 +130,58 @@ def vwap(pairs: DataFrame, window_ms: int = 60_000, ts: str = "ts", price: str =
 
 
 def vwap_columns(pairs: DataFrame, ts: str = "ts", price: str = "price", volume: str = "volume") -> list[Column]:
-    """Aggregates of one window of pairs, in batch and stream alike."""
-    total = F.sum(volume)
-    value = F.round(F.when(total > 0, F.sum(F.round(price, 6) * F.col(volume)) / total).otherwise(0.0), 6)
+    """Aggregates of one window of pairs, or of the sums of pairs that pair_sums gives, in batch and stream alike."""
+    total, summed = F.sum(volume), "weighted" in pairs.columns
+    weighted = F.col("weighted") if summed else F.round(price, 6) * F.col(volume)
+    value = F.round(F.when(total > 0, F.sum(weighted) / total).otherwise(0.0), 6)
     source = [F.max(F.struct(ts, "data_source"))["data_source"].alias("data_source")] if "data_source" in pairs.columns else []
-    return [value.alias("vwap"), F.count("*").alias("n_pairs"), *source]
+    return [value.alias("vwap"), (F.sum("n_pairs") if summed else F.count("*")).alias("n_pairs"), *source]
+
+
+def pair_sums(ticks: DataFrame, volumes: DataFrame, width_ms: int = 1000, ts: str = "timestamp", price: str = "price", volume: str = "volume") -> DataFrame:
+    """What interval_join's pairs add up to, without a pair being made: for each tick or bar that is the later of some pairs (of equal times, the
+    tick), its symbol and ts, the sums of round(price, 6) * volume (weighted) and of volume over these pairs, n_pairs, and their largest data_source where the
+    volumes have it.
+
+    A row goes to its own time bucket of that width and to the next. What a row pairs with is, of its own bucket, all up to its time, and, of
+    the bucket before, all from its time less the width on: sums from both ends of a bucket, so work and memory grow with the rows, however dense they
+    are, and nothing is subtracted.
+    """
+    has_source = "data_source" in volumes.columns
+    source = F.col("data_source") if has_source else F.lit(None).cast("string").alias("data_source")
+    none = F.lit(None)
+    rows = ticks.select("symbol", F.col(ts).alias("ts"), F.round(price, 6).cast("double").alias("p"), none.cast("long").alias("v"), none.cast("string").alias("data_source"), F.lit(True).alias("tick"))
+    rows = rows.union(volumes.select("symbol", F.col(ts).alias("ts"), none.cast("double").alias("p"), F.col(volume).alias("v"), source, F.lit(False).alias("tick")))
+    rows = rows.where("symbol IS NOT NULL AND ts IS NOT NULL").withColumn("moved", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = rows.withColumns({"bucket": F.floor(F.col("ts") / width_ms) + F.col("moved"), "at": F.col("ts") + F.col("moved") * width_ms})
+    w = Window.partitionBy("symbol", "bucket")
+    first = Window.unboundedPreceding
+    up, below, down = w.orderBy("at").rangeBetween(first, 0), w.orderBy("at").rangeBetween(first, -1), w.orderBy(F.desc("at")).rangeBetween(first, 0)
+    tick, own = F.col("tick"), F.col("moved") == 0
+    either = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), a + b).otherwise(F.coalesce(a, b))
+    sides = {}
+    for name, what, to_tick in (("v", F.col("v"), True), ("b", F.lit(1), True), ("p", F.col("p"), False), ("t", F.lit(1), False)):
+        of = ~tick if to_tick else tick
+        sides[f"_{name}0"] = F.sum(F.when(of & own, what)).over(up if to_tick else below)
+        sides[f"_{name}1"] = F.sum(F.when(of & ~own, what)).over(down)
+    if has_source:
+        sides |= {"_s0": F.max(F.when(~tick & own, F.col("data_source"))).over(up), "_s1": F.max(F.when(~tick & ~own, F.col("data_source"))).over(down)}
+    rows = rows.withColumns(sides).where(own)
+    made = {n: either(F.col(f"_{n}0"), F.col(f"_{n}1")) for n in "vbpt"}
+    out = rows.select(
+        "symbol", "ts", F.when(tick, F.col("p") * made["v"]).otherwise(F.col("v") * made["p"]).alias("weighted"), F.when(tick, made["v"]).otherwise(F.col("v") * made["t"]).alias("volume"),
+        F.when(tick, made["b"]).otherwise(made["t"]).alias("n_pairs"), *([F.when(tick, F.greatest("_s0", "_s1")).otherwise(F.col("data_source")).alias("data_source")] if has_source else []),
+    )
+    return out.where("n_pairs > 0")
 
 
 def tick_bar_vwap(ticks: DataFrame, bars: DataFrame, width_ms: int = 1000, window_ms: int = 60_000, order: tuple[str, ...] = ("timestamp",)) -> DataFrame:
-    """The whole flow: per-bar volume, interval join, mean by window of the later of both times; the bars' data_source is carried.
+    """The whole flow: per-bar volume, interval join, mean by window of the later of both times; the bars' data_source is carried. The pairs
+    of the join are summed where they meet (pair_sums), as there is no bound on how many a dense symbol has.
 
     Bars and ticks without a symbol are those of the symbol unknown, which counts its volume as any other does; no data_source is the source unknown.
     """
     source = [from_source()] if "data_source" in bars.columns else []
     bars = bars.withColumn("symbol", keyed(F.col("symbol")))
     volumes = per_tick_volume(bars, list(order)).select("symbol", "timestamp", F.col("per_tick_volume").alias("volume"), *source)
-    pairs = interval_join(ticks.select(keyed(F.col("symbol")).alias("symbol"), "timestamp", "price"), volumes, width_ms)
-    return vwap(pairs.withColumn("ts", F.greatest("timestamp", "right_timestamp")), window_ms)
+    return vwap(pair_sums(ticks.select(keyed(F.col("symbol")).alias("symbol"), "timestamp", "price"), volumes, width_ms), window_ms)
