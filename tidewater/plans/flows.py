@@ -61,17 +61,16 @@ def k6_ticks(spark: SparkSession, d: str) -> DataFrame:
 def k5_vwap(spark: SparkSession, d: str) -> DataFrame:
     """Windowed means that grow from batch to batch: each batch writes the windows that it changes, over what was there."""
     path = shared_dir(spark)
-    volumes = market.per_tick_volume(S.bars(spark, d), ["timestamp", "event_id"]).select("symbol", "timestamp", F.col("per_tick_volume").alias("volume"), "data_source")
-    pairs = market.interval_join(S.ticks(spark, d), volumes, S.WIDTH_MS)
-    pairs = stored(pairs.select("symbol", F.greatest("timestamp", "right_timestamp").alias("timestamp"), "price", "volume", "data_source"))
-    low, high = pairs.agg(F.min("timestamp"), F.max("timestamp")).first()
+    volumes = market.per_tick_volume(stored(S.bars(spark, d)), ["timestamp", "event_id"]).select("symbol", "timestamp", F.col("per_tick_volume").alias("volume"), "data_source")
+    sums = stored(market.pair_sums(S.ticks(spark, d), volumes, S.WIDTH_MS).withColumnRenamed("ts", "timestamp"))
+    low, high = sums.agg(F.min("timestamp"), F.max("timestamp")).first()
     third = F.floor((F.col("timestamp") - (low or 0)) * 3 / ((high or 0) - (low or 0) + 1))
 
     def sink(stream: DataFrame) -> DataStreamWriter:
-        rows = market_stream.event_time(stream).select("symbol", "ts", "price", "volume", "data_source")
+        rows = market_stream.event_time(stream).select("symbol", "ts", "weighted", "volume", "n_pairs", "data_source")
         return points.point_sink(market_stream.vwap_stream(rows, "1 day"), f"{path}/out", f"{path}/state", ["symbol", "window_end"], unit="day").outputMode("update")
 
-    in_rounds(spark, [pairs.where(third == i) for i in range(3)], path, "symbol string, timestamp long, price double, volume long, data_source string", sink)
+    in_rounds(spark, [sums.where(third == i) for i in range(3)], path, "symbol string, timestamp long, weighted double, volume long, n_pairs long, data_source string", sink)
     return points.read_points(spark, f"{path}/out", "symbol string, window_end long, vwap double, n_pairs long, data_source string").drop("batch", "span")
 
 
@@ -174,8 +173,9 @@ def j1_unknown(spark: SparkSession, d: str) -> DataFrame:
     volumes.select(F.nullif("symbol", F.lit("unknown")).alias("symbol"), "timestamp", "per_tick_volume", "data_source").write.parquet(f"{path}/volumes")
     ticks = spark.readStream.schema("symbol string, timestamp long, price double").parquet(f"{path}/ticks")
     volumes = spark.readStream.schema("symbol string, timestamp long, per_tick_volume long, data_source string").parquet(f"{path}/volumes")
-    pairs = market_stream.interval_join_stream(market_stream.event_time(ticks), market_stream.event_time(volumes), S.WIDTH_MS // 1000)
-    to_end(market_stream.vwap_stream(pairs, "1 day").writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out"))
+    sums = market_stream.pair_sums_stream(market_stream.event_time(ticks), market_stream.event_time(volumes), S.WIDTH_MS // 1000)
+    with market_stream.rocksdb(spark):
+        to_end(market_stream.vwap_stream(sums, "1 day").writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out"))
     return spark.read.schema("symbol string, window_end long, vwap double, n_pairs long, data_source string").parquet(f"{path}/out")
 
 
