@@ -223,7 +223,8 @@ def s3_intake(spark: SparkSession, d: str) -> DataFrame:
 
     def run() -> None:
         stream = intake.stream_envelopes(spark, f"{path}/landing/news/*/*.json", most)
-        to_end(intake.take_in(stream, f"{path}/table", f"{path}/state", clean, rejects))
+        with intake.few_listing_tasks(spark):
+            to_end(intake.take_in(stream, f"{path}/table", f"{path}/state", clean, rejects))
 
     for i in range(3):
         sinks.write_envelopes(made.where(F.col("part") % 3 == i), f"{path}/landing", envelope.envelope_key("news", F.col("of_file"), scraped(), part=F.col("part")))
@@ -231,10 +232,11 @@ def s3_intake(spark: SparkSession, d: str) -> DataFrame:
         if i == 1:
             forget_last_commit(spark, f"{path}/state")
             run()
-    rows = intake.read_part(spark, f"{path}/table", "rows", "id long, source_file string, scraped_at timestamp, scraped_day date, file_key string")
-    rows = rows.groupBy("source_file").agg(F.count("*").alias("n_rows"))
-    handed = intake.read_part(spark, f"{path}/table", "handoff", intake.HANDOFF).groupBy("source_file").agg(F.count("*").alias("n_batches"), F.sum("n_written").alias("n_written"), F.max("latest_scraped_at").alias("scraped_at"))
-    refused = intake.read_part(spark, f"{path}/table", "rejected", "source_path string, at string, rule string").select(F.col("source_path").alias("source_file"), F.col("at").alias("refused_at"))
+    with intake.few_listing_tasks(spark):
+        rows = intake.read_part(spark, f"{path}/table", "rows", "id long, source_file string, scraped_at timestamp, scraped_day date, file_key string")
+        rows = rows.groupBy("source_file").agg(F.count("*").alias("n_rows"))
+        handed = intake.read_part(spark, f"{path}/table", "handoff", intake.HANDOFF).groupBy("source_file").agg(F.count("*").alias("n_batches"), F.sum("n_written").alias("n_written"), F.max("latest_scraped_at").alias("scraped_at"))
+        refused = intake.read_part(spark, f"{path}/table", "rejected", "source_path string, at string, rule string").select(F.col("source_path").alias("source_file"), F.col("at").alias("refused_at"))
     out = handed.join(rows, "source_file", "left").join(refused, "source_file", "left").fillna(0, ["n_rows"])
     return out.select(F.regexp_extract("source_file", r"/landing/(.*)$", 1).alias("source_file"), "n_batches", "n_written", "n_rows", seconds, F.col("refused_at").isNotNull().alias("refused"))
 

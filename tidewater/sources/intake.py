@@ -1,6 +1,7 @@
 """Incremental intake of the landing zone: each file once, with the stream's checkpoint as the hand-off between jobs."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -15,9 +16,26 @@ HANDOFF = "source_file string, n_written long, latest_scraped_at timestamp, batc
 TOTALS = "n_written long, n_bad_checksum long, first_scraped_at timestamp, latest_scraped_at timestamp, batch long"
 
 
+#: Tasks of one listing of files or folders; Spark's own bound is 10,000, which makes it a task, and its metrics, for each.
+LISTING_TASKS = 32
+
+
+@contextmanager
+def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside, and tables that are opened there, list many files in each task: a task tells the driver 3 KB of itself."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(LISTING_TASKS, int(before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stream_envelopes(spark: SparkSession, glob: str, max_files: int = 1000) -> DataFrame:
     """A stream of whole files as read_envelopes gives them, at most max_files in a batch; the checkpoint of its query knows which ones were read."""
-    files = spark.readStream.format("text").option("wholetext", "true").option("maxFilesPerTrigger", max_files).load(glob)
+    with few_listing_tasks(spark):  # load looks at all that is there
+        files = spark.readStream.format("text").option("wholetext", "true").option("maxFilesPerTrigger", max_files).load(glob)
     return files.select("value", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_name").alias("source_file"))
 
 
