@@ -32,6 +32,23 @@ def test_sums_of_pairs(spark, seed):
         assert as_rows(market.vwap(market.pair_sums(ticks, bars, 10), window)) == as_rows(market.vwap(pairs, window))
 
 
+@pytest.mark.parametrize("span", [1, 3, 16])
+def test_spans_change_no_sum(spark, span):
+    """Rows at the ends of spans, and before 1970, meet those of the span before."""
+    ticks, bars = odd_rows(7)
+    ticks, bars = spark.createDataFrame(ticks, TICK), spark.createDataFrame(bars, BAR)
+    pairs = market.interval_join(ticks, bars, 10).withColumn("ts", F.greatest("timestamp", "right_timestamp"))
+    assert as_rows(market.vwap(market.pair_sums(ticks, bars, 10, span=span), 1)) == as_rows(market.vwap(pairs, 1))
+
+
+def test_one_row_for_each_time(spark):
+    """Rows of equal time are added up before they are copied to two buckets, and rows cross the network once but at the ends of spans."""
+    rows = spark.range(3000).selectExpr("'A' AS symbol", "id % 2 * 5 AS timestamp", "2.0D AS price", "1L AS volume", "cast(id % 4 AS string) AS data_source")
+    got = market.pair_sums(rows, rows, 10)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 1
+    assert sorted(map(tuple, got.collect())) == [("A", 0, 4_500_000.0, 2_250_000, 2_250_000, "2"), ("A", 5, 13_500_000.0, 6_750_000, 6_750_000, "3")]
+
+
 def test_no_number_spoils_only_its_own_pairs(spark):
     ticks = spark.createDataFrame([("A", 1, float("nan")), ("A", 12, 2.0), ("A", 25, 3.0)], TICK)
     bars = spark.createDataFrame([("A", 2, 5, "x"), ("A", 14, 1, "y"), ("A", 26, 2, None)], BAR)

@@ -138,39 +138,40 @@ def vwap_columns(pairs: DataFrame, ts: str = "ts", price: str = "price", volume:
     return [value.alias("vwap"), (F.sum("n_pairs") if summed else F.count("*")).alias("n_pairs"), *source]
 
 
-def pair_sums(ticks: DataFrame, volumes: DataFrame, width_ms: int = 1000, ts: str = "timestamp", price: str = "price", volume: str = "volume") -> DataFrame:
-    """What interval_join's pairs add up to, without a pair being made: for each tick or bar that is the later of some pairs (of equal times, the
-    tick), its symbol and ts, the sums of round(price, 6) * volume (weighted) and of volume over these pairs, n_pairs, and their largest data_source where the
-    volumes have it.
-
-    A row goes to its own time bucket of that width and to the next. What a row pairs with is, of its own bucket, all up to its time, and, of
-    the bucket before, all from its time less the width on: sums from both ends of a bucket, so work and memory grow with the rows, however dense they
-    are, and nothing is subtracted.
+def pair_sums(ticks: DataFrame, volumes: DataFrame, width_ms: int = 1000, ts: str = "timestamp", price: str = "price", volume: str = "volume", span: int = 16) -> DataFrame:
+    """What interval_join's pairs add up to, without a pair being made: for each symbol and ts that is the later time of some pairs, the sums
+    of round(price, 6) * volume (weighted) and of volume over these pairs, n_pairs, and their largest data_source where the volumes have it.
+
+    A row belongs to its own time bucket of that width and to the next. What a time pairs with is, of its own bucket, all up to it, and, of
+    the bucket before, all from it less the width on: sums from both ends of a bucket, so work and memory grow with the rows, however dense they
+    are, and nothing is subtracted. Rows are shuffled once, by span buckets at a time: only those of a span's last bucket go to two spans, and
+    a task adds up rows of equal time before it copies them to two buckets.
     """
     has_source = "data_source" in volumes.columns
-    source = F.col("data_source") if has_source else F.lit(None).cast("string").alias("data_source")
-    none = F.lit(None)
+    none, first = F.lit(None), Window.unboundedPreceding
+    source = [F.col("data_source") if has_source else none.cast("string").alias("data_source")]
     rows = ticks.select("symbol", F.col(ts).alias("ts"), F.round(price, 6).cast("double").alias("p"), none.cast("long").alias("v"), none.cast("string").alias("data_source"), F.lit(True).alias("tick"))
-    rows = rows.union(volumes.select("symbol", F.col(ts).alias("ts"), none.cast("double").alias("p"), F.col(volume).alias("v"), source, F.lit(False).alias("tick")))
-    rows = rows.where("symbol IS NOT NULL AND ts IS NOT NULL").withColumn("moved", F.explode(F.array(F.lit(0), F.lit(1))))
-    rows = rows.withColumns({"bucket": F.floor(F.col("ts") / width_ms) + F.col("moved"), "at": F.col("ts") + F.col("moved") * width_ms})
-    w = Window.partitionBy("symbol", "bucket")
-    first = Window.unboundedPreceding
+    rows = rows.union(volumes.select("symbol", F.col(ts).alias("ts"), none.cast("double").alias("p"), F.col(volume).alias("v"), *source, F.lit(False).alias("tick")))
+    bucket, in_span = F.floor(F.col("ts") / width_ms), lambda c: F.floor(c / span)
+    rows = rows.where("symbol IS NOT NULL AND ts IS NOT NULL").withColumn("span", F.explode(F.sequence(in_span(bucket), in_span(bucket + 1))))
+    sums = [F.sum("p").alias("p"), F.count_if("tick").alias("t"), F.sum("v").alias("v"), F.count_if(~F.col("tick")).alias("b"), *([F.max("data_source").alias("s")] if has_source else [])]
+    rows = rows.repartition("symbol", "span").groupBy("symbol", "span", "ts").agg(*sums).withColumn("moved", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = rows.withColumns({"bucket": bucket + F.col("moved"), "at": F.col("ts") + F.col("moved") * width_ms}).where(in_span(F.col("bucket")) == F.col("span"))
+    w = Window.partitionBy("symbol", "span", "bucket")
     up, below, down = w.orderBy("at").rangeBetween(first, 0), w.orderBy("at").rangeBetween(first, -1), w.orderBy(F.desc("at")).rangeBetween(first, 0)
-    tick, own = F.col("tick"), F.col("moved") == 0
+    own = F.col("moved") == 0
     either = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), a + b).otherwise(F.coalesce(a, b))
     sides = {}
-    for name, what, to_tick in (("v", F.col("v"), True), ("b", F.lit(1), True), ("p", F.col("p"), False), ("t", F.lit(1), False)):
-        of = ~tick if to_tick else tick
-        sides[f"_{name}0"] = F.sum(F.when(of & own, what)).over(up if to_tick else below)
-        sides[f"_{name}1"] = F.sum(F.when(of & ~own, what)).over(down)
-    if has_source:
-        sides |= {"_s0": F.max(F.when(~tick & own, F.col("data_source"))).over(up), "_s1": F.max(F.when(~tick & ~own, F.col("data_source"))).over(down)}
+    for name, of, add in (("v", up, F.sum), ("b", up, F.sum), ("p", below, F.sum), ("t", below, F.sum), *([("s", up, F.max)] if has_source else [])):
+        sides |= {f"_{name}0": add(F.when(own, F.col(name))).over(of), f"_{name}1": add(F.when(~own, F.col(name))).over(down)}
     rows = rows.withColumns(sides).where(own)
-    made = {n: either(F.col(f"_{n}0"), F.col(f"_{n}1")) for n in "vbpt"}
+    # ticks meet the bars up to their time, bars the ticks before it
+    met = {n: either(F.col(f"_{n}0"), F.col(f"_{n}1")) for n in "vbpt"}
+    n_pairs = lambda mine, theirs: F.col(mine) * F.coalesce(met[theirs], F.lit(0))
     out = rows.select(
-        "symbol", "ts", F.when(tick, F.col("p") * made["v"]).otherwise(F.col("v") * made["p"]).alias("weighted"), F.when(tick, made["v"]).otherwise(F.col("v") * made["t"]).alias("volume"),
-        F.when(tick, made["b"]).otherwise(made["t"]).alias("n_pairs"), *([F.when(tick, F.greatest("_s0", "_s1")).otherwise(F.col("data_source")).alias("data_source")] if has_source else []),
+        "symbol", "ts", either(F.col("p") * met["v"], F.col("v") * met["p"]).alias("weighted"), either(F.when(F.col("t") > 0, F.col("t") * met["v"]), F.col("v") * met["t"]).alias("volume"),
+        (n_pairs("t", "b") + n_pairs("b", "t")).alias("n_pairs"),
+        *([F.greatest(F.when(F.col("t") > 0, F.greatest("_s0", "_s1")), F.when(n_pairs("b", "t") > 0, F.col("s"))).alias("data_source")] if has_source else []),
     )
     return out.where("n_pairs > 0")
 
