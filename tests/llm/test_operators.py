@@ -247,6 +247,23 @@ def test_recall_of_near_copies(spark):
     assert all(group[d] == d for d in group if d not in linked and sets[d])
 
 
+def test_simhash_gives_candidates(spark, monkeypatch):
+    """The pipeline's stage finds every pair within the radius by the grid of fingerprints, and goes through it."""
+    r = random.Random(5)
+    base = [f"w{r.randrange(9000)}" for _ in range(600)]
+    texts = ["", *(" ".join([*base[:k], "x", *base[k + 1 :]]) for k in range(0, 600, 40)), *(" ".join(f"u{r.randrange(9000)}" for _ in range(80)) for _ in range(20))]
+    fps = [simhash_dedup.majority(simhash_dedup.shingles(t.encode())) for t in texts]
+    rows = [(i, np.array([f], np.uint64).view(np.int64).tolist()[0], len(simhash_dedup.shingles(t.encode()))) for i, (t, f) in enumerate(zip(texts, fps, strict=True))]
+    group = {x["node"]: x["component"] for x in simhash_dedup.components(simhash_dedup.simhash_candidates(spark.createDataFrame(rows, "key long, fp long, size long"))).collect()}
+    near = [(i, j) for i in range(1, len(texts)) for j in range(1, i) if (fps[i] ^ fps[j]).bit_count() <= 4]
+    assert len(near) >= 15 and all(group[i] == group[j] for i, j in near) and 0 not in group
+    seen, links = [], simhash_dedup.near_links
+    monkeypatch.setattr(simhash_dedup, "near_links", lambda fps: seen.append(fps.count()) or links(fps))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in simhash_dedup.drop_near_duplicates(docs).collect()) == [0, 1, *range(16, 36)]
+    assert seen == [len({f for f in fps[1:]})]
+
+
 def test_leaders_beyond_the_broadcast(spark):
     """The same texts are near their leader, whether its shingles are broadcast or joined."""
     base = [np.unique(np.array([R.getrandbits(60) for _ in range(200)], np.uint64)) for _ in range(3)]

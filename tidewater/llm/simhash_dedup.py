@@ -33,10 +33,15 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     k = min(words, len(found))
     digest = xxhash.xxh64_intdigest
     hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)]
-    bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as one number; zero where there are none."""
     set_ = np.zeros(64, np.int64)
-    for part in range(0, len(bits), 65535):
-        set_ += bits[part : part + 65535].sum(axis=0, dtype=np.uint16)
+    for at in range(0, len(hashes), 65535):
+        part = hashes[at : at + 65535].astype(">u8").view(np.uint8).reshape(-1, 8)
+        set_ += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.uint16)
     return int.from_bytes(np.packbits(2 * set_ > len(hashes)).tobytes(), "big")
 
 
@@ -300,12 +305,23 @@ def near_leaders(large: DataFrame, sets: DataFrame, broadcast_bytes: int = BROAD
     return rows.mapInArrow(compare, "key long, leader long")
 
 
+def simhash_candidates(reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys, enough to connect all whose fingerprints (column fp) differ by MAX_BITS at most: the grid join of near_links over
+    the different fingerprints, then back to the texts that have them. Texts without words take no part."""
+    of = stored(answered(reps.where("size > 0").select("key", "fp"), ["fp"], [F.min("key").alias("top")]))
+    tops = stored(of.where("key = top").select("fp", "top"))
+    links = near_links(tops.select("fp"))
+    for end in "ab":
+        links = links.join(tops.select(F.col("fp").alias(end), F.col("top").alias(f"top_{end}")), end)
+    return of.where("key <> top").select(F.col("key").alias("a"), F.col("top").alias("b")).union(links.select("top_a", "top_b"))
+
+
 def similar_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, mark, component_id and component_mark for every row: groups linked by a Jaccard similarity of SIMILAR over shingles of SHINGLE words.
 
-    SimHash has no radius for this: five-word fingerprints at a similarity of 0.8 differ by 8 bits on average, and a grid
-    that is sure of 12 or more has cells of a few bits. So candidates come from MinHash bands, which find a pair of similarity 0.8 with
-    probability 0.9993 and more similar ones more surely. Texts connected by candidates meet once, and all their pairs are
+    Candidates are all texts whose SimHash fingerprints, over their distinct shingles, differ by MAX_BITS at most: the grid join finds every
+    such pair. No larger radius has selective cells, and fingerprints at a similarity of 0.8 differ by 8 bits on average, so MinHash
+    bands add the candidates beyond the radius: a pair of similarity 0.8 with probability 0.9993 and more similar ones more surely. Texts connected by candidates meet once, and all their pairs are
     verified on their whole shingle sets. In a larger set of them, all texts first meet one, the leader, from the largest group of a
     band: copies of one text are all linked to it in one pass. Those that aren't are split into blocks, which meet each other and the
     blocks of those that are, each two in a task of their own: the work grows with the texts that are not near the leader times all. Texts with equal shingle sets are compared once (by a hash of 64 bits). Null ids as in near_duplicates. A mark is a
@@ -316,8 +332,9 @@ def similar_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         for batch, texts in rows_of(batches):
             sets = [shingles(t) for t in texts]
             keys = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            fps = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
             found = [bands(s).view(np.int64) if len(s) else [] for s in sets]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": pa.array(keys), "mark": batch.column("mark"), "size": pa.array([len(s) for s in sets], pa.int64()), "bands": pa.array(found, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": pa.array(keys), "mark": batch.column("mark"), "size": pa.array([len(s) for s in sets], pa.int64()), "fp": pa.array(fps), "bands": pa.array(found, pa.list_(pa.int64()))})
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in rows_of(batches):
@@ -339,10 +356,10 @@ def similar_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         return F.coalesce(F.min_by(of, by), F.min(of))
 
     docs = documents(docs)
-    signed = stored(docs.withColumn("mark", mark(F.col("text"))).mapInArrow(sign, "doc_id long, key long, mark long, size long, bands array<long>"))
-    reps = stored(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), least("mark", "doc_id").alias("rep_mark"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    signed = stored(docs.withColumn("mark", mark(F.col("text"))).mapInArrow(sign, "doc_id long, key long, mark long, size long, fp long, bands array<long>"))
+    reps = stored(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), least("mark", "doc_id").alias("rep_mark"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     dealt = answered(reps.select("key", F.explode("bands").alias("band")), ["band"], [F.min("key").alias("least"), F.count("*").alias("n")], F.col("n") > 1)
-    near = components(dealt.select(F.col("key").alias("a"), F.col("least").alias("b")))
+    near = components(simhash_candidates(reps).union(dealt.select("key", "least")))
     tops = dealt.groupBy("least").agg(F.max("n").alias("top"))
     near = near.join(reps.select("key", "rep", "rep_mark", "size"), near["node"] == reps["key"]).join(tops, F.col("key") == F.col("least"), "left")
     near = stored(near.select("key", "rep", "rep_mark", "size", "component", F.coalesce("top", F.lit(0)).alias("top")))
