@@ -64,3 +64,26 @@ def test_no_join_makes_the_pairs(spark, capsys):
     got.explain()
     assert "right_timestamp" not in capsys.readouterr().out
     assert got.first()["n_pairs"] == 9_000_000
+
+
+@pytest.mark.parametrize("span", [1, 2, 5, None])
+def test_volumes_made_where_pairs_are_summed(spark, span):
+    """Equal times, long gaps, volumes that fall, are missing or below 0: as with per-bar volume made first."""
+    r = random.Random(3)
+    at = lambda: r.choice([None, r.randrange(-40, 60), r.randrange(-4, 40) * 10])
+    bars = [(r.choice(["A", "B", None, "unknown"]), at(), r.choice([None, -3, r.randrange(50), 10 + i]), r.choice(["x", "y", None]), i) for i in range(200)]
+    ticks, bars = spark.createDataFrame(odd_rows(3)[0], TICK), spark.createDataFrame(bars, BAR + ", event_id long")
+    keyed = lambda df: df.withColumn("symbol", market.keyed(F.col("symbol")))
+    volumes = market.per_tick_volume(keyed(bars), ["timestamp", "event_id"]).select("symbol", "timestamp", F.col("per_tick_volume").alias("volume"), market.from_source())
+    as_sums = lambda df: sorted((*x[:2], None if x[2] is None else round(x[2], 5), *x[3:]) for x in map(tuple, df.collect()))
+    assert as_sums(market.tick_bar_sums(ticks, bars, 10, ("timestamp", "event_id"), span)) == as_sums(market.pair_sums(keyed(ticks), volumes, 10))
+
+
+def test_bars_cross_the_network_once(spark):
+    """Neither bars nor their volumes are dealt anew for the sums, nothing is joined, and what made the bars is dealt once."""
+    rows = spark.range(3000).selectExpr("'A' AS symbol", "id * 7 AS timestamp", "id AS event_id", "cast(1 AS double) AS price", "'x' AS data_source")
+    bars = rows.withColumn("volume", F.expr("sum(1L) OVER (PARTITION BY symbol ORDER BY timestamp)"))
+    got = market.tick_bar_vwap(rows.select("symbol", "timestamp", "price"), bars, order=("timestamp", "event_id"))
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Join" not in plan and plan.count("REPARTITION_BY_COL") == 1 and "ReusedExchange" in plan

@@ -147,15 +147,27 @@ def pair_sums(ticks: DataFrame, volumes: DataFrame, width_ms: int = 1000, ts: st
     are, and nothing is subtracted. Rows are shuffled once, by span buckets at a time: only those of a span's last bucket go to two spans, and
     a task adds up rows of equal time before it copies them to two buckets.
     """
-    has_source = "data_source" in volumes.columns
-    none, first = F.lit(None), Window.unboundedPreceding
-    source = [F.col("data_source") if has_source else none.cast("string").alias("data_source")]
-    rows = ticks.select("symbol", F.col(ts).alias("ts"), F.round(price, 6).cast("double").alias("p"), none.cast("long").alias("v"), none.cast("string").alias("data_source"), F.lit(True).alias("tick"))
-    rows = rows.union(volumes.select("symbol", F.col(ts).alias("ts"), none.cast("double").alias("p"), F.col(volume).alias("v"), *source, F.lit(False).alias("tick")))
     bucket, in_span = F.floor(F.col("ts") / width_ms), lambda c: F.floor(c / span)
-    rows = rows.where("symbol IS NOT NULL AND ts IS NOT NULL").withColumn("span", F.explode(F.sequence(in_span(bucket), in_span(bucket + 1))))
+    rows = _tick_rows(ticks, ts, price).unionByName(_bar_rows(volumes, ts, volume), allowMissingColumns=True).where("symbol IS NOT NULL AND ts IS NOT NULL")
+    rows = rows.withColumn("span", F.explode(F.sequence(in_span(bucket), in_span(bucket + 1))))
+    return _span_sums(rows.repartition("symbol", "span"), width_ms, span)
+
+
+def _tick_rows(ticks: DataFrame, ts: str, price: str) -> DataFrame:
+    return ticks.select("symbol", F.col(ts).alias("ts"), F.round(price, 6).cast("double").alias("p"), F.lit(None).cast("long").alias("v"), F.lit(True).alias("tick"))
+
+
+def _bar_rows(bars: DataFrame, ts: str, volume: str, *more: str) -> DataFrame:
+    source = [F.col("data_source")] if "data_source" in bars.columns else []
+    return bars.select("symbol", F.col(ts).alias("ts"), F.lit(None).cast("double").alias("p"), F.col(volume).alias("v"), *source, F.lit(False).alias("tick"), *more)
+
+
+def _span_sums(rows: DataFrame, width_ms: int, span: int) -> DataFrame:
+    """pair_sums of ticks and bars that lie dealt by symbol and span."""
+    has_source, first = "data_source" in rows.columns, Window.unboundedPreceding
+    bucket, in_span = F.floor(F.col("ts") / width_ms), lambda c: F.floor(c / span)
     sums = [F.sum("p").alias("p"), F.count_if("tick").alias("t"), F.sum("v").alias("v"), F.count_if(~F.col("tick")).alias("b"), *([F.max("data_source").alias("s")] if has_source else [])]
-    rows = rows.repartition("symbol", "span").groupBy("symbol", "span", "ts").agg(*sums).withColumn("moved", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = rows.groupBy("symbol", "span", "ts").agg(*sums).withColumn("moved", F.explode(F.array(F.lit(0), F.lit(1))))
     rows = rows.withColumns({"bucket": bucket + F.col("moved"), "at": F.col("ts") + F.col("moved") * width_ms}).where(in_span(F.col("bucket")) == F.col("span"))
     w = Window.partitionBy("symbol", "span", "bucket")
     up, below, down = w.orderBy("at").rangeBetween(first, 0), w.orderBy("at").rangeBetween(first, -1), w.orderBy(F.desc("at")).rangeBetween(first, 0)
@@ -176,13 +188,43 @@ def pair_sums(ticks: DataFrame, volumes: DataFrame, width_ms: int = 1000, ts: st
     return out.where("n_pairs > 0")
 
 
+def tick_bar_sums(ticks: DataFrame, bars: DataFrame, width_ms: int = 1000, order: tuple[str, ...] = ("timestamp",), span: int | None = None) -> DataFrame:
+    """pair_sums of ticks and of the per-bar volume of bars, which have a cumulative volume.
+
+    Where bars come in the order of their times, ticks and bars cross the network once, by symbol and span of buckets, and a bar's volume is made
+    where its pairs are summed. A task has the bars of its span and of the bucket before; the last bar before those comes along as a row of its
+    own, from a small table of the last bars of spans. bars are read twice, for that table with the same columns, so that a shuffle which made
+    them is made once. A span has eight hours where buckets are not longer.
+    """
+    symbol = keyed(F.col("symbol")).alias("symbol")
+    ticks, source = ticks.select(symbol, "timestamp", "price"), [from_source()] if "data_source" in bars.columns else []
+    if order[0] != "timestamp":
+        volumes = per_tick_volume(bars.withColumn("symbol", symbol), list(order)).select("symbol", "timestamp", F.col("per_tick_volume").alias("volume"), *source)
+        return pair_sums(ticks, volumes, width_ms)
+    span = span or max(16, 28_800_000 // width_ms)
+    in_span, bucket = lambda c: F.floor(c / span), F.floor(F.col("ts") / width_ms)
+    ties = [f"_{c}" for c in order[1:]]
+    bars = bars.where("timestamp IS NOT NULL AND volume IS NOT NULL").select(symbol, "timestamp", "volume", *source, *(F.col(c).alias(f"_{c}") for c in order[1:]))
+    bars = _bar_rows(bars, "timestamp", "volume", *ties)
+    # a run of bars is those that enter span run together; of these, the ones of the bucket before it are in span run - 1 as well
+    bars = bars.withColumn("run", in_span(bucket + 1))
+    last = bars.groupBy("symbol", "run").agg(F.max_by(F.struct("ts", "v", *(["data_source"] if source else [])), F.struct("ts", *ties)).alias("last"))
+    before = last.select("symbol", "run", F.lag("last").over(Window.partitionBy("symbol").orderBy("run")).alias("last")).where("last IS NOT NULL")
+    before = before.select("symbol", "run", F.explode(F.array(F.col("run") - 1, F.col("run"))).alias("span"), F.col("last.ts").alias("ts"), F.col("last.v").alias("v"), F.lit(False).alias("tick"), F.lit(True).alias("before"))
+    ticks = _tick_rows(ticks, "timestamp", "price").where("ts IS NOT NULL")
+    rows = bars.unionByName(ticks, allowMissingColumns=True).withColumn("span", F.explode(F.sequence(in_span(bucket), in_span(bucket + 1))))
+    rows = rows.withColumn("before", F.lit(False)).unionByName(before, allowMissingColumns=True).repartition("symbol", "span")
+    w = Window.partitionBy("symbol", "span", "run", "tick").orderBy(F.desc("before"), "ts", *ties)
+    made = tick_volume(F.col("v"), F.col("ts"), F.coalesce("_v", F.lit(0)), F.coalesce("_t", F.lit(0)))
+    rows = rows.withColumns({"_v": F.lag("v").over(w), "_t": F.lag("ts").over(w)}).where("NOT before")
+    rows = rows.select("symbol", "span", "ts", "p", F.when(~F.col("tick"), made).alias("v"), "tick", *(["data_source"] if source else []))
+    return _span_sums(rows, width_ms, span)
+
+
 def tick_bar_vwap(ticks: DataFrame, bars: DataFrame, width_ms: int = 1000, window_ms: int = 60_000, order: tuple[str, ...] = ("timestamp",)) -> DataFrame:
     """The whole flow: per-bar volume, interval join, mean by window of the later of both times; the bars' data_source is carried. The pairs
-    of the join are summed where they meet (pair_sums), as there is no bound on how many a dense symbol has.
+    of the join are summed where they meet (tick_bar_sums), as there is no bound on how many a dense symbol has.
 
     Bars and ticks without a symbol are those of the symbol unknown, which counts its volume as any other does; no data_source is the source unknown.
     """
-    source = [from_source()] if "data_source" in bars.columns else []
-    bars = bars.withColumn("symbol", keyed(F.col("symbol")))
-    volumes = per_tick_volume(bars, list(order)).select("symbol", "timestamp", F.col("per_tick_volume").alias("volume"), *source)
-    return vwap(pair_sums(ticks.select(keyed(F.col("symbol")).alias("symbol"), "timestamp", "price"), volumes, width_ms), window_ms)
+    return vwap(tick_bar_sums(ticks, bars, width_ms, order), window_ms)

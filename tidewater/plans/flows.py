@@ -86,8 +86,7 @@ def k6_ticks(spark: SparkSession, d: str) -> DataFrame:
 def k5_vwap(spark: SparkSession, d: str) -> DataFrame:
     """Windowed means that grow from batch to batch: each batch writes the windows that it changes, over what was there."""
     path = shared_dir(spark)
-    volumes = market.per_tick_volume(stored(S.bars(spark, d)), ["timestamp", "event_id"]).select("symbol", "timestamp", F.col("per_tick_volume").alias("volume"), "data_source")
-    sums = stored(market.pair_sums(S.ticks(spark, d), volumes, S.WIDTH_MS).withColumnRenamed("ts", "timestamp"))
+    sums = stored(market.tick_bar_sums(S.ticks(spark, d), S.bars(spark, d), S.WIDTH_MS, ("timestamp", "event_id")).withColumnRenamed("ts", "timestamp"))
     low, high = sums.agg(F.min("timestamp"), F.max("timestamp")).first()
     third = F.floor((F.col("timestamp") - (low or 0)) * 3 / ((high or 0) - (low or 0) + 1))
 
