@@ -18,7 +18,7 @@ from tidewater.llm.common import documents, give_back, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of text worked on at once; different pairs of pieces, and characters of different words, that a Python worker keeps.
-SPAN, KEPT_PAIRS, KEPT_CHARACTERS = 1 << 20, 250_000, 2 << 20
+SPAN, KEPT_PAIRS, KEPT_CHARACTERS = 1 << 19, 250_000, 2 << 20
 
 
 class Vocabulary:
@@ -59,6 +59,8 @@ class Vocabulary:
         self.words_of = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + (f"|[{alone}]" if alone else "")).findall
         self.lowest = min(self.scores.values(), default=0.0) - 10
         self.joins: dict[tuple[str, str], bool] = {}
+        #: The vocabulary's own strings: pairs are kept by these, not by slices of words.
+        self.own = {p: p for p in self.ids}
         #: Ids of words, kept from one span of a task to the next.
         self.known: dict[str, bytes] = {}
         self.kept = 0
@@ -86,7 +88,8 @@ class Vocabulary:
         if known is None:
             if len(self.joins) > KEPT_PAIRS:
                 self.joins.clear()
-            known = self.joins[(last, piece)] = self.merged(last + piece) == ([last, piece] if last else [piece])
+            own = self.own
+            known = self.joins[(own.get(last, last), own.get(piece, piece))] = self.merged(last + piece) == ([last, piece] if last else [piece])
         return known
 
     def _lengths(self, word: str, common: int, state: list[int]) -> None:
@@ -151,9 +154,13 @@ class Vocabulary:
             yield word, found.tobytes()
 
 
-@lru_cache(2)
 def vocabulary(model: str, kind: str = "bpe") -> Vocabulary:
-    """One for each Python worker."""
+    """One for each Python worker, whichever way it is asked for."""
+    return _vocabulary(model, kind)
+
+
+@lru_cache(2)
+def _vocabulary(model: str, kind: str) -> Vocabulary:
     return Vocabulary(model, kind)
 
 
@@ -161,12 +168,13 @@ def encoded_batches(batches: Iterator[pa.RecordBatch], model: str, kind: str) ->
     """Batches of doc_id and text with ids and n_pieces, a span of texts at a time."""
     v = vocabulary(model, kind)
     for batch in batches:
-        texts, start, size = batch.column("text").to_pylist(), 0, 0
-        for end, t in enumerate(texts, 1):
-            size += len(t)
-            if size < SPAN and end < len(texts):
+        start, size = 0, 0
+        for end, n in enumerate(pc.utf8_length(batch.column("text")).to_pylist(), 1):
+            size += n
+            if size < SPAN and end < batch.num_rows:
                 continue
-            split = [v.marked(x) for x in texts[start:end]]
+            part = batch.slice(start, end - start)
+            split = [v.marked(x) for x in part.column("text").to_pylist()]
             rows = np.cumsum([0, *map(len, split)])
             column = pa.array(chain.from_iterable(split), pa.large_string()).dictionary_encode()
             del split
@@ -182,7 +190,6 @@ def encoded_batches(batches: Iterator[pa.RecordBatch], model: str, kind: str) ->
             data, ends = parts_of(taken)
             offsets = (ends[rows] // 4).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(data, "<i4")))
-            part = batch.slice(start, end - start)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), ids, pa.array(np.diff(offsets))], names=["doc_id", "text", "ids", "n_pieces"])
             start, size = end, 0
     # the worker lives on, beside other stages: it keeps pairs, but no words
