@@ -154,29 +154,35 @@ def pair_sums(ticks: DataFrame, volumes: DataFrame, width_ms: int = 1000, ts: st
 
 
 def _tick_rows(ticks: DataFrame, ts: str, price: str) -> DataFrame:
-    return ticks.select("symbol", F.col(ts).alias("ts"), F.round(price, 6).cast("double").alias("p"), F.lit(None).cast("long").alias("v"), F.lit(True).alias("tick"))
+    return ticks.select("symbol", F.col(ts).alias("ts"), F.round(price, 6).cast("double").alias("p"), F.lit(None).cast("long").alias("v"), F.lit(True).alias("tick"), F.lit(False).alias("bar"))
 
 
 def _bar_rows(bars: DataFrame, ts: str, volume: str, *more: str) -> DataFrame:
     source = [F.col("data_source")] if "data_source" in bars.columns else []
-    return bars.select("symbol", F.col(ts).alias("ts"), F.lit(None).cast("double").alias("p"), F.col(volume).alias("v"), *source, F.lit(False).alias("tick"), *more)
+    return bars.select("symbol", F.col(ts).alias("ts"), F.lit(None).cast("double").alias("p"), F.col(volume).alias("v"), *source, F.lit(False).alias("tick"), F.lit(True).alias("bar"), *more)
 
 
 def _span_sums(rows: DataFrame, width_ms: int, span: int) -> DataFrame:
-    """pair_sums of ticks and bars that lie dealt by symbol and span."""
+    """pair_sums of ticks and bars that lie dealt by symbol and span.
+
+    What a time meets of its own bucket is summed in the order that adding up equal times leaves, so only sums from the other end of a
+    bucket sort again; there, what a time has lies in one column, which the copy that its next bucket gets leaves empty.
+    """
     has_source, first = "data_source" in rows.columns, Window.unboundedPreceding
     bucket, in_span = F.floor(F.col("ts") / width_ms), lambda c: F.floor(c / span)
-    sums = [F.sum("p").alias("p"), F.count_if("tick").alias("t"), F.sum("v").alias("v"), F.count_if(~F.col("tick")).alias("b"), *([F.max("data_source").alias("s")] if has_source else [])]
-    rows = rows.groupBy("symbol", "span", "ts").agg(*sums).withColumn("moved", F.explode(F.array(F.lit(0), F.lit(1))))
-    rows = rows.withColumns({"bucket": bucket + F.col("moved"), "at": F.col("ts") + F.col("moved") * width_ms}).where(in_span(F.col("bucket")) == F.col("span"))
+    sums = [F.sum("p").alias("p"), F.count_if("tick").alias("t"), F.sum("v").alias("v"), F.count_if("bar").alias("b"), *([F.max("data_source").alias("s")] if has_source else [])]
+    rows = rows.groupBy("symbol", "span", bucket.alias("bucket"), "ts").agg(*sums)
     w = Window.partitionBy("symbol", "span", "bucket")
-    up, below, down = w.orderBy("at").rangeBetween(first, 0), w.orderBy("at").rangeBetween(first, -1), w.orderBy(F.desc("at")).rangeBetween(first, 0)
-    own = F.col("moved") == 0
+    up, below, down = w.orderBy("ts").rangeBetween(first, 0), w.orderBy("ts").rangeBetween(first, -1), w.orderBy(F.desc("at")).rangeBetween(first, 0)
+    of = [("v", up, F.sum), ("b", up, F.sum), ("p", below, F.sum), ("t", below, F.sum), *([("s", up, F.max)] if has_source else [])]
+    names = [n for n, _, _ in of]
+    rows = rows.withColumns({f"_{n}0": add(n).over(over) for n, over, add in of}).withColumn("moved", F.explode(F.array(F.lit(0), F.lit(1))))
+    here = F.col("moved") == 0
+    own = F.when(here, F.struct(*names, *(f"_{n}0" for n in names))).alias("own")
+    rows = rows.select("symbol", "span", (F.col("bucket") + F.col("moved")).alias("bucket"), (F.col("ts") + F.col("moved") * width_ms).alias("at"), own, *(F.when(~here, F.col(n)).alias(n) for n in names))
+    rows = rows.where(in_span(F.col("bucket")) == F.col("span")).withColumns({f"_{n}1": add(n).over(down) for n, _, add in of}).where("own IS NOT NULL")
+    rows = rows.select("symbol", F.col("at").alias("ts"), "own.*", *(f"_{n}1" for n in names))
     either = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), a + b).otherwise(F.coalesce(a, b))
-    sides = {}
-    for name, of, add in (("v", up, F.sum), ("b", up, F.sum), ("p", below, F.sum), ("t", below, F.sum), *([("s", up, F.max)] if has_source else [])):
-        sides |= {f"_{name}0": add(F.when(own, F.col(name))).over(of), f"_{name}1": add(F.when(~own, F.col(name))).over(down)}
-    rows = rows.withColumns(sides).where(own)
     # ticks meet the bars up to their time, bars the ticks before it
     met = {n: either(F.col(f"_{n}0"), F.col(f"_{n}1")) for n in "vbpt"}
     n_pairs = lambda mine, theirs: F.col(mine) * F.coalesce(met[theirs], F.lit(0))
@@ -188,42 +194,52 @@ def _span_sums(rows: DataFrame, width_ms: int, span: int) -> DataFrame:
     return out.where("n_pairs > 0")
 
 
-def tick_bar_sums(ticks: DataFrame, bars: DataFrame, width_ms: int = 1000, order: tuple[str, ...] = ("timestamp",), span: int | None = None) -> DataFrame:
-    """pair_sums of ticks and of the per-bar volume of bars, which have a cumulative volume.
+def tick_bar_sums(ticks: DataFrame | None, bars: DataFrame, width_ms: int = 1000, order: tuple[str, ...] = ("timestamp",), span: int | None = None) -> DataFrame:
+    """pair_sums of ticks and of the per-bar volume of bars, which have a cumulative volume. Without ticks, each row of bars is a tick as well,
+    of its price, whether it has a volume or not: such a row crosses the network once for both.
 
     Where bars come in the order of their times, ticks and bars cross the network once, by symbol and span of buckets, and a bar's volume is made
     where its pairs are summed. A task has the bars of its span and of the bucket before; the last bar before those comes along as a row of its
     own, from a small table of the last bars of spans. bars are read twice, for that table with the same columns, so that a shuffle which made
     them is made once. A span has eight hours where buckets are not longer.
     """
-    symbol = keyed(F.col("symbol")).alias("symbol")
-    ticks, source = ticks.select(symbol, "timestamp", "price"), [from_source()] if "data_source" in bars.columns else []
+    symbol, price = keyed(F.col("symbol")).alias("symbol"), ["price"] if ticks is None else []
+    source = [from_source()] if "data_source" in bars.columns else []
     if order[0] != "timestamp":
+        ticks = (bars if ticks is None else ticks).select(symbol, "timestamp", "price")
         volumes = per_tick_volume(bars.withColumn("symbol", symbol), list(order)).select("symbol", "timestamp", F.col("per_tick_volume").alias("volume"), *source)
         return pair_sums(ticks, volumes, width_ms)
     span = span or max(16, 28_800_000 // width_ms)
     in_span, bucket = lambda c: F.floor(c / span), F.floor(F.col("ts") / width_ms)
     ties = [f"_{c}" for c in order[1:]]
-    bars = bars.where("timestamp IS NOT NULL AND volume IS NOT NULL").select(symbol, "timestamp", "volume", *source, *(F.col(c).alias(f"_{c}") for c in order[1:]))
-    bars = _bar_rows(bars, "timestamp", "volume", *ties)
+    rows = bars.where("timestamp IS NOT NULL").select(symbol, "timestamp", "volume", *price, *source, *(F.col(c).alias(f"_{c}") for c in order[1:]))
+    rows = _bar_rows(rows, "timestamp", "volume", *ties, *price)
+    if ticks is None:
+        bar = F.col("v").isNotNull()
+        rows = rows.withColumns({"p": F.round("price", 6).cast("double"), "tick": F.lit(True), "bar": bar, **({"data_source": F.when(bar, F.col("data_source"))} if source else {})}).drop("price")
+    else:
+        rows = rows.where("v IS NOT NULL")
     # a run of bars is those that enter span run together; of these, the ones of the bucket before it are in span run - 1 as well
-    bars = bars.withColumn("run", in_span(bucket + 1))
-    last = bars.groupBy("symbol", "run").agg(F.max_by(F.struct("ts", "v", *(["data_source"] if source else [])), F.struct("ts", *ties)).alias("last"))
+    run = in_span(bucket + 1)
+    last = rows.where("bar").groupBy("symbol", run.alias("run")).agg(F.max_by(F.struct("ts", "v", *(["data_source"] if source else [])), F.struct("ts", *ties)).alias("last"))
     before = last.select("symbol", "run", F.lag("last").over(Window.partitionBy("symbol").orderBy("run")).alias("last")).where("last IS NOT NULL")
-    before = before.select("symbol", "run", F.explode(F.array(F.col("run") - 1, F.col("run"))).alias("span"), F.col("last.ts").alias("ts"), F.col("last.v").alias("v"), F.lit(False).alias("tick"), F.lit(True).alias("before"))
-    ticks = _tick_rows(ticks, "timestamp", "price").where("ts IS NOT NULL")
-    rows = bars.unionByName(ticks, allowMissingColumns=True).withColumn("span", F.explode(F.sequence(in_span(bucket), in_span(bucket + 1))))
-    rows = rows.withColumn("before", F.lit(False)).unionByName(before, allowMissingColumns=True).repartition("symbol", "span")
-    w = Window.partitionBy("symbol", "span", "run", "tick").orderBy(F.desc("before"), "ts", *ties)
+    before = before.select("symbol", "run", F.explode(F.array(F.col("run") - 1, F.col("run"))).alias("span"), F.col("last.ts").alias("ts"), F.col("last.v").alias("v"), F.lit(False).alias("tick"), F.lit(True).alias("bar"))
+    if ticks is not None:
+        rows = rows.unionByName(_tick_rows(ticks.select(symbol, "timestamp", "price"), "timestamp", "price").where("ts IS NOT NULL"), allowMissingColumns=True)
+    rows = rows.withColumn("span", F.explode(F.sequence(in_span(bucket), in_span(bucket + 1))))
+    # only bars before a run say which it is: others have it by their time
+    rows = rows.unionByName(before, allowMissingColumns=True).repartition("symbol", "span").withColumns({"before": F.col("run").isNotNull(), "run": F.coalesce("run", run)})
+    w = Window.partitionBy("symbol", "span", "run", "bar").orderBy(F.desc("before"), "ts", *ties)
     made = tick_volume(F.col("v"), F.col("ts"), F.coalesce("_v", F.lit(0)), F.coalesce("_t", F.lit(0)))
     rows = rows.withColumns({"_v": F.lag("v").over(w), "_t": F.lag("ts").over(w)}).where("NOT before")
-    rows = rows.select("symbol", "span", "ts", "p", F.when(~F.col("tick"), made).alias("v"), "tick", *(["data_source"] if source else []))
+    rows = rows.select("symbol", "span", "ts", "p", F.when(F.col("bar"), made).alias("v"), "tick", "bar", *(["data_source"] if source else []))
     return _span_sums(rows, width_ms, span)
 
 
-def tick_bar_vwap(ticks: DataFrame, bars: DataFrame, width_ms: int = 1000, window_ms: int = 60_000, order: tuple[str, ...] = ("timestamp",)) -> DataFrame:
+def tick_bar_vwap(ticks: DataFrame | None, bars: DataFrame, width_ms: int = 1000, window_ms: int = 60_000, order: tuple[str, ...] = ("timestamp",)) -> DataFrame:
     """The whole flow: per-bar volume, interval join, mean by window of the later of both times; the bars' data_source is carried. The pairs
-    of the join are summed where they meet (tick_bar_sums), as there is no bound on how many a dense symbol has.
+    of the join are summed where they meet (tick_bar_sums), as there is no bound on how many a dense symbol has. Without ticks, bars have a price
+    and are ticks too.
 
     Bars and ticks without a symbol are those of the symbol unknown, which counts its volume as any other does; no data_source is the source unknown.
     """

@@ -175,18 +175,22 @@ def t3_backfill(spark: SparkSession, d: str) -> DataFrame:
     return done.unionByName(spark.read.schema("event_id long, symbol string, timestamp long, per_tick_volume long").parquet(f"{path}/out"))
 
 
-def anonymous(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Ticks and bars, some of which say no symbol, and bars that say no source."""
+def anonymous_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that are a tick and a bar each; some say no symbol, some no source."""
     symbol = F.when(F.col("user_id") % 5 > 0, F.col("symbol")).alias("symbol")
-    rows = S.events(spark, d)
-    ticks = rows.select(symbol, "timestamp", F.col("value").alias("price"))
     source = F.when(F.col("user_id") % 3 > 0, F.concat(F.lit("exchange"), F.col("user_id") % 3)).alias("data_source")
-    return ticks, rows.select("event_id", symbol, "timestamp", F.ceil("value").cast("long").alias("volume"), source)
+    return S.events(spark, d).select("event_id", symbol, "timestamp", F.col("value").alias("price"), F.ceil("value").cast("long").alias("volume"), source)
+
+
+def anonymous(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Ticks and bars, some of which say no symbol, and bars that say no source."""
+    rows = anonymous_rows(spark, d)
+    return rows.select("symbol", "timestamp", "price"), rows.drop("price")
 
 
 def t5_unknown(spark: SparkSession, d: str) -> DataFrame:
     """The whole market flow in batch form."""
-    return market.tick_bar_vwap(*anonymous(spark, d), S.WIDTH_MS, S.DAY_MS, ("timestamp", "event_id"))
+    return market.tick_bar_vwap(None, anonymous_rows(spark, d), S.WIDTH_MS, S.DAY_MS, ("timestamp", "event_id"))
 
 
 def j1_unknown(spark: SparkSession, d: str) -> DataFrame:
