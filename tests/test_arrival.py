@@ -48,3 +48,20 @@ def test_files_share_micro_batches(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert len(taken) == 3 and sum(map(sum, taken)) == 1000
     assert max(map(len, taken)) == 1 and max(map(max, taken)) <= 20 * registry.BATCH_FILES
+
+
+def test_micro_batches_of_one_run(spark, monkeypatch):
+    """The state goes on from one micro-batch of several files to the next; how many there are follows from their bound."""
+    taken = []
+
+    def run(writer):
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        taken.extend(p.numInputRows for p in query.recentProgress if p.numInputRows)
+
+    monkeypatch.setattr(registry, "BATCH_ROWS", 20)
+    monkeypatch.setattr(registry, "_to_end", run)
+    got = registry.t3_stream(spark, "/root/testdata/sf0.001")
+    want = registry.market.per_tick_volume(registry.S.bars(spark, "/root/testdata/sf0.001"), ["event_id"], every=100).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert sum(taken) == 1000 and len(taken) == -(-50 // registry.BATCH_FILES) and max(taken) <= 20 * registry.BATCH_FILES
